@@ -104,8 +104,8 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df``, a staged or otherwise cheap table, has at most so many rows."""
+    return df.count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
