@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, quality
+from . import exact_dedup, line_dedup, mixing, packing, quality, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
+    "op6_token_counts": tokens,
+    "op7_packing": packing,
     "op8_quality_rules": quality,
     "op9_exact_dedup": exact_dedup,
     "op10_mix_sources": mixing,
