@@ -114,3 +114,21 @@ def small(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has been counted to have at most ``rows`` rows, else for a shuffled join."""
     return F.broadcast(df) if small(df, rows) else df.hint("shuffle_merge")
+
+
+#: A key with at least this share of all rows is hot; there are at most so many hot keys, whatever the input.
+HOT_SHARE = 4096
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each key once and in ``weight`` about how many rows have it (not null).
+
+    Hot keys, those with 1/HOT_SHARE of the total weight or more, are broadcast: at most HOT_SHARE rows. The others, whose
+    groups are bounded by that share, are joined by shuffle. ``table`` should be staged, since it is read three times.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(2, total / HOT_SHARE)
+    hot, cold = table.filter(F.col(weight) >= least), table.filter(F.col(weight) < least)
+    if not hot.limit(1).count():
+        return rows.join(cold.hint("shuffle_merge"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
