@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, tokens
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
     "op3_secret_scan": secrets,
+    "op4_substring_dedup": substring_dedup,
     "op5_near_dedup": near_dedup,
     "op6_token_counts": tokens,
     "op7_packing": packing,
