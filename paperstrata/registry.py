@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import search
+from .operators import search, tree, versions
+from .plans import table_query
 
 FLAGSHIP = "hybrid_search"
 
-MODULES = (search,)
+MODULES = (search, tree, versions, table_query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
