@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 WORD = "[\\p{L}\\p{N}]+"
 
@@ -109,7 +110,7 @@ def byte_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled("KB", 1024)).when(n < 1024**3, scaled("MB", 1024**2)).otherwise(scaled("GB", 1024**3))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(text: pd.Series) -> pd.Series:
     """ASCII slug of at most 60 characters; ``item`` where nothing is left. Needs Unicode decomposition, hence pandas."""
 
@@ -120,13 +121,13 @@ def slug(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC without hyphens, soft hyphens and spaces: equal for cells that differ in hyphenation only."""
     return text.map(lambda v: None if v is None else re.sub(r"[\s­‐-―-]+", "", unicodedata.normalize("NFKC", v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uuid5(namespace: pd.Series, name: pd.Series) -> pd.Series:
     import uuid
 
@@ -147,6 +148,6 @@ def lcs_ratio(a: str, b: str) -> float:
     return (len(a) - row.bit_count()) / max(len(a), len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
