@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import evaluate, layout, profile, search, tree, versions
+from .operators import chunk, evaluate, layout, profile, search, tree, versions
 from .plans import table_query
 
 FLAGSHIP = "hybrid_search"
 
-MODULES = (search, tree, versions, profile, layout, evaluate, table_query)
+MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
