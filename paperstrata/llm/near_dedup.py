@@ -7,12 +7,13 @@ to s*K elements lie in their sketches whole. So it is enough to list each docume
 values (prefix filter; order: document frequency, then value). Pairs from a list are filtered by the Jaccard estimate of the
 union's sketch, six standard deviations wide, and then verified on the full sets.
 
-Skew. A list is never expanded to all of its pairs at once. In each round every list names one centre; the others that are not
-yet in the centre's component are its candidates; then the centre leaves the list, and lists whose members are all in one
-component go. That is linear in the lists, and large groups of near copies are joined after a round or two. Documents whose
+Skew. Lists aren't expanded to their pairs. In each round every list names one centre, the member with the fewest values of
+its own (in a group of near copies, the one closest to their common origin); the others that are not yet in the centre's
+component are its candidates; then the centre leaves the list, and lists whose members are all in one component go. That is linear in the lists, and large groups of near copies are joined after a round or two. Documents whose
 sketches consist largely of frequent values (more than LIST documents: shared passages, or large groups) are listed anew
-under their full sets, where the prefix filter is exact and needs only the rarest 15 %. What unlike members still stand in
-one list after ROUNDS rounds is compared pair by pair, so no link is lost. Hot values in joins are broadcast (bounded number).
+under their full sets, where the prefix filter is exact and needs only the rarest 15 %. After ROUNDS rounds,
+once the pairs of unlike members that are left are no more than there were list entries (or after MOST_ROUNDS), they are
+compared inside one join that gives out likely pairs only, so no link is lost. Hot values in joins are broadcast (bounded number).
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ K = 48
 SHARED = 24
 LIST = 48
 ROUNDS = 4
+MOST_ROUNDS = 6
+WIDE = 512
 BROADCAST_IDS = 4_000_000
 
 
@@ -62,12 +65,13 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, reps: Dat
 
 
 def prefixes(values: DataFrame, level: int, allowed: Column, at_most: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Inverted-list entries (level, value, rid) from (rid, size, value): each set's ``allowed`` rarest values that another
-    set has too. With at_most, entries of longer lists are left out and the sets they belong to are returned as well."""
+    """Inverted-list entries (level, value, rid, lone) from (rid, size, value): each set's ``allowed`` rarest values that
+    another set has too; lone: how many of its values no other set has. With at_most, entries of longer lists are left out and the sets they belong to are returned as well."""
     frequency = C.stage(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     shared = C.join_by_weight(values, frequency, ["value"], "df")
-    rank = F.row_number().over(W.partitionBy("rid").orderBy("df", "value")) + F.col("size") - F.count(F.lit(1)).over(W.partitionBy("rid"))
-    entries = C.stage(shared.withColumn("rank", rank).filter(F.col("rank") <= allowed).select(F.lit(level).alias("level"), "value", "rid", "df"))
+    nth, lone = F.row_number().over(W.partitionBy("rid").orderBy("df", "value")), F.col("size") - F.count(F.lit(1)).over(W.partitionBy("rid"))
+    listed = shared.withColumn("lone", lone).withColumn("rank", nth + F.col("lone")).filter(F.col("rank") <= allowed)
+    entries = C.stage(listed.select(F.lit(level).alias("level"), "value", "rid", "lone", "df"))
     if at_most is None:
         return entries.drop("df"), None
     return entries.filter(F.col("df") <= at_most).drop("df"), C.stage(entries.filter(F.col("df") > at_most).select("rid").distinct())
@@ -77,11 +81,16 @@ def _estimate(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
     """Pairs whose union sketch doesn't rule out the similarity."""
     sa, sb = (reps.select(F.col("rid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     joined = pairs.join(sa, "a").join(sb, "b")
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    both = C.bind(union, lambda u: F.struct(F.size(u).alias("u"), F.size(F.array_intersect(u, F.array_intersect("sa", "sb"))).alias("i")))
-    p = percent / 100
-    return joined.filter(fits).withColumn("e", both).filter(F.col("e.i") >= p * F.col("e.u") - 6 * math.sqrt(p * (1 - p)) * F.sqrt(F.col("e.u")) - 1).select("a", "b")
+    return joined.filter(_likely("sa", "sb", "na", "nb", percent, k)).select("a", "b")
+
+
+def _likely(sa: str, sb: str, na: str, nb: str, percent: int, k: int) -> Column:
+    """Whether sizes and the sketch of the union allow the similarity."""
+    union, p = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k), percent / 100
+    # a union of fewer than k values is known whole
+    least = lambda u: p * F.size(u) - F.when(F.size(u) < k, F.lit(1e-9)).otherwise(6 * math.sqrt(p * (1 - p)) * F.sqrt(F.size(u)) + 1)
+    close = C.bind(union, lambda u: F.size(F.array_intersect(u, F.array_intersect(sa, sb))) >= least(u))
+    return F.when(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent, close).otherwise(F.lit(False))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -91,6 +100,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(both).select("a", "b")
 
 
+def _unlike(spread: DataFrame, sets: DataFrame, percent: int, k: int = WIDE) -> DataFrame:
+    """Pairs (a, b) of members of different components in one list that are likely links. Members carry wider sketches and
+    their lists, so the join itself compares them, each pair in its first common list, and gives out likely pairs only."""
+    place = F.xxhash64("level", "value")
+    lists = spread.groupBy("rid").agg(F.collect_set(place).alias("lists"))
+    own = C.stage(spread.select("level", "value", "rid", "root", place.alias("place")).join(lists, "rid").join(sets.select("rid", F.size("set").alias("n"), F.slice("set", 1, k).alias("sketch")), "rid"))
+    a, b = (own.select("level", "value", *[F.col(c).alias(f"{c}_{x}") for c in ("rid", "root", "place", "lists", "n", "sketch")]) for x in "ab")
+    first = F.when((F.col("rid_a") < F.col("rid_b")) & (F.col("root_a") != F.col("root_b")), F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("place_a")).otherwise(F.lit(False))
+    compared = F.when(first, _likely("sketch_a", "sketch_b", "n_a", "n_b", percent, k)).otherwise(F.lit(False))
+    pairs = a.join(b, (a["level"] == b["level"]) & (a["value"] == b["value"]) & compared)
+    return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+
+
 class _Search:
     """The components so far, and how candidate pairs become links."""
 
@@ -151,23 +173,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again, _ = prefixes(sets.select("rid", F.size("set").alias("size"), F.explode("set").alias("value")), 2, F.col("size") - need + 1, None)
         entries = entries.unionByName(again)
 
-    for _ in range(rounds):
+    n_entries = None
+    for turn in range(MOST_ROUNDS + 1):
         rooted = C.stage(search.with_root(entries, "rid", "root"))
-        lists = rooted.groupBy("level", "value").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("rid", "root")).alias("centre")).filter("low <> high")
+        n_entries = n_entries or rooted.count()
+        lists = rooted.groupBy("level", "value").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("lone", "rid", "root")).alias("centre")).filter("low <> high")
         lists = C.stage(lists.select("level", "value", "members", F.col("centre.rid").alias("a"), F.col("centre.root").alias("a_root")))
-        if not lists.limit(1).count():
+        pairs = lists.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).first()[0]
+        if not pairs:
             break
-        spread = C.stage(C.join_by_weight(rooted, lists, ["level", "value"], "members").filter(F.col("rid") != F.col("a")))
+        spread = C.stage(C.join_by_weight(rooted, lists, ["level", "value"], "members").drop("members"))
+        if turn == MOST_ROUNDS or turn >= rounds and pairs <= n_entries:
+            members = C.stage(spread.select("rid").distinct())
+            sets = full_sets(docs, id_col, text_col, width, reps.select("rid", "id", "ka", "kb").join(members, "rid", "left_semi"))
+            search.link(_unlike(spread, sets, percent))
+            break
+        spread = spread.filter(F.col("rid") != F.col("a"))
         search.link(spread.filter(F.col("root") != F.col("a_root")).select("a", F.col("rid").alias("b")).distinct())
-        entries = spread.select("level", "value", "rid")
-    else:
-        rooted = C.stage(search.with_root(entries, "rid", "root"))
-        open_ = rooted.groupBy("level", "value").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        left = C.join_by_weight(rooted, C.stage(open_.select("level", "value", "members")), ["level", "value"], "members").drop("members")
-        left = C.stage(left)
-        other = left.select("level", "value", F.col("rid").alias("b"), F.col("root").alias("b_root"))
-        pairs = left.join(other, ["level", "value"]).filter((F.col("rid") < F.col("b")) & (F.col("root") != F.col("b_root")))
-        search.link(pairs.select(F.col("rid").alias("a"), "b").distinct())
+        entries = spread.select("level", "value", "rid", "lone")
 
     final = reps.select("rid", "ka", "kb", "copies", "min_id")
     if search.labels is None:
