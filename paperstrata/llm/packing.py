@@ -27,6 +27,8 @@ from . import tokens as T
 
 CAPACITY = 2048
 ROWS = 20_000
+#: Words whose ids a worker keeps, about 170 bytes each, and as many from before.
+MAX_WORDS = 700_000
 
 
 def cuts(length: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -92,7 +94,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = T.Words(path)
+        words = T.words_for(path, MAX_WORDS)
         bins = Bins(capacity, TaskContext.get().partitionId() << 32)
         id_type, rows = None, []
 

@@ -116,6 +116,16 @@ class Words(dict):
         return b"".join([x for part in segments(text.encode()) for x in map(self.__getitem__, part.split())])
 
 
+_held: dict[tuple[str, int], Words] = {}
+
+
+def words_for(path: str, limit: int = MAX_WORDS) -> Words:
+    """The process's words of a tokenizer: a worker that gets another task keeps them."""
+    if (path, limit) not in _held:
+        _held[path, limit] = Words(path, limit)
+    return _held[path, limit]
+
+
 class Transducer:
     """Counts tokens of white-space-dropping tokenizers; see the module's text."""
 
@@ -229,7 +239,7 @@ class Counter:
     """Numbers of tokens for lists of texts, as UTF-8."""
 
     def __init__(self, path: str, max_states: int = MAX_STATES):
-        self.words = Words(path)
+        self.words = words_for(path)
         self.transducer = Transducer(self.words, max_states)
 
     def __call__(self, texts: list[bytes]) -> list[int]:
