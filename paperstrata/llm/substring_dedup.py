@@ -31,8 +31,8 @@ from . import common as C
 from . import suffixes
 
 WIDTH = 400
-SHARD_BYTES = 4 << 20
-HOT_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
+HOT_BYTES = 6 << 20
 PIECE = 1 << 20
 BROADCAST_ROWS = 1_000_000
 

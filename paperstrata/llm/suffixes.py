@@ -149,6 +149,7 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     np.add.at(valid, starts, (counts > 0).astype(np.int64))
     np.add.at(valid, starts + counts, -(counts > 0).astype(np.int64))
     ok = np.cumsum(valid)[:-1] > 0
+    del valid
     order = suffix_array(text, width)
     order = order[ok[order]]
     equal = common_prefixes(text, order, width) >= width
