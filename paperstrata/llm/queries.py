@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, tokens
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
+    "op2_license_scans": licenses,
     "op3_secret_scan": secrets,
     "op4_substring_dedup": substring_dedup,
     "op5_near_dedup": near_dedup,
