@@ -146,40 +146,67 @@ def _cells(s, d, edited):
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.array(F.col("l_quantity").cast("int").cast("string"), flag, F.col("l_linestatus")).alias("cells"))
 
 
-QUERIES = {
-    "bbox_overlap": (lambda s, d: overlap_join(_boxes(s, d, "A"), _boxes(s, d, "R")).select("a_id", "b_id"), f"SELECT a.id AS a_id, b.id AS b_id FROM ({_BOX}) a JOIN ({_BOX}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'R'"),
-    "bbox_centre_in": (
-        lambda s, d: overlap_join(_boxes(s, d, "A"), _boxes(s, d, "N")).filter(centre_in()).select("a_id").distinct(),
-        f"SELECT DISTINCT a.id AS a_id FROM ({_BOX}) a JOIN ({_BOX}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'N' AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h",
-    ),
-    "union_bbox": (lambda s, d: union_box(_boxes(s, d), "page", "kind"), f"SELECT page, kind, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({_BOX}) GROUP BY page, kind"),
-    "bbox_expand": (lambda s, d: expand(_boxes(s, d), 14.0, 595.0, 842.0).select("id", "x", "y", "w", "h"), f"SELECT id, greatest(x - 14, 0) AS x, greatest(y - 14, 0) AS y, least(x + w + 14, 595) - greatest(x - 14, 0) AS w, least(y + h + 14, 842) - greatest(y - 14, 0) AS h FROM ({_BOX})"),
-    "nearest_box": (
-        lambda s, d: nearest(_boxes(s, d, "A"), _boxes(s, d, "R")),
-        f"SELECT a_id, b_id, distance FROM (SELECT a.id AS a_id, b.id AS b_id, round(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.w - b.w) + abs(a.h - b.h), 6) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY round(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.w - b.w) + abs(a.h - b.h), 6), b.id) AS n FROM ({_BOX}) a JOIN ({_BOX}) b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R') WHERE n = 1",
-    ),
-    "image_coverage": (
-        lambda s, d: coverage(_boxes(s, d, "A"), _boxes(s, d, "R")),
-        f"SELECT a.id AS a_id, least(1.0, round(sum((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h)), 6)) AS coverage FROM ({_BOX}) a JOIN ({_BOX}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'R' GROUP BY a.id",
-    ),
-    "page_chrome": (
-        lambda s, d: chrome(_boxes(s, d), 842.0).filter("repeated").select("id"),
-        f"SELECT id FROM (SELECT *, count(*) OVER (PARTITION BY kind, round(x / 6), round(y / 6), round(w / 6), round(h / 6)) AS n FROM ({_BOX}) WHERE y + h <= 0.13 * 842 OR y >= 0.87 * 842) WHERE n >= 2",
-    ),
-    "y_clusters": (
-        lambda s, d: clusters(_boxes(s, d, "R"), 20.0).select("id", "cluster"),
-        f"SELECT id, CAST(sum(j) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, id) > 20 THEN 1 ELSE 0 END AS j FROM ({_BOX}) WHERE kind = 'R')",
-    ),
-    "line_pack": (
-        lambda s, d: lines(_boxes(s, d)),
-        f"SELECT page, round(y) AS top, round(y + h) AS bottom, string_agg(text, ' ' ORDER BY x, id) AS line FROM ({_BOX}) GROUP BY page, round(y), round(y + h)",
-    ),
+def _all_lines(s, d):
+    """All order lines, with an id; order and line number alone repeat in the test tables."""
+    same = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return table(s, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.row_number().over(same))
+
+
+def _all_boxes(s, d, kind=None):
+    """As _boxes, of all order lines, with 20 order keys to a page: more orders are more pages, not larger ones."""
+    out = _all_lines(s, d).select("id", F.expr("l_orderkey DIV 20").alias("page"), (F.col("l_partkey") * 37 % 500).cast("double").alias("x"), (F.col("l_suppkey") * 53 % 760).cast("double").alias("y"), (F.col("l_quantity") * 3).alias("w"), (F.col("l_linenumber") * 5.0).cast("double").alias("h"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("text"))
+    return out if kind is None else out.filter(F.col("kind") == kind)
+
+
+_ALL_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS id FROM lineitem"
+_ALL_BOX = f"SELECT id, l_orderkey // 20 AS page, CAST(l_partkey * 37 % 500 AS DOUBLE) AS x, CAST(l_suppkey * 53 % 760 AS DOUBLE) AS y, l_quantity * 3 AS w, l_linenumber * 5.0::DOUBLE AS h, l_returnflag AS kind, l_linestatus AS text FROM ({_ALL_LINES})"
+
+
+def _all_cells(s, d, edited):
+    flag = F.when((F.col("l_orderkey") % 11 == 0) & F.lit(edited), F.lit("changed")).otherwise(F.col("l_returnflag"))
+    return _all_lines(s, d).select(F.col("id").alias("row"), F.array(F.col("l_quantity").cast("int").cast("string"), flag, F.col("l_linestatus")).alias("cells"))
+
+
+def _of_boxes(boxes, cells, box):
+    """The queries over boxes and cells, and their SQL over the same boxes."""
+    return {
+        "bbox_overlap": (lambda s, d: overlap_join(boxes(s, d, "A"), boxes(s, d, "R")).select("a_id", "b_id"), f"SELECT a.id AS a_id, b.id AS b_id FROM ({box}) a JOIN ({box}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'R'"),
+        "bbox_centre_in": (
+            lambda s, d: overlap_join(boxes(s, d, "A"), boxes(s, d, "N")).filter(centre_in()).select("a_id").distinct(),
+            f"SELECT DISTINCT a.id AS a_id FROM ({box}) a JOIN ({box}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'N' AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h",
+        ),
+        "union_bbox": (lambda s, d: union_box(boxes(s, d), "page", "kind"), f"SELECT page, kind, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({box}) GROUP BY page, kind"),
+        "bbox_expand": (lambda s, d: expand(boxes(s, d), 14.0, 595.0, 842.0).select("id", "x", "y", "w", "h"), f"SELECT id, greatest(x - 14, 0) AS x, greatest(y - 14, 0) AS y, least(x + w + 14, 595) - greatest(x - 14, 0) AS w, least(y + h + 14, 842) - greatest(y - 14, 0) AS h FROM ({box})"),
+        "nearest_box": (
+            lambda s, d: nearest(boxes(s, d, "A"), boxes(s, d, "R")),
+            f"SELECT a_id, b_id, distance FROM (SELECT a.id AS a_id, b.id AS b_id, round(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.w - b.w) + abs(a.h - b.h), 6) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY round(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.w - b.w) + abs(a.h - b.h), 6), b.id) AS n FROM ({box}) a JOIN ({box}) b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R') WHERE n = 1",
+        ),
+        "image_coverage": (
+            lambda s, d: coverage(boxes(s, d, "A"), boxes(s, d, "R")),
+            f"SELECT a.id AS a_id, least(1.0, round(sum((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h)), 6)) AS coverage FROM ({box}) a JOIN ({box}) b ON {_HIT} AND a.kind = 'A' AND b.kind = 'R' GROUP BY a.id",
+        ),
+        "page_chrome": (
+            lambda s, d: chrome(boxes(s, d), 842.0).filter("repeated").select("id"),
+            f"SELECT id FROM (SELECT *, count(*) OVER (PARTITION BY kind, round(x / 6), round(y / 6), round(w / 6), round(h / 6)) AS n FROM ({box}) WHERE y + h <= 0.13 * 842 OR y >= 0.87 * 842) WHERE n >= 2",
+        ),
+        "y_clusters": (
+            lambda s, d: clusters(boxes(s, d, "R"), 20.0).select("id", "cluster"),
+            f"SELECT id, CAST(sum(j) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, id) > 20 THEN 1 ELSE 0 END AS j FROM ({box}) WHERE kind = 'R')",
+        ),
+        "line_pack": (
+            lambda s, d: lines(boxes(s, d)),
+            f"SELECT page, round(y) AS top, round(y + h) AS bottom, string_agg(text, ' ' ORDER BY x, id) AS line FROM ({box}) GROUP BY page, round(y), round(y + h)",
+        ),
+        "row_compare_exact": (lambda s, d: compare_exact(cells(s, d, False), cells(s, d, True), "row", "cells").select("row", F.array_join(F.transform("changed", lambda x: x.cast("string")), ",").alias("changed")), None),
+        "row_compare_lcs": (lambda s, d: compare_rows(cells(s, d, False), cells(s, d, True), "row", "cells"), None),
+    }
+
+
+QUERIES = _of_boxes(_boxes, _cells, _BOX) | {
     "boundary_sample": (
         lambda s, d: boundary_sample(table(s, d, "orders"), "o_custkey", "o_orderkey").select("o_orderkey"),
         "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS u, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS d FROM orders) WHERE u <= 3 OR d <= 3",
     ),
-    "row_compare_exact": (lambda s, d: compare_exact(_cells(s, d, False), _cells(s, d, True), "row", "cells").select("row", F.array_join(F.transform("changed", lambda x: x.cast("string")), ",").alias("changed")), None),
-    "row_compare_lcs": (lambda s, d: compare_rows(_cells(s, d, False), _cells(s, d, True), "row", "cells"), None),
     "row_leakage": (
         lambda s, d: leakage(table(s, d, "orders").withColumn("c", F.concat(F.col("o_orderpriority"), F.col("o_orderstatus"))).withColumn("c", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise(F.col("c"))), "o_custkey", "o_orderkey", "c").select("o_orderkey"),
         "SELECT o_orderkey FROM (SELECT *, lead(c) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority || o_orderstatus END AS c FROM orders)) WHERE length(n) > 0 AND ends_with(c, n)",
@@ -193,3 +220,8 @@ QUERIES = {
         "SELECT o_orderkey, CAST(last_value(u IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS VARCHAR) AS title FROM (SELECT *, CASE WHEN starts_with(o_orderpriority, '1') THEN o_orderdate END AS u FROM orders)",
     ),
 }
+#: The same queries over all order lines. The SQL of those above ends at order key 2000 (cells: 1000), and so do they.
+_ALL = _of_boxes(_all_boxes, _all_cells, _ALL_BOX)
+_ALL["row_compare_exact"] = (_ALL["row_compare_exact"][0], f"SELECT id AS row, '1' AS changed FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
+_ALL["row_compare_lcs"] = (_ALL["row_compare_lcs"][0], f"SELECT id AS row, 1 AS column, l_returnflag AS want, 'changed' AS have, 0.0 AS similarity FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
+QUERIES |= {f"{name}_all": query for name, query in _ALL.items()}
