@@ -21,3 +21,17 @@ def test_boxes(spark, name):
     keys = last * 20 if df.columns[0] == "page" else last // 1000
     top = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("max(o_orderkey)").first()[0]
     assert top > 2000 and keys > 0.95 * top
+
+
+STATEMENTS = "tq_join_left tq_join_right tq_join_lateral tq_union_all tq_subquery_exists tq_unpivot tq_string_functions tq_date_functions tq_math_functions tq_struct_map_functions tq_json_functions".split()
+
+
+@pytest.mark.parametrize("name", STATEMENTS)
+def test_statements(spark, name):
+    """No order is lost: as many rows as all orders give."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    n, customers = orders.count(), orders.select("o_custkey").distinct().count()
+    statuses = orders.groupBy("o_custkey").agg({"o_orderstatus": "approx_count_distinct"}).filter("`approx_count_distinct(o_orderstatus)` > 1").select("o_custkey")
+    want = {"tq_union_all": 2 * n, "tq_unpivot": 2 * n, "tq_join_lateral": customers, "tq_subquery_exists": orders.join(statuses, "o_custkey", "left_semi").count()}
+    df = registry.queries()[f"{name}_all"](spark, SF)
+    assert df.count() == want.get(name, n)
