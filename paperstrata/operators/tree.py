@@ -6,6 +6,8 @@ prefix or depth-first query is a filter or sort on ``tree_path`` and ``order_pat
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,23 +77,75 @@ def validate(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def closure(relations: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Paths (path) reachable from the seeds over relations (path, target), seeds included: a fixpoint of semi-naive joins."""
-    spark = relations.sparkSession
-    relations.createOrReplaceTempView("_relations")
-    seeds.createOrReplaceTempView("_seeds")
-    return spark.sql(f"WITH RECURSIVE r MAX RECURSION LEVEL {MAX_DEPTH} AS (SELECT path FROM _seeds UNION ALL SELECT t.target FROM r JOIN _relations t ON t.path = r.path) SELECT DISTINCT path FROM r")
+def _staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, which cuts its lineage; a temporary one where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paths-')}")
+    return df.checkpoint()
+
+
+def closure(relations: DataFrame, seeds: DataFrame, both: bool = True) -> DataFrame:
+    """Paths (path) that relations (path, target) select with the seeds, seeds included: where either end is selected, the
+    other is (``both``), or the target where the path is. A fixpoint of any depth: each round joins what is new only, and
+    drops what has been reached."""
+    edges = relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target")
+    if both:
+        edges = edges.unionByName(edges.select(F.col("target").alias("path"), F.col("path").alias("target")))
+    edges = _staged(edges.distinct())
+    reached = new = _staged(seeds.select("path").distinct())
+    rounds = 0
+    while not new.isEmpty():
+        found = edges.join(new, "path", "left_semi").select(F.col("target").alias("path")).distinct()
+        new = _staged(found.join(reached, "path", "left_anti"))
+        reached, rounds = reached.unionByName(new), rounds + 1
+        if rounds % 8 == 0:  # else the union of all rounds grows
+            reached = _staged(reached.coalesce(max(1, edges.rdd.getNumPartitions())))
+    return reached
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Relations left when those from paths that are no target, or to targets that are no path, go until none goes any more."""
+    n, left = edges.count(), edges
+    while n:
+        left = _staged(left.join(left.select(F.col("target").alias("path")).distinct(), "path", "left_semi").join(left.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
 
 
 def cycles(relations: DataFrame) -> DataFrame:
-    """Paths that reach themselves."""
-    spark = relations.sparkSession
-    relations.createOrReplaceTempView("_relations")
-    return spark.sql(
-        f"""WITH RECURSIVE r MAX RECURSION LEVEL {MAX_DEPTH} AS (SELECT path AS start, target, array(path) AS seen FROM _relations
-          UNION ALL SELECT r.start, t.target, concat(r.seen, array(t.path)) FROM r JOIN _relations t ON t.path = r.target WHERE NOT array_contains(r.seen, t.path))
-        SELECT DISTINCT start AS path FROM r WHERE target = start"""
-    )
+    """Paths that reach themselves, at any distance.
+
+    After trimming, relations of one target a path are cycles and nothing else. Otherwise each path gets the largest path that
+    reaches it (a fixpoint); those that reach that one within their own colour are its component, and are taken out.
+    """
+    all_edges = _staged(relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target").distinct())
+    found = [all_edges.filter("path = target").select("path")]
+    edges = all_edges.filter("path <> target")
+    while True:
+        edges = _trimmed(edges)
+        n = edges.count()
+        paths = edges.select("path").distinct()
+        if n == paths.count():
+            found.append(paths)
+            break
+        colours, changed = _staged(paths.select("path", F.col("path").alias("colour"))), True
+        while changed:
+            given = edges.join(colours, "path").groupBy(F.col("target").alias("path")).agg(F.max("colour").alias("given"))
+            after = _staged(colours.join(given, "path").select("path", F.greatest("colour", "given").alias("colour"), (F.col("given") > F.col("colour")).alias("moved")))
+            changed, colours = not after.filter("moved").isEmpty(), after.drop("moved")
+        own = edges.join(colours, "path").join(colours.select(F.col("path").alias("target"), F.col("colour").alias("other")), "target").filter("colour = other")
+        settled = closure(own.select(F.col("target").alias("path"), F.col("path").alias("target")), colours.filter("path = colour").select("path"), both=False)
+        settled = _staged(settled.join(colours, "path"))
+        several = settled.groupBy("colour").count().filter("count > 1").select("colour")
+        found.append(settled.join(several, "colour", "left_semi").select("path"))
+        edges = _staged(edges.join(settled.select("path"), "path", "left_anti").join(settled.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def child_orders(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -142,6 +196,11 @@ def _relations(spark, d):
     return table(spark, d, "orders").filter("o_orderkey <= 400").select(F.col("o_orderkey").alias("path"), (F.col("o_orderkey") * 7 % 401).alias("target"))
 
 
+def _all_relations(spark, d):
+    """Relations from all orders: cycles of four, where all four orders exist, and trees that lead into them."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN o_orderkey DIV 2 WHEN 4 THEN o_orderkey - 3 ELSE o_orderkey + 1 END").alias("target"))
+
+
 _NODES = """SELECT 'w' AS id, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS INTEGER) AS ordinal, 'group' AS kind, 'world' AS title
   UNION ALL SELECT 'r' || r_regionkey, 'w', r_regionkey + 1, 'group', r_name FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 'group', n_name FROM nation
@@ -152,6 +211,7 @@ _T = f"""WITH RECURSIVE nodes AS ({_NODES}), t AS (
 _FLAT = "id, parent_id, CAST(ordinal AS INTEGER) AS ordinal, kind, path, array_to_string(tp, '>') AS tree_path, array_to_string(op, '.') AS order_path"
 _BAD = f"SELECT * FROM ({_NODES}) UNION ALL SELECT 'x1', 'gone', 1, 'text', 'x1' UNION ALL SELECT 'x2', NULL, 3, 'text', 'x2' UNION ALL SELECT 'c1', 'n0', 0, 'text', 'twice'"
 _REL = "SELECT o_orderkey AS path, o_orderkey * 7 % 401 AS target FROM orders WHERE o_orderkey <= 400"
+_ALL_REL = "SELECT o_orderkey AS path, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey // 2 WHEN 4 THEN o_orderkey - 3 ELSE o_orderkey + 1 END AS target FROM orders"
 
 QUERIES = {
     "tree_paths": (lambda s, d: _flat(_paths(s, d)), f"{_T} SELECT {_FLAT} FROM t"),
@@ -179,11 +239,19 @@ QUERIES = {
         UNION ALL SELECT 'orders not consecutive', parent_id FROM s WHERE lo <> 1 OR hi <> c OR own <> c""",
     ),
     "path_closure": (
-        lambda s, d: closure(_relations(s, d).filter("target % 10 <> 0"), _relations(s, d).filter("path % 100 = 1").select("path")),
+        lambda s, d: closure(_relations(s, d).filter("target % 10 <> 0"), _relations(s, d).filter("path % 100 = 1").select("path"), both=False),
         f"WITH RECURSIVE rel AS (SELECT * FROM ({_REL}) WHERE target % 10 <> 0), r AS (SELECT path FROM ({_REL}) WHERE path % 100 = 1 UNION SELECT target FROM r JOIN rel ON rel.path = r.path) SELECT DISTINCT path FROM r",
     ),
     "relation_cycle": (
         lambda s, d: cycles(_relations(s, d).filter("path < 60").select("path", (F.col("target") % 60).alias("target"))),
         f"WITH RECURSIVE rel AS (SELECT path, target % 60 AS target FROM ({_REL}) WHERE path < 60), r AS (SELECT path AS start, target FROM rel UNION SELECT r.start, rel.target FROM r JOIN rel ON rel.path = r.target) SELECT DISTINCT start AS path FROM r WHERE target = start",
     ),
+    "path_closure_all": (
+        lambda s, d: closure(_all_relations(s, d), _all_relations(s, d).filter("path % 1000 = 1").select("path")),
+        f"WITH RECURSIVE rel AS (SELECT * FROM ({_ALL_REL}) UNION ALL SELECT target, path FROM ({_ALL_REL})), r AS (SELECT path FROM ({_ALL_REL}) WHERE path % 1000 = 1 UNION SELECT target FROM r JOIN rel ON rel.path = r.path) SELECT path FROM r",
+    ),
+    "relation_cycle_all": (
+        lambda s, d: cycles(_all_relations(s, d)),
+        f"WITH RECURSIVE rel AS ({_ALL_REL}), r AS (SELECT path AS start, target FROM rel UNION SELECT r.start, rel.target FROM r JOIN rel ON rel.path = r.target) SELECT DISTINCT start AS path FROM r WHERE target = start",
+    ),
 }

@@ -1,11 +1,13 @@
 """Queries over whole tables: their results reach rows that an id subset would lose."""
 
 import os
+import random
 from pathlib import Path
 
 import pytest
 
 from paperstrata import registry
+from paperstrata.operators import tree
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -35,3 +37,43 @@ def test_statements(spark, name):
     want = {"tq_union_all": 2 * n, "tq_unpivot": 2 * n, "tq_join_lateral": customers, "tq_subquery_exists": orders.join(statuses, "o_custkey", "left_semi").count()}
     df = registry.queries()[f"{name}_all"](spark, SF)
     assert df.count() == want.get(name, n)
+
+
+def paths(df):
+    got = [r["path"] for r in df.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_deep_closure(spark):
+    """A chain of 70 steps and a cycle, from one end, and both directions from its middle."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 68), (200, 201)], "path long, target long")
+    seeds = lambda *ids: spark.createDataFrame([(i,) for i in ids], "path long")
+    assert paths(tree.closure(chain, seeds(0, 999), both=False)) == {*range(71), 999}
+    assert paths(tree.closure(chain, seeds(35))) == set(range(71))
+    assert paths(tree.closure(chain, seeds(201))) == {200, 201}
+
+
+def reaching(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for start in {x for e in edges for x in e}:
+        seen, todo = set(), [start]
+        while todo:
+            for x in out.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        if start in seen:
+            yield start
+
+
+def test_cycles(spark):
+    """A cycle of 70 steps with tails; graphs of several targets a path against brute force."""
+    long = [(i, (i + 1) % 70) for i in range(70)] + [(100, 101), (101, 5), (300, 300)]
+    assert paths(tree.cycles(spark.createDataFrame(long, "path long, target long"))) == {*range(70), 300}
+    rng = random.Random(3)
+    for n in (25, 40):
+        edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)]
+        assert paths(tree.cycles(spark.createDataFrame(edges, "path long, target long"))) == set(reaching(edges))
