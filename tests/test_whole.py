@@ -77,3 +77,15 @@ def test_cycles(spark):
     for n in (25, 40):
         edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)]
         assert paths(tree.cycles(spark.createDataFrame(edges, "path long, target long"))) == set(reaching(edges))
+
+
+def test_whole_texts(spark):
+    """Characters behind the 50th are escaped too."""
+    import hashlib
+    import html
+
+    got = {r["doc_id"]: r for r in registry.queries()["text_functions_all"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) and any(html.escape(r["text"][50:]) != r["text"][50:] for r in docs)
+    for r in docs:
+        assert got[r["doc_id"]]["html"] == hashlib.md5(html.escape(r["text"]).encode()).hexdigest()
