@@ -3,6 +3,10 @@
 Base spans are the matches of three patterns, leftmost and without overlap per kind. The method adds spans of kind "random":
 runs of at least MIN_RUN characters of an encoding's alphabet that look drawn at random rather than written.
 
+A run is tested whole, and so are its parts of MIN_RUN characters or more between / _ - + (all of them, and one of the pairs
++ / and - _ only), since a key may be glued to words in a URL or path. All are hypotheses of the same control. Of added spans,
+those inside another one go.
+
 Battery. The encoding (hex, base32, alphanumeric, base64) is inferred from the characters. Chi-squared uniformity over its
 alphabet is a linear function of the number of equal pairs of characters; its distribution for written text of the same
 length (moments of a letter distribution, see WRITTEN) gives the p value of the null hypothesis "written": few equal pairs
@@ -33,6 +37,8 @@ KINDS = (*BASE, "random")
 
 MIN_RUN = 20
 RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}"
+#: Parts of a run: between all four separators, between those that base64 has not, and between those that its URL form has not.
+PARTS = (f"[A-Za-z0-9]{{{MIN_RUN},}}={{0,2}}", f"[A-Za-z0-9+/]{{{MIN_RUN},}}={{0,2}}", f"[A-Za-z0-9_-]{{{MIN_RUN},}}={{0,2}}")
 DIGITS, UPPER, LOWER = "0123456789", C.UPPER, C.UPPER.lower()
 #: encoding: (pattern, alphabet, sum of squares and of cubes of the symbol frequencies of written text in it). For hex, text
 #: is decimal digits; for the others, letters of one case.
@@ -152,7 +158,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     def candidate(m: Column) -> Column:
         return C.bind(p_written(m["part"]), lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), _class(t["encoding"], t["n"]).alias("class"), F.least(F.floor(-F.log10(F.greatest(t["p"], F.lit(1e-300))) * PER_DECADE), F.lit(BINS)).cast("int").alias("bin")))
 
-    own = docs.select(F.col(id_col).alias("id"), F.array_sort(F.concat(*found)).alias("base"), F.transform(matches(text, RUN), candidate).alias("tested"))
+    def hypotheses(m: Column) -> Column:
+        """The run and its parts, each span once."""
+        placed = lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["part"].alias("part"))
+        parts = F.flatten(F.array(*[F.transform(matches(m["part"], pattern), placed) for pattern in PARTS]))
+        return F.when(m["part"].rlike("[/_+-]"), F.array_distinct(F.concat(F.array(m), parts))).otherwise(F.array(m))
+
+    tested = F.transform(F.flatten(F.transform(matches(text, RUN), hypotheses)), candidate)
+    own = docs.select(F.col(id_col).alias("id"), F.array_sort(F.concat(*found)).alias("base"), tested.alias("tested"))
     own = C.stage(own)
     bins = own.select(F.explode("tested").alias("t")).groupBy("t.class", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     # of each class: the lowest bin whose p values are at most q times the share of tests that far out
@@ -163,7 +176,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     both = own.crossJoin(F.broadcast(as_map))
     free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     random = F.filter("tested", lambda t: F.coalesce(t["bin"] >= F.try_element_at(F.col("limits"), t["class"]), F.lit(False)) & free(t))
-    added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), t["end"].alias("end"), F.lit("random").alias("kind")))
+    inside = lambda t, all_: F.exists(all_, lambda o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"]))
+    outer = C.bind(random, lambda all_: F.filter(all_, lambda t: ~inside(t, all_)))
+    added = F.transform(outer, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), t["end"].alias("end"), F.lit("random").alias("kind")))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return both.select(F.col("id").alias(id_col), plain(F.array_sort(F.concat("base", added))).alias("spans"), plain(F.col("base")).alias("base"))
 
