@@ -5,9 +5,11 @@ normalisation, special strings, pre-tokenisation and merges never reach across.
 the word, and a text a walk through a finite-state transducer.
 
 Compilation. States are prefixes of words; each byte is two transitions of four bits. The transition on a delimiter leads to
-the start state and is annotated with the number of tokens that the library gives the word read so far. The transducer is
-deterministic and compiled lazily: a word that it doesn't know ends in a dead or unannotated state, is counted by the library
-and, when it comes again, compiled. A full table starts anew, so memory is bounded whatever the vocabulary.
+the start state and is annotated with the number of tokens of the word read so far. The transducer is deterministic and
+compiled lazily, in each worker process: a word that it doesn't know ends in a dead or unannotated state, is counted by the
+library and, when it comes again, compiled. A full table starts anew, so memory is bounded whatever the vocabulary. The
+library's part is thus the annotation: normalisation, pre-tokenisation and merges of a word are run by it once or twice a
+process; they aren't compiled from the tokenizer's file into transitions of their own.
 
 Counting. A buffer of texts is cut into lanes of LANE bytes that advance together, one byte of every lane a step. A lane that
 begins inside a word can't know its entry state; it skips to the first delimiter. What a lane does to the state is thus a map
@@ -85,10 +87,13 @@ class Words(dict):
     def encode(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def normal(self, text: str) -> str:
+        return text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+
     def letters(self, text: str) -> bytes:
         """As ``encode``. A word of letters alone is a single pre-token and goes straight to the merges."""
         if text.isalpha():
-            normal = self.library.normalizer.normalize_str(text)
+            normal = self.normal(text)
             if normal.isalpha():
                 as_bytes = normal if normal.isascii() else normal.encode().decode("latin-1").translate(self.byte_letters)
                 return array("I", [t.id for t in self.library.model.tokenize(as_bytes)]).tobytes()
@@ -99,8 +104,8 @@ class Words(dict):
         if ids is None and b"<|" not in word:
             if word.isascii() and (low := word.lower()) != word:
                 ids = self[low]  # the normaliser lower-cases; ASCII alone composes with nothing
-            elif (m := _TAIL.fullmatch(word)) and m[1] and m[1].decode().isalpha():
-                ids = self[m[1]] + self[m[2]]  # letters and other characters are apart
+            elif (m := _TAIL.fullmatch(word)) and m[1] and self.normal(m[1].decode()).isalpha():
+                ids = self[m[1]] + self[m[2]]  # letters and other characters are apart; marks, as lower-casing may add, are not
         if ids is None:
             ids = self.letters(word.decode())
         if len(self) >= self.limit:
@@ -140,7 +145,7 @@ class Transducer:
     def reset(self) -> None:
         self.n = 3
         self.next = array("i", [self.DEAD] * 16 + [self.SKIP] * 16 + [self.DEAD] * 16)
-        self.emit = array("B", [0, 0, 0])
+        self.emit = array("H", [0, 0, 0])  # a word of LONGEST bytes can have more than 255 tokens
         self.known = bytearray([1, 1, 0])
         self.seen: set[bytes] = set()
 
@@ -161,8 +166,8 @@ class Transducer:
 
     def run(self, lanes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """lanes: bytes, a column each. Returns emissions and whether an unknown word ended, by position."""
-        nxt, emit, known = np.frombuffer(self.next, np.int32), np.frombuffer(self.emit, np.uint8), np.frombuffer(self.known, np.uint8)
-        out, lost = np.zeros(lanes.shape, np.uint8), np.zeros(lanes.shape, bool)
+        nxt, emit, known = np.frombuffer(self.next, np.int32), np.frombuffer(self.emit, np.uint16), np.frombuffer(self.known, np.uint8)
+        out, lost = np.zeros(lanes.shape, np.uint16), np.zeros(lanes.shape, bool)
         ends = self.delimiter[lanes]
         high, low = lanes >> 4, lanes & 15
         for i in range(len(lanes)):
@@ -268,6 +273,16 @@ class Counter:
         return out
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_for(path: str) -> Counter:
+    """The process's counter of a tokenizer: a worker that gets another task keeps what it has compiled."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) added, one row per input row, in place.
 
@@ -275,13 +290,10 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
     input gives an empty result. Columns of those names are replaced; the tokenizer's file must exist on every executor.
     """
     path = path or tokenizer_path()
-    held = []
 
     @F.arrow_udf("bigint")
     def counted(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Counter(path))
-        return pa.array(held[0]([x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.int64())
+        return pa.array(counter_for(path)([x or b"" for x in texts.cast(pa.binary()).to_pylist()]), pa.int64())
 
     n = counted(C.text_of(text_col))
     return docs.withColumn("n_bytes", F.octet_length(C.text_of(text_col)).cast("long")).withColumn("n_tokens", n).withColumn("over_limit", F.col("n_tokens") > limit)
