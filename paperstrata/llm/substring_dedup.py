@@ -2,8 +2,10 @@
 
 Bringing equal strings together. Each window of WIDTH bytes has an anchor, the leftmost smallest hash among its 32-byte grams.
 Neighbouring windows mostly share theirs, so a text falls into runs of windows (segments, about 185 starts each) with one
-anchor; equal windows have equal anchors at equal offsets. Only anchors that occur twice can have repeated windows. Equal
-segments collapse to one with a count. Segments of shared anchors are dealt to shards by anchor.
+anchor; equal windows have equal anchors. Text with a period, in which the anchor moves on at every byte but keeps its hash,
+is one run of up to suffixes.RUN starts. Only anchors that occur twice, or move inside a run, can have repeated windows. Equal
+segments (by a 64-bit hash beside the anchor's) collapse to one with a count. Segments of shared anchors are dealt to shards
+by anchor.
 
 Suffix array. Each shard concatenates its distinct segments and sorts their suffixes in two stages: suffixes smaller than
 their successors directly, the others induced from them by a scan over the buckets. Adjacent common prefixes of WIDTH bytes or
@@ -43,12 +45,12 @@ def text_key(text: Column) -> list[Column]:
 
 
 def _segments(width: int):
-    """(k1, k2, text bytes) to (k1, k2, anchor, seg, start, size): the runs of windows; texts below ``width`` have none."""
+    """(k1, k2, text bytes) to (k1, k2, anchor, seg, start, size, moves): the runs of windows; texts below ``width`` have none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
-            owner, anchors, segs, starts, sizes = [], [], [], [], []
+            owner, anchors, segs, starts, sizes, moving = [], [], [], [], [], []
             for i, value in enumerate(b.column(2)):
                 text = value.as_buffer()
                 if text is None or len(text) < width:
@@ -56,18 +58,19 @@ def _segments(width: int):
                 data = np.frombuffer(text, np.uint8)
                 for at in range(0, len(data) - width + 1, PIECE):  # long texts piece by piece; each window lies in one
                     part = data[at : at + PIECE + width - 1]
-                    first, last, anchor = suffixes.anchored(part, width)
+                    first, last, anchor, moves = suffixes.anchored(part, width)
                     view = memoryview(part)
                     owner.append(np.full(len(first), i))
                     anchors.append(anchor)
                     starts.append(first + at)
                     sizes.append(last - first + width)
+                    moving.append(moves)
                     segs += [int.from_bytes(hashlib.blake2b(view[s:e], digest_size=8).digest(), "little") for s, e in zip(first.tolist(), (last + width).tolist(), strict=True)]
             if segs:
                 who = np.concatenate(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[who]), pa.array(k2[who]), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes).astype(np.int32))],
-                    ["k1", "k2", "anchor", "seg", "start", "size"],
+                    [pa.array(k1[who]), pa.array(k2[who]), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(moving))],
+                    ["k1", "k2", "anchor", "seg", "start", "size", "moves"],
                 )
 
     return work
@@ -137,11 +140,11 @@ def repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH, shard_b
     """k1, k2 (a text's key), spans (byte ranges covered by repeated windows, any order, may overlap), copies (rows with that
     text): one row per distinct text that has any; staged."""
     texts = docs.select(C.text_of(text_col).alias("text")).filter(F.octet_length("text") >= width).select(*text_key(F.col("text")), F.col("text").cast("binary").alias("bytes"))
-    kind = "k1 bigint, k2 bigint, anchor bigint, seg bigint, start bigint, size int"
-    runs = texts.mapInArrow(_segments(width), kind).groupBy("anchor", "seg", "k1", "k2", "start", "size").agg(F.count(F.lit(1)).alias("copies"))
+    kind = "k1 bigint, k2 bigint, anchor bigint, seg bigint, start bigint, size int, moves boolean"
+    runs = texts.mapInArrow(_segments(width), kind).groupBy("anchor", "seg", "k1", "k2", "start", "size", "moves").agg(F.count(F.lit(1)).alias("copies"))
     runs = C.stage(runs)
-    shared = runs.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("seg").alias("low"), F.max("seg").alias("high")).filter("n > 1")
-    shared = C.stage(shared.select("anchor", "rows", (F.col("low") == F.col("high")).alias("uniform")))
+    shared = runs.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("moves").alias("moves")).filter("n > 1 OR moves")
+    shared = C.stage(shared.select("anchor", "rows", ((F.col("low") == F.col("high")) & (F.col("n") > 1)).alias("uniform")))
     runs = C.stage(C.join_by_weight(runs, shared, ["anchor"], "rows").drop("rows"))
 
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end")))
@@ -173,7 +176,8 @@ def repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH, shard_b
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH, **settings) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, binary) added or replaced.
+    """``docs`` with n_bytes (before), n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, binary) added or
+    replaced.
 
     Texts are UTF-8 bytes; null counts as empty; strings never reach over the ends of a text. A text of fewer than ``width``
     bytes loses nothing; of texts that repeat, all lose everything, as each occurs elsewhere. What remains may not be valid
@@ -223,4 +227,5 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
-    return substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")  # a character cut by the end of a run shows as U+FFFD
+    return substring_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), kept)

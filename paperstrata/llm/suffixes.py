@@ -184,14 +184,23 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts that share their anchor, the leftmost smallest gram in the window: first start, last start, the
-    gram's hash. Equal windows have equal anchors at equal offsets."""
+#: Most window starts in a run.
+RUN = 2048
+
+
+def anchored(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts that share the hash of their anchor, the leftmost smallest gram in the window: first start, last
+    start, the gram's hash, and whether the anchor moves inside the run (so that its windows may repeat there, as in text with
+    a period). Equal windows have equal hashes. Runs have at most RUN starts, counted from where the hash was new."""
     if len(data) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     h = gram_hashes(data)
     packed = (h >> U(24) << U(24)) | np.arange(len(h), dtype=np.uint64)
     at = (window_minimum(packed, width - GRAM + 1) & U((1 << 24) - 1)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(at)) + 1
-    first = np.concatenate([[0], cut])
-    return first, np.concatenate([cut - 1, [len(at) - 1]]), h[at[first]]
+    steps = np.flatnonzero(np.diff(at)) + 1
+    new = np.concatenate([[0], steps[h[at[steps]] != h[at[steps - 1]]]])
+    starts = np.arange(len(at))
+    head = np.repeat(new, np.diff(np.append(new, len(at))))
+    first = starts[(starts - head) % RUN == 0]
+    last = np.append(first[1:] - 1, len(at) - 1)
+    return first, last, h[at[first]], at[first] != at[last]
