@@ -116,6 +116,13 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df.hint("shuffle_merge")
 
 
+def beside(rows: DataFrame, table: DataFrame, key: str, table_key: str, most: int, also: Column | None = None) -> DataFrame:
+    """``rows`` joined with a staged ``table`` on equal keys, null meeting null (and on ``also``):
+    broadcast if counted to have at most ``most`` rows."""
+    on = rows[key].eqNullSafe(F.col(table_key))
+    return rows.join(maybe_broadcast(table, most), on if also is None else on & also)
+
+
 #: A key with at least this share of all rows is hot; there are at most so many hot keys, whatever the input.
 HOT_SHARE = 4096
 

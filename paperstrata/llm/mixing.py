@@ -3,16 +3,22 @@
 Method. Sizes are summed per source (partial sums first, so a hot source is one row per task). Targets follow the weights
 under the cap, by water filling: with sources ordered by cap / weight, the level is the first one at which the sources not
 yet at their cap take exactly what is left, which is where resharing the excess again and again ends. A source's rate is
-target / size; a document is emitted floor(rate) times and once more if its hash, as a number in [0, 1), is below the
-fraction. The hash depends on seed and id alone: reruns, retries and other partitionings agree.
-
-Scale. Texts are read once to count words; only (id, size, source) is staged. The table of targets has a row per source. It
-is broadcast if it was counted to have at most BROADCAST_SOURCES rows and joined by shuffle beyond. The cumulative sums over
-sources run in one task over that table of sums, never over documents.
+target / size; a document is emitted floor(rate) times and once more by a hash-seeded draw whose probability is the fraction.
+Independent draws would leave the taken words of small sources far from their targets (0.53 to 1.32 of them with 50 documents
+a source), so the draws of a source are tied: those whose hash lies in one interval of the source are drawn (see ``draws``),
+which leaves each document's probability as it is. Hashes depend on seed, id and source alone: reruns, retries and other
+partitionings agree.
+
+Scale. Texts are read once to count words; only (id, size, source, hash) is staged. The tables of targets and intervals have a
+row per source. They are broadcast if counted to have at most BROADCAST_SOURCES rows and joined by shuffle beyond. The
+cumulative sums over sources run in one task over the table of sums; those over documents in the cells of about CELL_ROWS
+documents that hold an end of an interval, two a source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +26,8 @@ from pyspark.sql import Window as W
 from . import common as C
 
 BROADCAST_SOURCES = 50_000
+CELL_ROWS = 50_000
+HASH_BITS = 52
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_RATE = 3.0
 
@@ -46,43 +54,79 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: fl
     return filled.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def unit_hash(id_col: Column, seed: str) -> Column:
-    """A number in [0, 1) of 52 bits from MD5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def unit(value: Column, seed: str) -> Column:
+    """A number of 52 bits from MD5 of seed and value."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
 
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """id, source, size (words) and h (the id's hash) of each row."""
+    size = F.size(C.words_of(C.text_of(text_col))).cast("long")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), unit(F.col(id_col), seed).alias("h"))
 
-def copies(rate: Column, id_col: Column, seed: str) -> Column:
-    return (F.floor(rate) + (unit_hash(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
+def draws(sizes: DataFrame, table: DataFrame, seed: str) -> DataFrame:
+    """``table`` (staged; a row per source) with lo, hi and wraps: hashes in [lo, hi), or outside [hi, lo) if it wraps, get
+    the further copy. ``sizes`` is staged (source, size, h).
 
-def _with_targets(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` joined with the staged targets on source, null meeting null."""
-    table = C.maybe_broadcast(C.stage(table).withColumnRenamed("source", "t_source"), BROADCAST_SOURCES)
-    return rows.join(table, rows["source"].eqNullSafe(F.col("t_source"))).drop("t_source")
+    In order of hash, the documents of a source fill [0, source_size) by their sizes; a document's point is the middle of its
+    part. The drawn interval has the length fraction * source_size and starts at a hash-seeded place of the circle, so each
+    document is drawn with probability fraction, and what is drawn differs from that length by at most half a document at
+    either end. The ends are looked up in sums per cell of hashes, and then among the documents of their two cells alone.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, sizes.count() / CELL_ROWS))))
+    cell = F.shiftrightunsigned("h", HASH_BITS - bits).cast("long")
+    length = F.col("source_size").cast("double")
+    begin = unit(F.col("source"), f"{seed}:source") / F.lit(float(1 << HASH_BITS))
+    end = begin + F.col("rate") - F.floor("rate")
+    ends = table.select("source", (begin * length).alias("lo"), (F.when(end < 1, end).otherwise(end - 1) * length).alias("hi"))
+    ends = ends.select(F.col("source").alias("of"), F.explode(F.array(F.struct(F.lit("lo").alias("edge"), F.col("lo").alias("at")), F.struct(F.lit("hi").alias("edge"), F.col("hi").alias("at")))).alias("e")).select("of", "e.*")
+    ends = C.stage(ends)
+    cells = sizes.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(W.partitionBy("source").orderBy("cell")) - F.col("words")
+    places = C.stage(C.beside(cells.withColumn("before", before), ends, "source", "of", BROADCAST_SOURCES).filter((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("words"))).select("of", F.col("cell").alias("in_cell"), "edge", "at", "before"))
+    inside = C.beside(sizes.withColumn("cell", cell), places, "source", "of", BROADCAST_SOURCES, F.col("cell") == F.col("in_cell"))
+    own = W.partitionBy("of", "edge").orderBy("h")
+    summed = inside.groupBy("of", "edge", "at", "before", "cell", "h").agg(F.sum("size").alias("words"))
+    middle = F.col("before") + F.sum("words").over(own) - F.col("words") / 2
+    # no document behind the place in its cell: the next cell begins behind it
+    found = summed.withColumn("middle", middle).groupBy("of", "edge").agg(F.coalesce(F.min(F.when(F.col("middle") >= F.col("at"), F.col("h"))), F.shiftleft(F.max("cell") + 1, HASH_BITS - bits)).alias("cut"))
+    cuts = found.groupBy("of").agg(*[F.max(F.when(F.col("edge") == e, F.col("cut"))).alias(e) for e in ("lo", "hi")])
+    joined = table.join(cuts, table["source"].eqNullSafe(F.col("of")), "left")
+    return joined.select(table["source"], "source_size", "target", "rate", (end >= 1).alias("wraps"), *[F.coalesce(e, F.lit(1 << HASH_BITS)).alias(e) for e in ("lo", "hi")])
+
+
+def copies(rate: Column, h: Column, lo: Column, hi: Column, wraps: Column) -> Column:
+    drawn = F.when(wraps, (h >= lo) | (h < hi)).otherwise((h >= lo) & (h < hi)) & (rate > F.floor(rate))
+    return (F.floor(rate) + drawn.cast("long")).cast("long")
+
+
+def _planned(sizes: DataFrame, weights: tuple[float, ...], max_rate: float, seed: str) -> DataFrame:
+    return C.stage(draws(sizes, C.stage(targets(sizes, weights, max_rate)), seed))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE, seed: str = "mix") -> DataFrame:
     """One row per input row: id, source, size (words), source_size, target, rate, copies, taken (size times copies).
 
-    Null text has size 0; null is a source of its own, the last. Rows that repeat an id share its decision. Empty input gives
-    an empty result; other columns are ignored.
+    A source's taken words differ from its target by at most its largest document. Null text has size 0; null is a source of
+    its own, the last. Rows that repeat an id share its decision and count as one document in that bound. Empty input gives an
+    empty result; other columns are ignored.
     """
-    sizes = C.stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(C.words_of(C.text_of(text_col))).cast("long").alias("size")))
-    out = _with_targets(sizes, targets(sizes, weights, max_rate))
-    out = out.withColumn("copies", copies(F.col("rate"), F.col("id"), seed))
+    sizes = C.stage(sized(docs, id_col, text_col, source_col, seed))
+    out = C.beside(sizes, _planned(sizes, weights, max_rate, seed).withColumnRenamed("source", "of"), "source", "of", BROADCAST_SOURCES)
+    out = out.withColumn("copies", copies(F.col("rate"), F.col("h"), F.col("lo"), F.col("hi"), F.col("wraps")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE, seed: str = "mix") -> DataFrame:
-    """``docs`` with each row emitted as often as ``plan`` says, columns as they are. Texts are not shuffled: the targets are
-    joined to the rows where they lie, if broadcast."""
-    size = F.size(C.words_of(C.text_of(text_col))).cast("long")
-    table = targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), weights, max_rate).select("source", "rate")
-    key, rate, n = C.fresh(docs, "mix_source", "mix_rate", "mix_copy")
-    table = C.maybe_broadcast(C.stage(table).withColumnsRenamed({"source": key, "rate": rate}), BROADCAST_SOURCES)
-    joined = docs.join(table, docs[source_col].eqNullSafe(F.col(key)))
-    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies(F.col(rate), F.col(id_col), seed).cast("int")))).select(*[joined[c] for c in docs.columns])
+    """``docs`` with each row emitted as often as ``plan`` says, columns as they are. Texts are not shuffled: rates and drawn
+    intervals are joined to the rows where they lie, if broadcast."""
+    table = _planned(C.stage(sized(docs, id_col, text_col, source_col, seed)), weights, max_rate, seed)
+    key, mine, n = C.fresh(docs, "mix_source", "mix_plan", "mix_copy")
+    joined = C.beside(docs, table.select(F.col("source").alias(key), F.struct("rate", "lo", "hi", "wraps").alias(mine)), source_col, key, BROADCAST_SOURCES)
+    times = copies(F.col(f"{mine}.rate"), unit(F.col(id_col), seed), *[F.col(f"{mine}.{c}") for c in ("lo", "hi", "wraps")]).cast("int")
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +149,18 @@ WITH s AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM f
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
+), p AS (
+  SELECT *, CAST('0x' || substr(md5('mix:source:' || coalesce(source, 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS b FROM r
+), i AS (
+  SELECT *, b * source_size::DOUBLE AS lo, (CASE WHEN b + rate - floor(rate) < 1 THEN b + rate - floor(rate) ELSE b + rate - floor(rate) - 1 END) * source_size::DOUBLE AS hi FROM p
+), h AS (
+  SELECT *, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS h FROM s
+), m AS (
+  SELECT source, h, sum(words) OVER (PARTITION BY source ORDER BY h) - words / 2.0::DOUBLE AS middle FROM (SELECT source, h, CAST(sum(size) AS BIGINT) AS words FROM h GROUP BY source, h)
 ), c AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target, s.source, r.rate,
-    CAST(floor(r.rate) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
-  FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT h.doc_id, h.size, i.source_size, i.target, h.source, i.rate,
+    CAST(floor(i.rate) AS BIGINT) + CASE WHEN i.rate > floor(i.rate) AND CASE WHEN b + rate - floor(rate) < 1 THEN middle >= lo AND middle < hi ELSE middle >= lo OR middle < hi END THEN 1 ELSE 0 END AS copies
+  FROM h JOIN i ON h.source IS NOT DISTINCT FROM i.source JOIN m ON h.source IS NOT DISTINCT FROM m.source AND h.h = m.h
 )
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, rate, CAST(copies AS BIGINT) AS copies FROM c
 """

@@ -243,10 +243,34 @@ def test_mixing(docs, corpus, spark):
     for r in corpus:
         g = got[r[0]]
         assert g["size"] == len(words(r[1])) and g["source_size"] == sizes[r[3]] and g["target"] == pytest.approx(target[r[3]]) and g["taken"] <= 3 * g["size"] and g["copies"] in (int(g["rate"]), int(g["rate"]) + 1)
+    taken, largest = Counter(), Counter()
+    for r in corpus:
+        taken[r[3]] += got[r[0]]["taken"]
+        largest[r[3]] = max(largest[r[3]], got[r[0]]["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in order)
     many = Counter(r["doc_id"] for r in rows(mixing.mix(docs)))
     assert {i: g["copies"] for i, g in got.items() if g["copies"]} == dict(many)
 
 
+@pytest.mark.parametrize("cell_rows", [50_000, 4])
+def test_mixing_draws(spark, monkeypatch, cell_rows):
+    """Taken words near their targets with few rows a cell too; each document is drawn about as often as the fraction says."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    rows_ = [(i, "w " * (1 + i * i % 37), f"s{i % 5}") for i in range(300)] + [(7, "w w", "s1"), (None, "w", "s2"), (400, None, "s3")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    drawn = Counter()
+    for seed in map(str, range(12 if cell_rows > 4 else 2)):
+        got = rows(mixing.plan(docs, seed=seed))
+        assert len(got) == len(rows_)
+        for s in {r["source"] for r in got}:
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) + 1e-6
+            drawn[s] += sum(r["copies"] for r in own) / len(own)
+    if cell_rows > 4:
+        rate = {r["source"]: r["rate"] for r in got}
+        assert all(abs(drawn[s] / 12 - rate[s]) < 0.1 for s in rate)
+
+
 def test_empty(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (
