@@ -3,18 +3,22 @@ the arrays instead of joining lines.
 
 Method. A line's key is the line stripped of \\x20 and \\x09-\\x0D at both ends, A-Z lower-cased; two seeded 64-bit hashes
 stand for it. Document counts per distinct key come from one aggregation (each document names a key once; partial counts
-first, so a line that is everywhere is one row per task). Per shard of the first hash's high bits one task builds the
-minimal perfect hash with its fingerprint and count arrays, about 5.5 bytes a distinct line, counts saturating. Documents
-then probe the arrays in Arrow batches; the text itself stays in the JVM and only hashes and flags cross.
-
-Scale. Shard size is fixed (SHARD_KEYS), so a build task is bounded; the number of shards grows with the lines. The arrays
-go to the executors only if their measured size is at most ``max_index_bytes``. Beyond it, ``routed`` sends each document's
-hashes to the counts by a shuffled join (keys in at least 1/HOT_SHARE of all (document, key) pairs, so at most HOT_SHARE of
-them, are broadcast), and the few frequent ones come back to the document.
+first, so a line that is everywhere is one row per task). Keys are dealt to shards by the first hash's high bits; one task a
+shard builds the minimal perfect hash with its fingerprint and count arrays, about 5.5 bytes a distinct line, counts
+saturating. The hashes of the documents' lines go to the shard of their keys and probe its arrays there; the positions of
+frequent lines come back to the documents.
+
+Scale. There is one path at every size. No array leaves its shard and nothing that grows with the input is collected. A shard
+has about SHARD_ROWS keys and lines to probe. A key in HOT_ROWS documents or more, and in more than 1/HOT_KEYS of all (document,
+key) pairs, would bring all its lines to one shard: such keys, at most HOT_KEYS of them, have a perfect hash of their own (at
+most some 10 MB), which is sent to the executors and probed first; only lines that it doesn't know travel. Texts are shuffled
+once, to meet their positions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import mphf
 
-SHARD_KEYS = 500_000
-MAX_INDEX_BYTES = 256 << 20
-HOT_SHARE = 4096
+SHARD_ROWS = 500_000
+HOT_ROWS = 10_000
+HOT_KEYS = 1 << 20
 
 BUILT = "shard int, sizes binary, bits binary, prints binary, counts binary"
 
@@ -51,9 +55,8 @@ def _count_dtype(min_docs: int):
     return next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if min_docs <= np.iinfo(d).max)
 
 
-def build_index(counts: DataFrame, n_keys: int, min_docs: int) -> tuple[DataFrame, int]:
-    """One row per shard (columns of BUILT) from the staged counts of ``n_keys`` keys; and the number of shard bits."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n_keys / SHARD_KEYS)))))
+def build_index(counts: DataFrame, shard: Column, min_docs: int) -> DataFrame:
+    """One row per shard (columns of BUILT) of the counted keys."""
     dtype = _count_dtype(min_docs)
 
     def build(table: pa.Table) -> pa.Table:
@@ -62,63 +65,86 @@ def build_index(counts: DataFrame, n_keys: int, min_docs: int) -> tuple[DataFram
         arrays = mphf.build(a, b, n)
         return pa.table([pa.array([table["shard"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in arrays)], ["shard", "sizes", "bits", "prints", "counts"])
 
-    shard = F.shiftrightunsigned("a", 64 - bits).cast("int") if bits else F.lit(0)
-    return counts.select("a", "b", "n", shard.alias("shard")).groupBy("shard").applyInArrow(build, BUILT), bits
+    return counts.select("a", "b", "n", shard.alias("shard")).groupBy("shard").applyInArrow(build, BUILT)
+
+
+def _hits(index: mphf.Index, a: pa.Array, b: pa.Array, min_docs: int) -> np.ndarray:
+    return index.probe(*(x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))) >= min_docs
 
 
-def _probed(docs: DataFrame, keys: str, index: DataFrame, bits: int, min_docs: int, out: str) -> DataFrame:
-    """``docs`` with the array<boolean> column ``out``: whether each line of ``keys`` is in min_docs documents or more."""
-    sent = docs.sparkSession.sparkContext.broadcast((bits, [tuple(bytes(x) if i else x for i, x in enumerate(r)) for r in index.collect()], _count_dtype(min_docs)))
+def _known_hot(lines: DataFrame, hot: DataFrame, min_docs: int) -> Column:
+    """Whether the hot keys' arrays, sent to the executors, know a line."""
+    (arrays,) = build_index(hot, F.lit(0), min_docs).collect()  # at most HOT_KEYS keys
+    sent = lines.sparkSession.sparkContext.broadcast([(0, *map(bytes, arrays[1:]))])
     held = []
 
-    @F.arrow_udf("array<boolean>")
-    def probe(lists: pa.Array) -> pa.Array:
+    @F.arrow_udf("boolean")
+    def known(a: pa.Array, b: pa.Array) -> pa.Array:
         if not held:
-            held.append(mphf.Index(*sent.value))
-        flat = lists.flatten()
-        a, b = (flat.field(i).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-        hits = (held[0].probe(a, b) >= min_docs) & flat.is_valid().to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hits))
-
-    return docs.withColumn(out, probe(F.col(keys)))
-
-
-def _routed(docs: DataFrame, keys: str, counts: DataFrame, min_docs: int, out: str, id_col: str) -> DataFrame:
-    """As ``_probed`` where the arrays are too large to be sent. Frequent keys come back to the rows by id."""
-    k, found, h = C.fresh(docs, "k", "found", "h")
-    frequent = counts.filter(F.col("n") >= min_docs)
-    pairs = docs.select(F.col(id_col).alias(k), F.explode(F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))).alias(h)).select(k, f"{h}.a", f"{h}.b")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = frequent.filter(F.col("n") >= max(1, total / HOT_SHARE)).select("a", "b")
-    cold = frequent.filter(F.col("n") < max(1, total / HOT_SHARE)).select("a", "b")
-    hits = pairs.join(F.broadcast(hot), ["a", "b"], "left_semi").unionByName(pairs.join(F.broadcast(hot), ["a", "b"], "left_anti").join(cold.hint("shuffle_merge"), ["a", "b"], "left_semi"))
-    by_id = hits.groupBy(k).agg(F.collect_set(F.struct("a", "b")).alias(found))
-    joined = docs.join(by_id.hint("shuffle_merge"), docs[id_col].eqNullSafe(by_id[k]), "left")
-    flags = F.transform(keys, lambda x: F.coalesce(F.array_contains(F.col(found), x), F.lit(False)))
-    return joined.withColumn(out, flags).drop(k, found)
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
+            held.append(mphf.Index(0, sent.value, _count_dtype(min_docs)))
+        return pa.array(_hits(held[0], a, b, min_docs))
+
+    return known("a", "b")
+
+
+def _probed(lines: DataFrame, counts: DataFrame, bits: int, min_docs: int) -> DataFrame:
+    """r1, r2, pos of the lines whose keys are in min_docs documents or more: each shard probes its own arrays."""
+    shard = F.shiftrightunsigned("a", 64 - bits).cast("int") if bits else F.lit(0)
+
+    def probe(own: pa.Table, arrays: pa.Table) -> pa.Table:
+        hit = np.zeros(own.num_rows, bool)
+        if own.num_rows and arrays.num_rows:
+            one = mphf.Index(0, [(0, *(arrays[c][0].as_py() for c in ("sizes", "bits", "prints", "counts")))], _count_dtype(min_docs))
+            hit = _hits(one, own["a"].combine_chunks(), own["b"].combine_chunks(), min_docs)
+        return own.select(["r1", "r2", "pos"]).filter(pa.array(hit))
+
+    index = build_index(counts, shard, min_docs).groupBy("shard")
+    return lines.withColumn("shard", shard).groupBy("shard").cogroup(index).applyInArrow(probe, "r1 bigint, r2 bigint, pos int")
+
+
+def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
+    """r1, r2 (hashes of id and text) and the positions of the lines to drop, of rows that have any."""
+    counts = C.stage(line_counts(docs, text_col, min_chars))
+    total, keys = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    own = docs.select(*row_key(id_col, text_col), F.posexplode(_keys(C.text_of(text_col), min_chars)).alias("pos", "h")).filter("h IS NOT NULL")
+    lines = own.select("r1", "r2", "pos", "h.a", "h.b")
+    least = max(HOT_ROWS, min_docs, total // HOT_KEYS + 1)
+    hot = counts.filter(F.col("n") >= least)
+    found = None
+    if hot.limit(1).count():
+        lines = C.stage(lines.withColumn("known", _known_hot(lines, hot, min_docs)))
+        found = lines.filter("known").select("r1", "r2", "pos")
+        lines = lines.filter("NOT known").drop("known")
+    bits = max(0, math.ceil(math.log2(max(1, keys / SHARD_ROWS, total / SHARD_ROWS))))
+    cold = _probed(lines, counts.filter(F.col("n") < least), bits, min_docs)
+    found = cold if found is None else found.unionByName(cold)
+    return found.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes that stand for a row's id and text; rows that repeat both lose the same lines."""
+    return [F.xxhash64(F.lit(i), F.col(id_col), C.text_of(text_col)).alias(f"r{i}") for i in (1, 2)]
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the columns kept_text, n_lines and n_dropped added (or replaced).
 
     Lines are split at \\n; a null or empty text is one empty line. Keys of at least min_chars code points found in at least
     min_docs rows lose all their lines in every row, so repeats inside a row count once and lines that strip to nothing stay.
     Rows that repeat an id count as documents of their own. Empty input gives an empty result.
     """
-    counts = C.stage(line_counts(docs, text_col, min_chars))
-    n_keys = counts.count()
-    keys, flags = C.fresh(docs, "line_keys", "line_flags")
-    own = docs.withColumn(keys, _keys(C.text_of(text_col), min_chars))
-    # 3.7 bits of the hash function, a fingerprint and a count a key
-    if n_keys * (1 + 4 + np.dtype(_count_dtype(min_docs)).itemsize) <= max_index_bytes:
-        index, bits = build_index(counts, n_keys, min_docs)
-        own = _probed(own, keys, index, bits, min_docs, flags)
-    else:
-        own = _routed(own, keys, counts, min_docs, flags, id_col)
-    kept = F.filter(F.transform(F.arrays_zip(lines_of(C.text_of(text_col)).alias("l"), F.col(flags).alias("f")), lambda x: F.when(~x["f"], x["l"])), lambda x: x.isNotNull())
-    dropped = F.size(F.filter(flags, lambda x: x))
-    return own.withColumns({"n_lines": F.size(flags).cast("long"), "n_dropped": dropped.cast("long"), "kept_text": F.array_join(kept, "\n")}).drop(keys, flags)
+    r1, r2, f1, f2, gone = C.fresh(docs, "r1", "r2", "f1", "f2", "gone_lines")
+    found = frequent_lines(docs, id_col, text_col, min_docs, min_chars).toDF(f1, f2, gone)
+    a, b = row_key(id_col, text_col)
+    joined = docs.withColumns({r1: a, r2: b}).join(found.hint("shuffle_merge"), (F.col(r1) == F.col(f1)) & (F.col(r2) == F.col(f2)), "left")
+    text = C.text_of(text_col)
+
+    def kept(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
+
+    n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    out = {"n_lines": n_lines.cast("long"), "n_dropped": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"), "kept_text": F.when(F.col(gone).isNull(), text).otherwise(C.bind(lines_of(text), kept))}
+    return joined.withColumns(out).drop(r1, r2, f1, f2, gone)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

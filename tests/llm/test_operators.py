@@ -22,9 +22,12 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 0])
-def test_lines(docs, corpus, limit):
-    got = {r["doc_id"]: r for r in rows(line_dedup.line_dedup(docs, max_index_bytes=limit))}
+@pytest.mark.parametrize("hot, shard", [(10_000, 500_000), (11, 500_000), (10_000, 8), (12, 4)])
+def test_lines(docs, corpus, monkeypatch, hot, shard):
+    """One result with and without hot keys, in one shard and in many."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(line_dedup, "SHARD_ROWS", shard)
+    got = {r["doc_id"]: r for r in rows(line_dedup.line_dedup(docs))}
     key = lambda line: line.strip(WS).translate(UP)
     n = Counter(k for r in corpus for k in {key(x) for x in (r[1] or "").split("\n")} if k)
     for r in corpus:
@@ -34,6 +37,20 @@ def test_lines(docs, corpus, limit):
         assert got[r[0]]["text"] == r[1] and got[r[0]]["h"] == "h"
 
 
+def test_lines_of_repeated_rows(spark):
+    """Rows that repeat an id, or id and text, or have none; all lines of a text gone; a text of very many lines."""
+    long = "\n".join(f"line {i % 7}\n{i}" for i in range(20_000))
+    rows_ = [(1, "a\nA \nb"), (1, "a\nA \nb"), (1, "a"), (None, "b"), (None, None), (2, "c\n\n"), (3, long), (4, long.upper())]
+    got = rows(line_dedup.line_dedup(spark.createDataFrame(rows_, "doc_id long, text string"), min_docs=3))
+    seen = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got)
+    n = Counter(k for _, t in rows_ for k in {x.strip(WS).translate(UP) for x in (t or "").split("\n")} if k)
+    want = Counter()
+    for i, t in rows_:
+        kept = [x for x in (t or "").split("\n") if n[x.strip(WS).translate(UP)] < 3]
+        want[i, t, len((t or "").split("\n")), len((t or "").split("\n")) - len(kept), "\n".join(kept)] += 1
+    assert seen == want
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(1 << 63, size=5000, dtype=np.uint64) for _ in range(2))
