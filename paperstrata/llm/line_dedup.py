@@ -106,8 +106,8 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     """r1, r2 (hashes of id and text) and the positions of the lines to drop, of rows that have any."""
     counts = C.stage(line_counts(docs, text_col, min_chars))
     total, keys = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    own = docs.select(*row_key(id_col, text_col), F.posexplode(_keys(C.text_of(text_col), min_chars)).alias("pos", "h")).filter("h IS NOT NULL")
-    lines = own.select("r1", "r2", "pos", "h.a", "h.b")
+    own = docs.select(*row_key(id_col, text_col), _keys(C.text_of(text_col), min_chars).alias("keys"))  # first: texts aren't exploded
+    lines = own.select("r1", "r2", F.posexplode("keys").alias("pos", "h")).filter("h IS NOT NULL").select("r1", "r2", "pos", "h.a", "h.b")
     least = max(HOT_ROWS, min_docs, total // HOT_KEYS + 1)
     hot = counts.filter(F.col("n") >= least)
     found = None
