@@ -2,14 +2,16 @@
 
 Base rules need no labels: fewer than 50 words, or more than half of the words in repeated three-word windows.
 
-Method. Further rules compare a ratio with a cutoff that labelled holdouts choose per stratum (by default the language). A
-rule tries its cutoffs from mild to strict and takes the last one before the first that is not certified. A cutoff is
-certified if, of the n good holdout rows of the stratum, it rejects so few (x) that a false-rejection rate of alpha would
-give x or fewer with probability at most delta': the exact binomial (Clopper-Pearson) upper bound lies below alpha. Testing
-the cutoffs of a rule in fixed order needs no correction; across rules and strata delta is divided by their number
-(Bonferroni), and alpha by the number of rules, so that with probability 1 - delta no stratum loses more than
-max_false_rejection of its good documents to all rules together. A stratum with too few labels certifies nothing and is held
-to the base rules only.
+Method. Further rules compare a ratio with a cutoff that labelled holdouts choose per stratum (by default the language). The
+cutoffs of all rules are tightened together, level by level from mild to strict, so there is one sequence of tests a stratum
+and each test has the whole allowance: a level is certified if, of the n good holdout rows of the stratum, all rules together
+reject so few (x) that a false-rejection rate of max_false_rejection would give x or fewer with probability at most delta':
+the exact binomial (Clopper-Pearson) upper bound lies below max_false_rejection. The last level before the first that is not
+certified holds. Testing the levels in fixed order needs no correction; across strata delta is divided by the number of those
+that have enough good rows to certify anything at all (Bonferroni; that number doesn't depend on what the rules reject), so
+with probability 1 - delta no stratum loses more than max_false_rejection of its good documents to the rules. A stratum with
+too few labels (98 good ones at the default settings, more with several strata) certifies nothing and is held to the base
+rules only.
 
 Scale. One pass over the texts writes a row of counts per document; labels are joined to those rows, never to texts. The
 table of cutoffs has a row per stratum. It is broadcast if it was counted to be small, else joined by shuffle.
@@ -17,6 +19,9 @@ table of cutoffs has a row per stratum. It is broadcast if it was counted to be
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +33,16 @@ BROADCAST_STRATA = 50_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
-#: rule: (numerator, denominator, cutoffs from mild to strict); a row is rejected if the ratio is above the cutoff.
+#: rule: (numerator, denominator, its cutoff at each level, from mild to strict); a row is rejected if the ratio is above it.
 RULES = {
     "symbols": ("n_symbols", "n_words", (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05)),
-    "duplicate_lines": ("n_dup_lines", "n_lines", (0.9, 0.7, 0.5, 0.4, 0.3, 0.2)),
+    "duplicate_lines": ("n_dup_lines", "n_lines", (0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
     "repeated_words": ("n_repeat_words", "n_words", (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
-    "upper_case": ("n_upper", "word_chars", (0.9, 0.7, 0.5, 0.4, 0.3, 0.2)),
+    "upper_case": ("n_upper", "word_chars", (0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
     "marks": ("n_marks", "word_chars", (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)),
 }
+LEVELS = 7
+MAX_FALSE_REJECTION, DELTA = 0.03, 0.05
 
 
 def repeat_words(words: Column, size: Column) -> Column:
@@ -95,30 +102,30 @@ def log_binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, first, add)["total"]
 
 
-def cutoffs(measured: DataFrame, labelled: DataFrame, max_false_rejection: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """stratum and, per rule, its certified cutoff (null: none) from measured rows (id, stratum, COUNTS) and labels (id, good).
+def cutoffs(measured: DataFrame, labelled: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
+    """stratum, level (1 to LEVELS) and, per rule, its cutoff at the last certified level, from measured rows (id, stratum,
+    COUNTS) and labels (id, good); strata that certify none are left out.
 
     Rows that fail the base rules don't count: the other rules never see them. A document with several labels is good only
     if all say so; null labels are no labels.
     """
     good = labelled.filter(F.col("good").isNotNull()).groupBy("id").agg(F.min("good").alias("good")).filter(F.col("good") == 1).select("id")
     held = measured.filter(~base_failed()).join(good, "id", "left_semi")
-    cells = [(rule, k, c) for rule, (_, _, cs) in RULES.items() for k, c in enumerate(cs)]
-    sums = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((ratio(r) > c).cast("long")).alias(f"{r}_{k}") for r, k, c in cells])
-    tests = F.log(F.lit(delta / len(RULES)) / F.col("strata"))
+    rejected = lambda k: functools.reduce(Column.__or__, [ratio(r) > cs[k] for r, (_, _, cs) in RULES.items()])
+    sums = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(rejected(k).cast("long")).alias(f"x_{k}") for k in range(LEVELS)])
+    sums = sums.filter(F.col("n") * math.log1p(-max_false_rejection) <= math.log(delta))
     strata = sums.agg(F.count(F.lit(1)).alias("strata"))
-    alpha = max_false_rejection / len(RULES)
-    certified = lambda x: (F.col(x) < F.col("n") * alpha) & (log_binomial_tail(F.col(x), F.col("n"), alpha) <= tests)
     out = sums.crossJoin(F.broadcast(strata))  # one row of one number
-    for rule, (_, _, cs) in RULES.items():
-        chosen = F.lit(None).cast("double")
-        for k in reversed(range(len(cs))):
-            chosen = F.when(certified(f"{rule}_{k}"), F.coalesce(chosen, F.lit(cs[k])))
-        out = out.withColumn(f"cut_{rule}", chosen)
-    return out.select("stratum", *[f"cut_{r}" for r in RULES])
+    test = F.log(F.lit(delta) / F.col("strata"))
+    level = F.lit(0)
+    for k in reversed(range(LEVELS)):
+        certified = (F.col(f"x_{k}") < F.col("n") * max_false_rejection) & (log_binomial_tail(F.col(f"x_{k}"), F.col("n"), max_false_rejection) <= test)
+        level = F.when(certified, F.when(level > 0, level).otherwise(F.lit(k + 1))).otherwise(F.lit(0))
+    out = out.withColumn("level", level).filter("level > 0")
+    return out.select("stratum", "level", *[F.element_at(F.array(*map(F.lit, cs)), F.col("level")).alias(f"cut_{r}") for r, (_, _, cs) in RULES.items()])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", max_false_rejection: float = 0.03, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", quality_col: str = "quality", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
     """One row per input row: the id, COUNTS, base_failed, reasons (rules of the method that reject it), kept.
 
     Null text has no words and so fails; null is a stratum of its own; rows that repeat an id are judged each by its text.
@@ -142,7 +149,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     part = C.stage(own.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), *[F.col(f"{m}.{c}").alias(c) for c in COUNTS]))
     cuts = C.stage(cutoffs(part, labels.select(F.col(id_col).alias("id"), F.col("quality").alias("good")), **settings))
     names = C.fresh(docs, *[f"cut_{r}" for r in RULES])
-    cuts = C.maybe_broadcast(cuts.toDF(cut_stratum, *names), BROADCAST_STRATA)
+    cuts = C.maybe_broadcast(cuts.drop("level").toDF(cut_stratum, *names), BROADCAST_STRATA)
     joined = own.join(cuts, own[stratum_col].cast("string").eqNullSafe(F.col(cut_stratum)), "left")
     at = lambda c: F.col(f"{m}.{c}")
     bad = base_failed(at)
@@ -156,12 +163,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    alpha, delta = 0.03 / len(RULES), 0.05 / len(RULES)
+    alpha, delta = MAX_FALSE_REJECTION, DELTA
     ratio_sql = {r: f"CASE WHEN {b} > 0 THEN {t} / {b}::DOUBLE ELSE 0 END" for r, (t, b, _) in RULES.items()}
-    cells = "\n  UNION ALL ".join(
-        f"SELECT stratum, '{r}' AS rule, {k} AS k, {c}::DOUBLE AS cut, count(*) AS n, count(*) FILTER ({ratio_sql[r]} > {c}) AS x FROM held GROUP BY stratum" for r, (_, _, cs) in RULES.items() for k, c in enumerate(cs)
-    )
-    reasons = ", ".join(f"CASE WHEN {ratio_sql[r]} > (SELECT max(cut) FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM a.stratum) THEN '{r}' END" for r in RULES)
+    rejected = lambda k: " OR ".join(f"{ratio_sql[r]} > {cs[k]}" for r, (_, _, cs) in RULES.items())
+    cells = "\n  UNION ALL ".join(f"SELECT stratum, {k + 1} AS k, count(*) AS n, count(*) FILTER ({rejected(k)}) AS x FROM held GROUP BY stratum" for k in range(LEVELS))
+    reasons = ", ".join(f"CASE WHEN {ratio_sql[r]} > list_extract([{', '.join(f'{c}::DOUBLE' for c in cs)}], level) THEN '{r}' END" for r, (_, _, cs) in RULES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -178,10 +184,11 @@ m AS (SELECT w.rid, doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(le
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
 cells AS ({cells}),
-tails AS (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) AS tail, (SELECT count(DISTINCT coalesce(stratum, chr(0))) FROM held) AS strata FROM cells),
-ok AS (SELECT *, bool_and(x < n * {alpha!r} AND tail <= {delta!r} / strata) OVER (PARTITION BY stratum, rule ORDER BY k) AS good FROM tails),
-chosen AS (SELECT stratum, rule, min(cut) AS cut FROM ok WHERE good GROUP BY stratum, rule),
-a AS (SELECT * FROM b),
+able AS (SELECT *, (SELECT count(*) FROM cells WHERE k = 1 AND n * ln(1 - {alpha!r}) <= ln({delta!r})) AS strata FROM cells WHERE n * ln(1 - {alpha!r}) <= ln({delta!r})),
+tails AS (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) AS tail FROM able),
+ok AS (SELECT *, bool_and(x < n * {alpha!r} AND tail <= {delta!r} / strata) OVER (PARTITION BY stratum ORDER BY k) AS good FROM tails),
+chosen AS (SELECT stratum, max(k) AS level FROM ok WHERE good GROUP BY stratum),
+a AS (SELECT b.*, c.level FROM b LEFT JOIN chosen c ON c.stratum IS NOT DISTINCT FROM b.stratum),
 z AS (SELECT a.*, CASE WHEN base_failed THEN '' ELSE concat_ws(',', {reasons}) END AS reasons FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, n_lines, n_upper, n_marks, reasons FROM z
 """

@@ -236,8 +236,34 @@ def test_binomial_and_cutoffs(spark):
     measured = spark.createDataFrame(held, "id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
     good = spark.createDataFrame([(i, 1) for i in range(3020)], "id long, good int")
     cuts = {r["stratum"]: r for r in quality.cutoffs(measured, good).collect()}
-    assert cuts["rare"]["cut_symbols"] is None  # twenty labels certify nothing
-    assert cuts["en"]["cut_symbols"] == 0.05 and cuts["en"]["cut_marks"] == 0.15  # 6 of 3000 rejected: below 0.6 %
+    assert "rare" not in cuts  # twenty labels certify nothing
+    assert cuts["en"]["level"] == 7 and (cuts["en"]["cut_symbols"], cuts["en"]["cut_marks"]) == (0.05, 0.15)  # 6 of 3000 rejected
+
+
+def test_levels_by_brute_force(spark):
+    """The level of each stratum by exact binomial sums over counts of all levels, with strata that certify some, none, all."""
+    from math import comb
+    import random
+
+    rng, held, strata = random.Random(4), [], {"a": (600, 0.2), "b": (300, 0.05), "c": (90, 0.0), "d": (150, 0.0), None: (1000, 0.6)}
+    for name, (n, spread) in strata.items():
+        for _ in range(n):
+            counts = {"n_words": 100, "word_chars": 500, "n_lines": 20, "n_symbols": int(rng.random() ** 12 * 110 * spread), "n_dup_lines": int(rng.random() ** 20 * 19 * spread)}
+            held.append((len(held), name, *[counts.get(c, 0) for c in quality.COUNTS]))
+    measured = spark.createDataFrame(held, "id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    good = spark.createDataFrame([(r[0], 1) for r in held], "id long, good int")
+    got = {r["stratum"]: r["level"] for r in quality.cutoffs(measured, good).collect()}
+    able = {s for s, (n, _) in strata.items() if 0.97**n <= 0.05}
+    want = {}
+    for s in able:
+        own = [dict(zip(quality.COUNTS, r[2:], strict=True)) for r in held if r[1] == s]
+        for k in range(quality.LEVELS):
+            x = sum(any(o[b] and o[t] / o[b] > cs[k] for t, b, cs in quality.RULES.values()) for o in own)
+            tail = sum(comb(len(own), i) * 0.03**i * 0.97 ** (len(own) - i) for i in range(x + 1))
+            if x >= 0.03 * len(own) or tail > 0.05 / len(able):
+                break
+            want[s] = k + 1
+    assert got == want and "c" not in got and len(set(got.values())) > 1
 
 
 def test_mixing(docs, corpus, spark):
