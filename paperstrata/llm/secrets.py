@@ -7,13 +7,17 @@ A run is tested whole, and so are its parts of MIN_RUN characters or more betwee
 + / and - _ only), since a key may be glued to words in a URL or path. All are hypotheses of the same control. Of added spans,
 those inside another one go.
 
-Battery. The encoding (hex, base32, alphanumeric, base64) is inferred from the characters. Chi-squared uniformity over its
-alphabet is a linear function of the number of equal pairs of characters; its distribution for written text of the same
-length (moments of a letter distribution, see WRITTEN) gives the p value of the null hypothesis "written": few equal pairs
-are evidence against it, and the longer the run, the more so. Besides, uniformity, the runs test (above or below the middle
-of the alphabet) and the serial correlation of neighbours must be compatible with randomness; else p is 1. False discoveries
-are controlled by Benjamini-Hochberg over the whole corpus within classes of encoding and length, so short runs, which have
-little power, don't borrow from long ones.
+Battery. The encoding (hex, base32, alphanumeric, base64) is inferred from the characters. Three tests ask how a written run
+would come to look like this one, each in nats of evidence against "written":
+* alphabet: the likelihood ratio of letters drawn uniformly from the encoding's against letters of written text (LETTERS);
+  as a likelihood ratio exceeds e**t under the other hypothesis with probability e**-t at most, exp(-t) is a p value;
+* runs: changes between lower case, upper case and digits, of which written runs have few (see ENCODINGS);
+* serial dependence: vowels and consonants alternate in written letters in WRITTEN_TURNS of neighbour pairs or more.
+The last two are Chernoff bounds of binomial tails, so they hold at every length. Fisher's method combines the three (which
+takes them to be independent given that the run is written). Besides, chi-squared uniformity over the alphabet, the runs test
+above and below its middle, and the serial correlation of neighbours must not speak against a random run; else p is 1. False
+discoveries are controlled by Benjamini-Hochberg over the whole corpus within classes of encoding and length, so short runs,
+which have little power, don't borrow from long ones.
 
 Scale. One pass reads the texts and stages spans and p bins; a histogram of bins per class (bounded: BINS bins, a few hundred
 classes) yields the thresholds, which are broadcast as one row. Nothing is exploded but the candidates of the histogram.
@@ -21,6 +25,8 @@ classes) yields the thresholds, which are broadcast as one row. Nothing is explo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,14 +46,17 @@ RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}"
 #: Parts of a run: between all four separators, between those that base64 has not, and between those that its URL form has not.
 PARTS = (f"[A-Za-z0-9]{{{MIN_RUN},}}={{0,2}}", f"[A-Za-z0-9+/]{{{MIN_RUN},}}={{0,2}}", f"[A-Za-z0-9_-]{{{MIN_RUN},}}={{0,2}}")
 DIGITS, UPPER, LOWER = "0123456789", C.UPPER, C.UPPER.lower()
-#: encoding: (pattern, alphabet, sum of squares and of cubes of the symbol frequencies of written text in it). For hex, text
-#: is decimal digits; for the others, letters of one case.
-WRITTEN = {
-    "hex": ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", 0.1, 0.01),
-    "base32": ("[A-Z2-7]+", UPPER + "234567", 0.065, 0.0054),
-    "alnum": ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS, 0.065, 0.0054),
-    "base64": ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/", 0.065, 0.0054),
+#: encoding: (pattern, alphabet, how many letters, in one case, it has, most changes of kind a pair of neighbours in written
+#: runs: names in mixed case change at every word, those in one case between words and numbers only).
+ENCODINGS = {
+    "hex": ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", 6, 0.15),
+    "base32": ("[A-Z2-7]+", UPPER + "234567", 26, 0.15),
+    "alnum": ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS, 26, 0.3),
+    "base64": ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/", 26, 0.3),
 }
+#: Rough shares (per thousand) of a to z in written English, German, French and Spanish taken together.
+LETTERS = (80, 13, 32, 42, 145, 12, 18, 32, 72, 5, 8, 45, 28, 78, 55, 22, 5, 66, 72, 68, 47, 13, 10, 3, 8, 7)
+WRITTEN_TURNS = 0.5
 BINS, PER_DECADE = 400, 20
 BLOCK = 512
 
@@ -82,38 +91,54 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), C.bind(found, placed)).otherwise(F.array()).cast(kind)
 
 
-def tail(z: Column) -> Column:
-    """P(Z <= z) of a standard normal variable, relatively exact in the lower tail (a rational approximation)."""
-    x = F.abs(z)
-    t = 1 / (1 + F.lit(0.2316419) * x)
-    upper = F.exp(-x * x / 2) * F.lit(0.3989422804014327) * t * (F.lit(0.319381530) + t * (F.lit(-0.356563782) + t * (F.lit(1.781477937) + t * (F.lit(-1.821255978) + t * F.lit(1.330274429)))))
-    return F.when(z <= 0, upper).otherwise(1 - upper)
-
-
 def _by_encoding(enc: Column, value) -> Column:
     out = F.lit(None)
-    for name, spec in WRITTEN.items():
+    for name, spec in ENCODINGS.items():
         out = F.when(enc == name, F.lit(value(spec))).otherwise(out)
     return out
 
 
+def _evidence(x: Column, n: Column, p: Column, more: bool) -> Column:
+    """-ln of the Chernoff bound of a binomial tail: x or more (or x or fewer) of n at probability p."""
+    r, part = x / n, lambda q, p: F.when(q > 0, q * F.log(q / p)).otherwise(F.lit(0.0))
+    return F.when((n > 0) & ((r > p) if more else (r < p)), n * (part(r, p) + part(1 - r, 1 - p))).otherwise(F.lit(0.0))
+
+
+def _squeezed(s: Column) -> Column:
+    return F.regexp_replace(s, "(.)\\1+", "$1")
+
+
 def p_written(run: Column) -> Column:
     """encoding, n, p of a run: the p value of its being written text; 1 where a test speaks against randomness. Digits alone
     are numbers and have p 1."""
     body = F.regexp_replace(run, "=+$", "")
     enc = F.lit(None).cast("string")
-    for name, (pattern, *_) in reversed(WRITTEN.items()):
+    for name, (pattern, *_) in reversed(ENCODINGS.items()):
         enc = F.when(body.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(enc)
     norm = lambda b, e: F.translate(F.when(e == "hex", F.lower(b)).otherwise(b), "-_", "+/")
 
+    def written(b: Column, e: Column) -> Column:
+        """Nats of evidence of the three tests against a written run."""
+        low = F.lower(b)
+        scores = F.array(F.lit(0.0), *[F.lit(math.log(1000 / 26 / x)) for x in LETTERS])
+        per_letter = _by_encoding(e, lambda s: math.log(26 / s[2]))
+        letters = F.translate(low, DIGITS + "+/", "")
+        alphabet = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(F.get(scores, F.position(c, F.lit(LOWER))) + per_letter))
+        kinds = F.translate(b, LOWER + UPPER + DIGITS + "+/", "l" * 26 + "u" * 26 + "d" * 10)
+        changes = _evidence(F.char_length(_squeezed(kinds)) - 1.0, F.char_length(kinds) - 1.0, _by_encoding(e, lambda s: s[3]), True)
+        sounds = F.translate(low, LOWER + DIGITS + "+/", "".join("v" if c in "aeiou" else "c" for c in LOWER) + " " * 12)
+        groups = F.size(F.filter(F.split(sounds, " +"), lambda g: g != ""))
+        count = lambda s: (F.char_length(F.replace(s, F.lit(" "), F.lit(""))) - groups).cast("double")
+        turns = _evidence(count(_squeezed(sounds)), count(sounds), F.lit(WRITTEN_TURNS), False)
+        return F.greatest(alphabet, F.lit(0.0)) + changes + turns
+
     def tested(x: Column) -> Column:
         n, v, b, e = F.size(x["v"]).cast("double"), x["v"], x["b"], x["e"]
-        k, s2, s3 = (_by_encoding(e, f) for f in (lambda s: float(len(s[1])), lambda s: s[2], lambda s: s[3]))
+        k = _by_encoding(e, lambda s: float(len(s[1])))
         count = lambda c: (F.char_length(b) - F.char_length(F.replace(b, c, F.lit("")))).cast("double")
         equal = F.aggregate(F.array_distinct(F.split(b, "")), F.lit(0.0), lambda a, c: a + count(c) * (count(c) - 1) / 2)
         pairs = n * (n - 1) / 2
-        z_written = (equal - pairs * s2) / F.sqrt(pairs * s2 * (1 - s2) + n * (n - 1) * (n - 2) * F.greatest(s3 - s2 * s2, F.lit(0.0)))
-        z_uniform = (equal - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k))
+        z_uniform = (equal - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k))  # chi-squared is linear in the equal pairs
         above = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y > k / 2).cast("double"))
         runs = F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda p, q: ((p > k / 2) != (q > k / 2)).cast("double")), F.lit(1.0), lambda a, y: a + y)
         mu = 2 * above * (n - above) / n + 1
@@ -123,7 +148,8 @@ def p_written(run: Column) -> Column:
         products = F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda p, q: (p - mean) * (q - mean)), F.lit(0.0), lambda a, y: a + y)
         z_serial = F.when(spread > 0, products / spread * F.sqrt(n)).otherwise(F.lit(99.0))
         random = (z_uniform < 4) & (F.abs(z_runs) < 3.3) & (F.abs(z_serial) < 3.3) & ~b.rlike("^[0-9]+$")
-        return F.struct(e.alias("encoding"), n.cast("int").alias("n"), F.when(random, tail(z_written)).otherwise(F.lit(1.0)).alias("p"))
+        fisher = C.bind(written(b, e), lambda t: F.exp(-t) * (1 + t + t * t / 2))  # chi-squared of 6 degrees
+        return F.struct(e.alias("encoding"), n.cast("int").alias("n"), F.when(random, fisher).otherwise(F.lit(1.0)).alias("p"))
 
     def values(x: Column) -> Column:
         alphabet = _by_encoding(x["e"], lambda s: s[1])
