@@ -1,9 +1,10 @@
 """Exact dedup: 128-bit content hash groups, one row of each stays, bytes compared inside the groups.
 
-Method. Every text is normalised (A-Z lower-cased, nothing else) and hashed with MD5. One aggregation groups by hash *and*
-normalised text, so Spark compares the bytes of all texts of a hash; equal texts collapse before the shuffle, which
-therefore carries each text about once however large a group is. A hash with more than one text is a collision; its rows
-are assigned by text. All other rows are assigned by hash alone, without moving texts again.
+Method. Every text is normalised (A-Z lower-cased, nothing else) and hashed with MD5; hashes, ids and SHA-256 are staged, and
+everything but the comparison works on those rows. Hashes of two rows or more are groups, and only texts of those are read
+again: they are aggregated by hash *and* normalised text, so Spark compares the bytes of all texts of a hash, and equal texts
+collapse before the shuffle, which therefore carries each repeated text about once however large its group is. A hash with
+more than one text is a collision; its rows are assigned by text. All other rows are assigned by hash alone.
 
 Skew. A group with a large share of the rows is one row per task after the partial aggregation. For the assignment,
 groups of at least 1/HOT_SHARE of all rows (at most HOT_SHARE of them, whatever the input) are broadcast, and all others
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 from . import common as C
 
 HOT_SHARE = 1000
+#: Hashes of 16 bytes.
+BROADCAST_HASHES = 500_000
 
 
 def content_hash(text: Column) -> Column:
@@ -36,17 +39,19 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     rows = docs.select(F.col(id_col).alias("id"), C.ascii_lower(C.text_of(text_col)).alias("norm"))
     hashed = rows.select("id", "norm", hasher(F.col("norm")).alias("h"))
     best = F.max("id") if keep == "largest" else F.min("id")
-    groups = C.stage(
-        hashed.groupBy("h", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("h", "keep_id", "group_size", F.sha2("norm", 256).alias("sha"))
-    )
-    out = _by_hash(hashed.select("id", "h", F.sha2("norm", 256).alias("sha")), groups)
-    collided = groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    if collided.limit(1).count():
-        collided = C.stage(collided)
-        texts = hashed.join(collided, "h", "left_semi")
-        exact = texts.groupBy("h", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = texts.join(exact, ["h", "norm"]).select("id", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-        out = _by_hash(hashed.select("id", "h", F.sha2("norm", 256).alias("sha")).join(collided, "h", "left_anti"), groups.join(collided, "h", "left_anti")).unionByName(apart)
+    own = C.stage(hashed.select("id", "h", F.sha2("norm", 256).alias("sha")))
+    groups = C.stage(own.groupBy("h").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    repeated = groups.filter("group_size > 1")
+    texts = hashed.join(C.maybe_broadcast(repeated.select("h"), BROADCAST_HASHES), "h", "left_semi")
+    collided = texts.groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    collided = C.stage(collided)
+    if not collided.limit(1).count():
+        out = _by_hash(own, groups)
+    else:
+        apart = hashed.join(C.maybe_broadcast(collided, BROADCAST_HASHES), "h", "left_semi")
+        exact = apart.groupBy("h", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        apart = apart.join(exact, ["h", "norm"]).select("id", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+        out = _by_hash(own.join(collided, "h", "left_anti"), groups.join(collided, "h", "left_anti")).unionByName(apart)
     nth = F.row_number().over(W.partitionBy("id", "sha").orderBy(F.lit(1)))
     return out.withColumn("nth", nth).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
