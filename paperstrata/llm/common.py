@@ -64,11 +64,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder for staged tables: under spark.checkpoint.dir, which all executors share; a folder of its own only where
-    that setting is absent, as in tests on one machine. It goes when the driver's Python ends."""
+    """The folder for staged tables: under spark.checkpoint.dir, which all executors share. Where that setting is absent, a
+    temporary folder takes its place on one machine, and on a cluster it is an error, since executors wouldn't see each
+    other's files. The folder goes when the driver's Python ends."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = f"file://{tempfile.mkdtemp(prefix='stages-')}"
         _roots[app] = f"{base.rstrip('/')}/stages-{app}"

@@ -2,9 +2,9 @@
 
 Method. A document's set is its distinct five-word shingles, hashed once with a 64-bit function. Its sketch is the K smallest
 hashes. Documents with equal sets collapse to one. Inverted lists of retained values generate candidates: two sets with
-Jaccard similarity s share about s*K retained values, and at 0.85 fewer than SHARED with a probability below 1e-8; sets of up
-to s*K elements lie in their sketches whole. So it is enough to list each document under its K - SHARED + 1 rarest retained
-values (prefix filter; order: document frequency, then value). Pairs from a list are filtered by the Jaccard estimate of the
+Jaccard similarity s share about s*K retained values, and fewer than ``shared_values`` of them with a probability below MISS;
+sets of up to s*K elements lie in their sketches whole. So it is enough to list each document under its K - shared + 1 rarest
+retained values (prefix filter; order: document frequency, then value). Pairs from a list are filtered by the Jaccard estimate of the
 union's sketch, six standard deviations wide, and then verified on the full sets.
 
 Skew. Lists aren't expanded to their pairs. In each round every list names one centre, the member with the fewest values of
@@ -28,12 +28,25 @@ from . import common as C
 from . import graph
 
 K = 48
-SHARED = 24
+#: The chance to miss a link at exactly the threshold.
+MISS = 1e-8
 LIST = 48
 ROUNDS = 4
 MOST_ROUNDS = 6
 WIDE = 512
-BROADCAST_IDS = 4_000_000
+#: Ids, of 8 bytes where they are numbers.
+BROADCAST_IDS = 500_000
+
+
+def shared_values(k: int, percent: int) -> int:
+    """The most values that two sketches of k at the threshold share but for a probability of MISS (each value of the union's
+    sketch is shared with the probability of the similarity)."""
+    p, below = percent / 100, 0.0
+    for n in range(k + 1):
+        below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        if below > MISS:
+            return max(1, n)
+    return k
 
 
 def shingle_set(text: Column, width: int = 5) -> Column:
@@ -149,7 +162,7 @@ class _Search:
         return True
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K, shared: int = SHARED, list_size: int = LIST, rounds: int = ROUNDS) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K, shared: int | None = None, list_size: int = LIST, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: the id, n_shingles (size of its set), component_id (smallest id reachable by links, itself
     included), kept (id = component_id).
 
@@ -158,6 +171,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows of their own, linked if their texts are; all rows with the component's id are kept. Null ids are larger than others.
     Empty input gives an empty result. Other columns are ignored.
     """
+    shared = shared or shared_values(k, percent)
     rows = sketches(docs, id_col, text_col, width, k)
     reps = C.stage(rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("rid").alias("rid"), F.min_by("id", "rid").alias("id"), F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     search = _Search(docs, id_col, text_col, width, reps, percent, k)

@@ -115,6 +115,15 @@ def test_near(docs, corpus, settings):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(got)} == brute_near(corpus, 85)
 
 
+def test_shared_values():
+    from math import comb
+
+    for k, percent in ((48, 85), (48, 80), (64, 70)):
+        n, p = near_dedup.shared_values(k, percent), percent / 100
+        chance = lambda m: sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(m))  # noqa: E731, B023
+        assert chance(n) <= near_dedup.MISS < chance(n + 1)
+
+
 def test_near_keeps_one(docs, corpus):
     kept = near_dedup.near_dedup(docs, percent=80)
     assert kept.columns == docs.columns
