@@ -6,6 +6,7 @@ prefix or depth-first query is a filter or sort on ``tree_path`` and ``order_pat
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,21 +15,22 @@ from pyspark.sql import Window as W
 
 from ..session import table
 
-MAX_DEPTH = 64
-
 
 def build_paths(nodes: DataFrame) -> DataFrame:
-    """``nodes`` reachable from a root (null parent) with tree_path, order_path and path. Cycles and orphans stay out."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE t MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT id, parent_id, ordinal, kind, title, array(id) AS tree_path, array(cast(coalesce(ordinal, 0) AS int)) AS order_path, title AS path FROM _tree_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, n.parent_id, n.ordinal, n.kind, n.title, concat(t.tree_path, array(n.id)), concat(t.order_path, array(cast(coalesce(n.ordinal, 0) AS int))), concat(t.path, '/', n.title)
-          FROM t JOIN _tree_nodes n ON n.parent_id = t.id)
-        SELECT * FROM t"""
-    )
+    """``nodes`` reachable from a root (null parent) with tree_path, order_path and path. Cycles and orphans stay out. Each round
+    joins the last level's nodes with their children; trees may have any number of nodes and levels."""
+    own = nodes.select("id", "parent_id", "ordinal", "kind", "title")
+    here = F.coalesce("ordinal", F.lit(0)).cast("int")
+    roots = own.filter("parent_id IS NULL").select("*", F.array("id").alias("tree_path"), F.array(here).alias("order_path"), F.col("title").alias("path"))
+    level, out = staged(roots), []
+    below = staged(own.filter("parent_id IS NOT NULL"))
+    while not level.isEmpty():
+        out.append(level)
+        up = level.select(F.col("id").alias("up"), F.col("tree_path").alias("t"), F.col("order_path").alias("o"), F.col("path").alias("p"))
+        down = below.join(up, F.col("parent_id") == F.col("up"))
+        paths = (F.array_append("t", F.col("id")).alias("tree_path"), F.array_append("o", here).alias("order_path"), F.concat("p", F.lit("/"), "title").alias("path"))
+        level = staged(down.select("id", "parent_id", "ordinal", "kind", "title", *paths))
+    return functools.reduce(DataFrame.unionByName, out or [level])
 
 
 def children(paths: DataFrame, parent: str) -> DataFrame:
@@ -77,10 +79,13 @@ def validate(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, which cuts its lineage; a temporary one where none is set, as in tests."""
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder (spark.checkpoint.dir), which cuts its lineage. Where none is set, a temporary
+    folder takes its place on one machine, and on a cluster it is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paths-')}")
     return df.checkpoint()
 
@@ -92,15 +97,15 @@ def closure(relations: DataFrame, seeds: DataFrame, both: bool = True) -> DataFr
     edges = relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target")
     if both:
         edges = edges.unionByName(edges.select(F.col("target").alias("path"), F.col("path").alias("target")))
-    edges = _staged(edges.distinct())
-    reached = new = _staged(seeds.select("path").distinct())
+    edges = staged(edges.distinct())
+    reached = new = staged(seeds.select("path").distinct())
     rounds = 0
     while not new.isEmpty():
         found = edges.join(new, "path", "left_semi").select(F.col("target").alias("path")).distinct()
-        new = _staged(found.join(reached, "path", "left_anti"))
+        new = staged(found.join(reached, "path", "left_anti"))
         reached, rounds = reached.unionByName(new), rounds + 1
         if rounds % 8 == 0:  # else the union of all rounds grows
-            reached = _staged(reached.coalesce(max(1, edges.rdd.getNumPartitions())))
+            reached = staged(reached.coalesce(max(1, edges.rdd.getNumPartitions())))
     return reached
 
 
@@ -108,7 +113,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     """Relations left when those from paths that are no target, or to targets that are no path, go until none goes any more."""
     n, left = edges.count(), edges
     while n:
-        left = _staged(left.join(left.select(F.col("target").alias("path")).distinct(), "path", "left_semi").join(left.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target"))
+        left = staged(left.join(left.select(F.col("target").alias("path")).distinct(), "path", "left_semi").join(left.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target"))
         before, n = n, left.count()
         if n == before:
             break
@@ -121,7 +126,7 @@ def cycles(relations: DataFrame) -> DataFrame:
     After trimming, relations of one target a path are cycles and nothing else. Otherwise each path gets the largest path that
     reaches it (a fixpoint); those that reach that one within their own colour are its component, and are taken out.
     """
-    all_edges = _staged(relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target").distinct())
+    all_edges = staged(relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target").distinct())
     found = [all_edges.filter("path = target").select("path")]
     edges = all_edges.filter("path <> target")
     while True:
@@ -131,17 +136,17 @@ def cycles(relations: DataFrame) -> DataFrame:
         if n == paths.count():
             found.append(paths)
             break
-        colours, changed = _staged(paths.select("path", F.col("path").alias("colour"))), True
+        colours, changed = staged(paths.select("path", F.col("path").alias("colour"))), True
         while changed:
             given = edges.join(colours, "path").groupBy(F.col("target").alias("path")).agg(F.max("colour").alias("given"))
-            after = _staged(colours.join(given, "path").select("path", F.greatest("colour", "given").alias("colour"), (F.col("given") > F.col("colour")).alias("moved")))
+            after = staged(colours.join(given, "path").select("path", F.greatest("colour", "given").alias("colour"), (F.col("given") > F.col("colour")).alias("moved")))
             changed, colours = not after.filter("moved").isEmpty(), after.drop("moved")
         own = edges.join(colours, "path").join(colours.select(F.col("path").alias("target"), F.col("colour").alias("other")), "target").filter("colour = other")
         settled = closure(own.select(F.col("target").alias("path"), F.col("path").alias("target")), colours.filter("path = colour").select("path"), both=False)
-        settled = _staged(settled.join(colours, "path"))
+        settled = staged(settled.join(colours, "path"))
         several = settled.groupBy("colour").count().filter("count > 1").select("colour")
         found.append(settled.join(several, "colour", "left_semi").select("path"))
-        edges = _staged(edges.join(settled.select("path"), "path", "left_anti").join(settled.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target"))
+        edges = staged(edges.join(settled.select("path"), "path", "left_anti").join(settled.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
