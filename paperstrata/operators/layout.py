@@ -225,3 +225,139 @@ _ALL = _of_boxes(_all_boxes, _all_cells, _ALL_BOX)
 _ALL["row_compare_exact"] = (_ALL["row_compare_exact"][0], f"SELECT id AS row, '1' AS changed FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
 _ALL["row_compare_lcs"] = (_ALL["row_compare_lcs"][0], f"SELECT id AS row, 1 AS column, l_returnflag AS want, 'changed' AS have, 0.0 AS similarity FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
 QUERIES |= {f"{name}_all": query for name, query in _ALL.items()}
+
+
+def line_intersects(line: str = "a", box: str = "b") -> Column:
+    """A line (x1, y1, x2, y2) touches a box (x, y, w, h), edges included: by its own bounds."""
+    c = lambda t, x: F.col(f"{t}_{x}")
+    low, high = (lambda d: F.least(c(line, f"{d}1"), c(line, f"{d}2"))), (lambda d: F.greatest(c(line, f"{d}1"), c(line, f"{d}2")))
+    side = lambda d, size: (low(d) <= c(box, d) + c(box, size)) & (high(d) >= c(box, d))
+    return side("x", "w") & side("y", "h")
+
+
+def lines_in(lines_: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Pairs (line, box) of lines (id, page, x1, y1, x2, y2) and boxes that touch: the boxes of the lines' bounds meet the others
+    in grid cells, and each pair is told once."""
+    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
+    la = lines_.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "page", "x1", "y1", "x2", "y2")])
+    la = la.withColumn("cx", F.explode(span(F.least("a_x1", "a_x2"), F.greatest("a_x1", "a_x2")))).withColumn("cy", F.explode(span(F.least("a_y1", "a_y2"), F.greatest("a_y1", "a_y2"))))
+    lb = _named(boxes, "b").withColumn("cx", F.explode(span(F.col("b_x"), F.col("b_x") + F.col("b_w")))).withColumn("cy", F.explode(span(F.col("b_y"), F.col("b_y") + F.col("b_h"))))
+    first = (F.col("cx") == F.floor(F.greatest(F.least("a_x1", "a_x2"), "b_x") / cell)) & (F.col("cy") == F.floor(F.greatest(F.least("a_y1", "a_y2"), "b_y") / cell))
+    joined = la.join(lb.withColumnsRenamed({"cx": "dx", "cy": "dy"}), (F.col("a_page") == F.col("b_page")) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")))
+    return joined.filter(line_intersects() & first).select(F.col("a_id").alias("line"), F.col("b_id").alias("box"))
+
+
+def positional(struct: Column, fields: list[str]) -> Column:
+    """A record as an array of its fields' values in a fixed order, as text; null where it has none."""
+    return F.array(*[struct[f].cast("string") for f in fields])
+
+
+def scoped(items: DataFrame, scopes: DataFrame, fields: list[str], version: str) -> DataFrame:
+    """Per scope (id, page, x, y, w, h), the items of its page that meet it as positional records in order of id, and a revision:
+    the SHA-256 of version, scope and records. A scope is a region of one page, so its records are one list."""
+    hit = overlap_join(items, scopes).select(F.col("a_id").alias("id"), F.col("b_id").alias("scope"))
+    records = items.select("id", positional(F.struct(*fields), fields).alias("record"))
+    own = hit.join(records, "id").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("id", "record"))).alias("r"))
+    both = scopes.select(F.col("id").alias("scope"), "page", "x", "y", "w", "h").join(own, "scope", "left")
+    listed = F.coalesce(F.transform("r", lambda x: x["record"]), F.array().cast("array<array<string>>"))
+    place = F.concat_ws(",", *[F.col(c).cast("string") for c in ("page", "x", "y", "w", "h")])
+    told = F.concat_ws("\n", F.lit(version), place, F.array_join(F.transform(listed, lambda x: F.array_join(x, ",", "")), "\n"))
+    return both.select("scope", listed.alias("records"), F.sha2(told, 256).alias("revision"))
+
+
+def evidence_segments(segments: DataFrame, full: Column) -> DataFrame:
+    """Segments (table, pos) that are shown: all of a table where ``full`` holds, else its first and last."""
+    up, down = W.partitionBy("table").orderBy("pos"), W.partitionBy("table").orderBy(F.desc("pos"))
+    return segments.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down)).filter(full | (F.col("_u") == 1) | (F.col("_d") == 1)).drop("_u", "_d")
+
+
+def large_enough(width: float, height: float, share: float = 0.05) -> Column:
+    """Images of at least a share of the page's area."""
+    return F.abs(F.col("w") * F.col("h")) / (width * height) >= share
+
+
+def table_signals(runs: Column, ruled: Column, vector_lines: Column, most_runs: int = 3, most_lines: int = 80) -> Column:
+    """Reasons to look for tables on a page: direct ones (many runs of aligned text, many lines) and weak ones (any at all)."""
+    runs, ruled, vector_lines = (F.coalesce(c, F.lit(0)) for c in (runs, ruled, vector_lines))
+    return F.array_compact(
+        F.array(
+            F.when(runs >= most_runs, F.lit("direct: text runs")),
+            F.when(vector_lines >= most_lines, F.lit("direct: vector lines")),
+            F.when(ruled > 0, F.lit("weak: ruled table")),
+            F.when((runs > 0) & (runs < most_runs), F.lit("weak: text run")),
+        )
+    )
+
+
+def needs_agent(kind: Column, ignored: Column) -> Column:
+    """Blocks whose content rules can't read off: tables, figures, and grids found as a last resort."""
+    return kind.isin("table", "figure", "grid_fallback") & ~F.coalesce(ignored, F.lit(False))
+
+
+def words_in_images(words: DataFrame, images: DataFrame, targets: DataFrame) -> DataFrame:
+    """Words (id) whose centre is both in an image and in a target of their page."""
+    inside = lambda boxes: overlap_join(words, boxes).filter(centre_in()).select(F.col("a_id").alias("id")).distinct()
+    return inside(images).join(inside(targets), "id", "left_semi")
+
+
+def located(items: DataFrame, values: DataFrame, width: float, height: float, gap: float = 50.0, margin: float = 14.0) -> DataFrame:
+    """Where the cell values (page, value) of a page's table stand among its text items (id, page, x, y, w, h, text): the box of
+    the largest cluster of matching items, wider by the margin, on the page. Pages with fewer than three matches, or whose
+    cluster has fewer different values than two or a quarter of all, have none. Ties: the uppermost cluster."""
+    cell = lambda c: T.collapse_spaces(F.lower(F.regexp_replace(c, "[*_`]+", "")))
+    wanted = values.select("page", cell(F.col("value")).alias("value")).filter("value <> ''").distinct()
+    matched = items.withColumn("value", cell(F.col("text"))).join(wanted, ["page", "value"])
+    matched = matched.withColumn("_all", F.count(F.lit(1)).over(W.partitionBy("page"))).filter("_all >= 3")
+    per = clusters(matched, gap).groupBy("page", "cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("own"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    best = per.groupBy("page").agg(F.max_by(F.struct("own", "x0", "y0", "x1", "y1"), F.struct("n", -F.col("cluster"))).alias("b")).select("page", "b.*")
+    enough = best.join(wanted.groupBy("page").agg(F.count(F.lit(1)).alias("total")), "page").filter(F.col("own") >= F.greatest(F.lit(2.0), F.bround(F.col("total") * 0.25)))
+    return enough.select("page", F.greatest(F.lit(0.0), F.col("x0") - margin).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - margin).alias("y0"), F.least(F.lit(width), F.col("x1") + margin).alias("x1"), F.least(F.lit(height), F.col("y1") + margin).alias("y1"))
+
+
+def _strokes(s, d):
+    return _all_boxes(s, d, "A").select("id", "page", F.col("x").alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (F.col("x") + F.col("w")).alias("x2"), F.col("y").alias("y2"))
+
+
+_ALL_HIT = f"SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.kind AS kind, a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h AS centre FROM ({_ALL_BOX}) a JOIN ({_ALL_BOX}) b ON {_HIT} AND a.kind = 'A'"
+
+QUERIES |= {
+    "line_intersects": (
+        lambda s, d: lines_in(_strokes(s, d), _all_boxes(s, d, "R")),
+        f"SELECT a.id AS line, b.id AS box FROM ({_ALL_BOX}) a JOIN ({_ALL_BOX}) b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R' AND a.x <= b.x + b.w AND a.x + a.w >= b.x AND a.y <= b.y + b.h AND a.y + a.h >= b.y",
+    ),
+    "scoped_geometry": (
+        lambda s, d: scoped(_all_boxes(s, d, "A"), _all_boxes(s, d, "R"), ["id", "kind"], "v1").select("scope", F.size("records").alias("n"), "revision"),
+        f"SELECT id AS scope, count(a) AS n, sha256('v1' || chr(10) || any_value(p) || chr(10) || coalesce(string_agg(a || ',A', chr(10) ORDER BY a), '')) AS revision FROM (SELECT id, page || ',' || x || ',' || y || ',' || w || ',' || h AS p FROM ({_ALL_BOX}) WHERE kind = 'R') LEFT JOIN (SELECT a, b FROM ({_ALL_HIT}) WHERE kind = 'R') ON b = id GROUP BY id",
+    ),
+    "positional_records": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(positional(F.struct("p_brand", "p_size"), ["p_size", "p_brand"]), "|").alias("record")),
+        "SELECT p_partkey, p_size || '|' || p_brand AS record FROM part",
+    ),
+    "evidence_segments": (
+        lambda s, d: evidence_segments(table(s, d, "orders").select(F.col("o_custkey").alias("table"), F.col("o_orderkey").alias("pos")), F.col("table") % 5 == 0),
+        'SELECT t AS "table", pos FROM (SELECT o_custkey AS t, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS u, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS d FROM orders) WHERE t % 5 = 0 OR u = 1 OR d = 1',
+    ),
+    "image_area": (lambda s, d: _all_boxes(s, d).filter(large_enough(200.0, 100.0)).select("id"), f"SELECT id FROM ({_ALL_BOX}) WHERE w * h / 20000 >= 0.05"),
+    "table_signals": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(table_signals(F.col("p_partkey") % 5, F.col("p_partkey") % 3, F.col("p_size") * 2), ",").alias("reasons")),
+        "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 >= 3 THEN 'direct: text runs' END, CASE WHEN p_size * 2 >= 80 THEN 'direct: vector lines' END, CASE WHEN p_partkey % 3 > 0 THEN 'weak: ruled table' END, CASE WHEN p_partkey % 5 IN (1, 2) THEN 'weak: text run' END) AS reasons FROM part",
+    ),
+    "needs_agent": (
+        lambda s, d: table(s, d, "part").filter(needs_agent(F.element_at(F.array(*map(F.lit, ("text", "table", "figure", "grid_fallback"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_size") > 25)).select("p_partkey"),
+        "SELECT p_partkey FROM part WHERE p_partkey % 4 > 0 AND p_size <= 25",
+    ),
+    "words_in_images": (
+        lambda s, d: words_in_images(_all_boxes(s, d, "A"), _all_boxes(s, d, "R"), _all_boxes(s, d, "N")),
+        f"SELECT a AS id FROM ({_ALL_HIT}) WHERE centre GROUP BY a HAVING bool_or(kind = 'R') AND bool_or(kind = 'N')",
+    ),
+    "located_tables": (
+        lambda s, d: located(_all_boxes(s, d), _all_boxes(s, d, "R").filter("id % 3 = 0").select("page", F.concat(F.lit("**"), F.upper("text"), F.lit("** ")).alias("value")).unionByName(_all_boxes(s, d, "R").filter("id % 7 = 0").select("page", F.lit("f").alias("value"))), 595.0, 842.0, 20.0),
+        f"""WITH v AS (SELECT DISTINCT page, lower(text) AS value FROM ({_ALL_BOX}) WHERE kind = 'R' AND id % 3 = 0 UNION SELECT DISTINCT page, 'f' FROM ({_ALL_BOX}) WHERE kind = 'R' AND id % 7 = 0),
+        m AS (SELECT b.*, v.value, count(*) OVER (PARTITION BY b.page) AS n FROM ({_ALL_BOX}) b JOIN v ON v.page = b.page AND v.value = lower(b.text)),
+        j AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, id) > 20 THEN 1 ELSE 0 END AS j FROM m WHERE n >= 3),
+        k AS (SELECT *, sum(j) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS c FROM j),
+        p AS (SELECT page, c, count(*) AS n, count(DISTINCT value) AS own, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM k GROUP BY page, c),
+        b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, c) AS nth FROM p)
+        SELECT page, greatest(0, x0 - 14) AS x0, greatest(0, y0 - 14) AS y0, least(595, x1 + 14) AS x1, least(842, y1 + 14) AS y1 FROM b WHERE nth = 1 AND own >= greatest(2, round_even((SELECT count(*) FROM v WHERE v.page = b.page) * 0.25, 0))""",
+    ),
+}
