@@ -193,17 +193,12 @@ QUERIES = {
         "SELECT p_partkey, 'p_name: ' || p_name || ' | p_brand: ' || p_brand || ' | p_size: ' || p_size AS text FROM part",
     ),
     "text_functions": (
-        lambda s, d: table(s, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), T.escape_html(F.substring("text", 1, 50)).alias("html"), T.pipe_cell(F.substring("text", 1, 50)).alias("cell")),
+        lambda s, d: table(s, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), F.md5(T.escape_html(F.col("text"))).alias("html"), F.md5(T.pipe_cell(F.col("text"))).alias("cell")),
         r"""SELECT doc_id, rtrim(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 180)) AS excerpt,
-        replace(replace(replace(replace(replace(substring(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html, replace(replace(substring(text, 1, 50), '\', '\\'), '|', '\|') AS cell FROM documents""",
+        md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html, md5(replace(replace(text, '\', '\\'), '|', '\|')) AS cell FROM documents""",
     ),
 }
 QUERIES["token_counts"] = (
     lambda s, d: table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("n")),
     r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n FROM documents",
 )
-# text_functions and its SQL escape the first 50 characters; this one the whole text, as a hash.
-QUERIES["text_functions_all"] = (
-    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.escape_html(F.col("text"))).alias("html"), F.md5(T.pipe_cell(F.col("text"))).alias("cell")),
-    r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html, md5(replace(replace(text, '\', '\\'), '|', '\|')) AS cell FROM documents""",
-)

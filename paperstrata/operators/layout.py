@@ -129,42 +129,28 @@ def last_before(rows: DataFrame, by: str, order: str, value: str, within: int) -
     return F.last(value, ignorenulls=True).over(W.partitionBy(by).orderBy(order).rowsBetween(-within, -1))
 
 
-def _boxes(s, d, kind=None):
-    """Deterministic boxes from order lines."""
-    li = table(s, d, "lineitem").filter("l_orderkey <= 2000")
-    out = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 40).alias("page"), (F.col("l_partkey") * 37 % 500).cast("double").alias("x"), (F.col("l_suppkey") * 53 % 760).cast("double").alias("y"), (F.col("l_quantity") * 3).alias("w"), (F.col("l_linenumber") * 5.0).cast("double").alias("h"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("text"))
-    return out if kind is None else out.filter(F.col("kind") == kind)
-
-
-_BOX = "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 40 AS page, CAST(l_partkey * 37 % 500 AS DOUBLE) AS x, CAST(l_suppkey * 53 % 760 AS DOUBLE) AS y, l_quantity * 3 AS w, l_linenumber * 5.0::DOUBLE AS h, l_returnflag AS kind, l_linestatus AS text FROM lineitem WHERE l_orderkey <= 2000"
 _HIT = "a.page = b.page AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
 
 
-def _cells(s, d, edited):
-    li = table(s, d, "lineitem").filter("l_orderkey <= 1000").dropDuplicates(["l_orderkey", "l_linenumber"])
-    flag = F.when((F.col("l_orderkey") % 11 == 0) & F.lit(edited), F.lit("changed")).otherwise(F.col("l_returnflag"))
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.array(F.col("l_quantity").cast("int").cast("string"), flag, F.col("l_linestatus")).alias("cells"))
-
-
-def _all_lines(s, d):
+def _lines(s, d):
     """All order lines, with an id; order and line number alone repeat in the test tables."""
     same = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
     return table(s, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.row_number().over(same))
 
 
-def _all_boxes(s, d, kind=None):
-    """As _boxes, of all order lines, with 20 order keys to a page: more orders are more pages, not larger ones."""
-    out = _all_lines(s, d).select("id", F.expr("l_orderkey DIV 20").alias("page"), (F.col("l_partkey") * 37 % 500).cast("double").alias("x"), (F.col("l_suppkey") * 53 % 760).cast("double").alias("y"), (F.col("l_quantity") * 3).alias("w"), (F.col("l_linenumber") * 5.0).cast("double").alias("h"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("text"))
+def _boxes(s, d, kind=None):
+    """Deterministic boxes from order lines, 20 order keys to a page: more orders are more pages, not larger ones."""
+    out = _lines(s, d).select("id", F.expr("l_orderkey DIV 20").alias("page"), (F.col("l_partkey") * 37 % 500).cast("double").alias("x"), (F.col("l_suppkey") * 53 % 760).cast("double").alias("y"), (F.col("l_quantity") * 3).alias("w"), (F.col("l_linenumber") * 5.0).cast("double").alias("h"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("text"))
     return out if kind is None else out.filter(F.col("kind") == kind)
 
 
-_ALL_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS id FROM lineitem"
-_ALL_BOX = f"SELECT id, l_orderkey // 20 AS page, CAST(l_partkey * 37 % 500 AS DOUBLE) AS x, CAST(l_suppkey * 53 % 760 AS DOUBLE) AS y, l_quantity * 3 AS w, l_linenumber * 5.0::DOUBLE AS h, l_returnflag AS kind, l_linestatus AS text FROM ({_ALL_LINES})"
+_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS id FROM lineitem"
+_BOX = f"SELECT id, l_orderkey // 20 AS page, CAST(l_partkey * 37 % 500 AS DOUBLE) AS x, CAST(l_suppkey * 53 % 760 AS DOUBLE) AS y, l_quantity * 3 AS w, l_linenumber * 5.0::DOUBLE AS h, l_returnflag AS kind, l_linestatus AS text FROM ({_LINES})"
 
 
-def _all_cells(s, d, edited):
+def _cells(s, d, edited):
     flag = F.when((F.col("l_orderkey") % 11 == 0) & F.lit(edited), F.lit("changed")).otherwise(F.col("l_returnflag"))
-    return _all_lines(s, d).select(F.col("id").alias("row"), F.array(F.col("l_quantity").cast("int").cast("string"), flag, F.col("l_linestatus")).alias("cells"))
+    return _lines(s, d).select(F.col("id").alias("row"), F.array(F.col("l_quantity").cast("int").cast("string"), flag, F.col("l_linestatus")).alias("cells"))
 
 
 def _of_boxes(boxes, cells, box):
@@ -220,11 +206,8 @@ QUERIES = _of_boxes(_boxes, _cells, _BOX) | {
         "SELECT o_orderkey, CAST(last_value(u IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS VARCHAR) AS title FROM (SELECT *, CASE WHEN starts_with(o_orderpriority, '1') THEN o_orderdate END AS u FROM orders)",
     ),
 }
-#: The same queries over all order lines. The SQL of those above ends at order key 2000 (cells: 1000), and so do they.
-_ALL = _of_boxes(_all_boxes, _all_cells, _ALL_BOX)
-_ALL["row_compare_exact"] = (_ALL["row_compare_exact"][0], f"SELECT id AS row, '1' AS changed FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
-_ALL["row_compare_lcs"] = (_ALL["row_compare_lcs"][0], f"SELECT id AS row, 1 AS column, l_returnflag AS want, 'changed' AS have, 0.0 AS similarity FROM ({_ALL_LINES}) WHERE l_orderkey % 11 = 0")
-QUERIES |= {f"{name}_all": query for name, query in _ALL.items()}
+QUERIES["row_compare_exact"] = (QUERIES["row_compare_exact"][0], f"SELECT id AS row, '1' AS changed FROM ({_LINES}) WHERE l_orderkey % 11 = 0")
+QUERIES["row_compare_lcs"] = (QUERIES["row_compare_lcs"][0], f"SELECT id AS row, 1 AS column, l_returnflag AS want, 'changed' AS have, 0.0 AS similarity FROM ({_LINES}) WHERE l_orderkey % 11 = 0")
 
 
 def line_intersects(line: str = "a", box: str = "b") -> Column:
@@ -315,19 +298,19 @@ def located(items: DataFrame, values: DataFrame, width: float, height: float, ga
 
 
 def _strokes(s, d):
-    return _all_boxes(s, d, "A").select("id", "page", F.col("x").alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (F.col("x") + F.col("w")).alias("x2"), F.col("y").alias("y2"))
+    return _boxes(s, d, "A").select("id", "page", F.col("x").alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (F.col("x") + F.col("w")).alias("x2"), F.col("y").alias("y2"))
 
 
-_ALL_HIT = f"SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.kind AS kind, a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h AS centre FROM ({_ALL_BOX}) a JOIN ({_ALL_BOX}) b ON {_HIT} AND a.kind = 'A'"
+_PAIRS = f"SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.kind AS kind, a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h AS centre FROM ({_BOX}) a JOIN ({_BOX}) b ON {_HIT} AND a.kind = 'A'"
 
 QUERIES |= {
     "line_intersects": (
-        lambda s, d: lines_in(_strokes(s, d), _all_boxes(s, d, "R")),
-        f"SELECT a.id AS line, b.id AS box FROM ({_ALL_BOX}) a JOIN ({_ALL_BOX}) b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R' AND a.x <= b.x + b.w AND a.x + a.w >= b.x AND a.y <= b.y + b.h AND a.y + a.h >= b.y",
+        lambda s, d: lines_in(_strokes(s, d), _boxes(s, d, "R")),
+        f"SELECT a.id AS line, b.id AS box FROM ({_BOX}) a JOIN ({_BOX}) b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R' AND a.x <= b.x + b.w AND a.x + a.w >= b.x AND a.y <= b.y + b.h AND a.y + a.h >= b.y",
     ),
     "scoped_geometry": (
-        lambda s, d: scoped(_all_boxes(s, d, "A"), _all_boxes(s, d, "R"), ["id", "kind"], "v1").select("scope", F.size("records").alias("n"), "revision"),
-        f"SELECT id AS scope, count(a) AS n, sha256('v1' || chr(10) || any_value(p) || chr(10) || coalesce(string_agg(a || ',A', chr(10) ORDER BY a), '')) AS revision FROM (SELECT id, page || ',' || x || ',' || y || ',' || w || ',' || h AS p FROM ({_ALL_BOX}) WHERE kind = 'R') LEFT JOIN (SELECT a, b FROM ({_ALL_HIT}) WHERE kind = 'R') ON b = id GROUP BY id",
+        lambda s, d: scoped(_boxes(s, d, "A"), _boxes(s, d, "R"), ["id", "kind"], "v1").select("scope", F.size("records").alias("n"), "revision"),
+        f"SELECT id AS scope, count(a) AS n, sha256('v1' || chr(10) || any_value(p) || chr(10) || coalesce(string_agg(a || ',A', chr(10) ORDER BY a), '')) AS revision FROM (SELECT id, page || ',' || x || ',' || y || ',' || w || ',' || h AS p FROM ({_BOX}) WHERE kind = 'R') LEFT JOIN (SELECT a, b FROM ({_PAIRS}) WHERE kind = 'R') ON b = id GROUP BY id",
     ),
     "positional_records": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(positional(F.struct("p_brand", "p_size"), ["p_size", "p_brand"]), "|").alias("record")),
@@ -337,7 +320,7 @@ QUERIES |= {
         lambda s, d: evidence_segments(table(s, d, "orders").select(F.col("o_custkey").alias("table"), F.col("o_orderkey").alias("pos")), F.col("table") % 5 == 0),
         'SELECT t AS "table", pos FROM (SELECT o_custkey AS t, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS u, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS d FROM orders) WHERE t % 5 = 0 OR u = 1 OR d = 1',
     ),
-    "image_area": (lambda s, d: _all_boxes(s, d).filter(large_enough(200.0, 100.0)).select("id"), f"SELECT id FROM ({_ALL_BOX}) WHERE w * h / 20000 >= 0.05"),
+    "image_area": (lambda s, d: _boxes(s, d).filter(large_enough(200.0, 100.0)).select("id"), f"SELECT id FROM ({_BOX}) WHERE w * h / 20000 >= 0.05"),
     "table_signals": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(table_signals(F.col("p_partkey") % 5, F.col("p_partkey") % 3, F.col("p_size") * 2), ",").alias("reasons")),
         "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 >= 3 THEN 'direct: text runs' END, CASE WHEN p_size * 2 >= 80 THEN 'direct: vector lines' END, CASE WHEN p_partkey % 3 > 0 THEN 'weak: ruled table' END, CASE WHEN p_partkey % 5 IN (1, 2) THEN 'weak: text run' END) AS reasons FROM part",
@@ -347,13 +330,13 @@ QUERIES |= {
         "SELECT p_partkey FROM part WHERE p_partkey % 4 > 0 AND p_size <= 25",
     ),
     "words_in_images": (
-        lambda s, d: words_in_images(_all_boxes(s, d, "A"), _all_boxes(s, d, "R"), _all_boxes(s, d, "N")),
-        f"SELECT a AS id FROM ({_ALL_HIT}) WHERE centre GROUP BY a HAVING bool_or(kind = 'R') AND bool_or(kind = 'N')",
+        lambda s, d: words_in_images(_boxes(s, d, "A"), _boxes(s, d, "R"), _boxes(s, d, "N")),
+        f"SELECT a AS id FROM ({_PAIRS}) WHERE centre GROUP BY a HAVING bool_or(kind = 'R') AND bool_or(kind = 'N')",
     ),
     "located_tables": (
-        lambda s, d: located(_all_boxes(s, d), _all_boxes(s, d, "R").filter("id % 3 = 0").select("page", F.concat(F.lit("**"), F.upper("text"), F.lit("** ")).alias("value")).unionByName(_all_boxes(s, d, "R").filter("id % 7 = 0").select("page", F.lit("f").alias("value"))), 595.0, 842.0, 20.0),
-        f"""WITH v AS (SELECT DISTINCT page, lower(text) AS value FROM ({_ALL_BOX}) WHERE kind = 'R' AND id % 3 = 0 UNION SELECT DISTINCT page, 'f' FROM ({_ALL_BOX}) WHERE kind = 'R' AND id % 7 = 0),
-        m AS (SELECT b.*, v.value, count(*) OVER (PARTITION BY b.page) AS n FROM ({_ALL_BOX}) b JOIN v ON v.page = b.page AND v.value = lower(b.text)),
+        lambda s, d: located(_boxes(s, d), _boxes(s, d, "R").filter("id % 3 = 0").select("page", F.concat(F.lit("**"), F.upper("text"), F.lit("** ")).alias("value")).unionByName(_boxes(s, d, "R").filter("id % 7 = 0").select("page", F.lit("f").alias("value"))), 595.0, 842.0, 20.0),
+        f"""WITH v AS (SELECT DISTINCT page, lower(text) AS value FROM ({_BOX}) WHERE kind = 'R' AND id % 3 = 0 UNION SELECT DISTINCT page, 'f' FROM ({_BOX}) WHERE kind = 'R' AND id % 7 = 0),
+        m AS (SELECT b.*, v.value, count(*) OVER (PARTITION BY b.page) AS n FROM ({_BOX}) b JOIN v ON v.page = b.page AND v.value = lower(b.text)),
         j AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, id) > 20 THEN 1 ELSE 0 END AS j FROM m WHERE n >= 3),
         k AS (SELECT *, sum(j) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS c FROM j),
         p AS (SELECT page, c, count(*) AS n, count(DISTINCT value) AS own, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM k GROUP BY page, c),

@@ -18,7 +18,7 @@ BOXES = "bbox_overlap bbox_centre_in union_bbox bbox_expand nearest_box image_co
 @pytest.mark.parametrize("name", BOXES)
 def test_boxes(spark, name):
     """Results go on to the last of the order keys, of which sf0.01 has far more than 2000."""
-    df = registry.queries()[f"{name}_all"](spark, SF)
+    df = registry.queries()[name](spark, SF)
     last = df.selectExpr(f"max({df.columns[0]})").first()[0]
     keys = last * 20 if df.columns[0] == "page" else last // 1000
     top = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("max(o_orderkey)").first()[0]
@@ -35,7 +35,7 @@ def test_statements(spark, name):
     n, customers = orders.count(), orders.select("o_custkey").distinct().count()
     statuses = orders.groupBy("o_custkey").agg({"o_orderstatus": "approx_count_distinct"}).filter("`approx_count_distinct(o_orderstatus)` > 1").select("o_custkey")
     want = {"tq_union_all": 2 * n, "tq_unpivot": 2 * n, "tq_join_lateral": customers, "tq_subquery_exists": orders.join(statuses, "o_custkey", "left_semi").count()}
-    df = registry.queries()[f"{name}_all"](spark, SF)
+    df = registry.queries()[name](spark, SF)
     assert df.count() == want.get(name, n)
 
 
@@ -84,7 +84,7 @@ def test_whole_texts(spark):
     import hashlib
     import html
 
-    got = {r["doc_id"]: r for r in registry.queries()["text_functions_all"](spark, SF).collect()}
+    got = {r["doc_id"]: r for r in registry.queries()["text_functions"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert len(got) == len(docs) and any(html.escape(r["text"][50:]) != r["text"][50:] for r in docs)
     for r in docs:
