@@ -143,10 +143,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **settings) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects; columns as they are. Texts are not shuffled: cutoffs come to the rows."""
+    """``docs`` without the rows that ``judge`` rejects; columns as they are. Texts are measured once, staged with their counts,
+    and not shuffled: cutoffs come to the rows."""
     m, cut_stratum = C.fresh(docs, "m", "cut_stratum")
-    own = docs.withColumn(m, measure(F.col(text_col)))
-    part = C.stage(own.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), *[F.col(f"{m}.{c}").alias(c) for c in COUNTS]))
+    own = C.stage(docs.withColumn(m, measure(F.col(text_col))))
+    part = own.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), *[F.col(f"{m}.{c}").alias(c) for c in COUNTS])
     cuts = C.stage(cutoffs(part, labels.select(F.col(id_col).alias("id"), F.col("quality").alias("good")), **settings))
     names = C.fresh(docs, *[f"cut_{r}" for r in RULES])
     cuts = C.maybe_broadcast(cuts.drop("level").toDF(cut_stratum, *names), BROADCAST_STRATA)
