@@ -106,21 +106,26 @@ def humanise(stem: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """A size for people: B, KB, MB, GB with one decimal."""
-    scaled = lambda unit, size: F.concat(F.format_number(n / size, 1), F.lit(f" {unit}"))
+    scaled = lambda unit, size: F.format_string(f"%.1f {unit}", n.cast("double") / size)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled("KB", 1024)).when(n < 1024**3, scaled("MB", 1024**2)).otherwise(scaled("GB", 1024**3))
 
 
 @F.pandas_udf(StringType())
-def slug(text: pd.Series) -> pd.Series:
-    """ASCII slug of at most 60 characters; ``item`` where nothing is left. Needs Unicode decomposition, hence pandas."""
+def _ascii_slug(text: pd.Series) -> pd.Series:
+    """Needs Unicode decomposition, hence pandas."""
 
-    def one(value: str | None) -> str:
+    def one(value: str | None) -> str | None:
         flat = unicodedata.normalize("NFKD", (value or "").replace("ß", "ss")).encode("ascii", "ignore").decode().lower()
-        return re.sub(r"[^a-z0-9]+", "-", flat).strip("-")[:60].rstrip("-") or "item"
+        return re.sub(r"[^a-z0-9]+", "-", flat).strip("-")[:60].rstrip("-") or None
 
     return text.map(one)
 
 
+def slug(text: Column | str, fallback: str = "node") -> Column:
+    """ASCII slug of at most 60 characters; the fallback where nothing is left."""
+    return F.coalesce(_ascii_slug(text), F.lit(fallback))
+
+
 @F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC without hyphens, soft hyphens and spaces: equal for cells that differ in hyphenation only."""

@@ -99,6 +99,17 @@ def numbered_titles(tables: DataFrame) -> DataFrame:
     return rows.withColumn("title", F.when(F.col("_same") > 1, F.concat("title", F.lit(" — Table "), F.col("_number").cast("string"))).otherwise(F.col("title"))).drop("_number", "_same")
 
 
+def unique_names(names: Column) -> Column:
+    """Column names without blanks and repeats: ``Column i`` and ``name (2)``."""
+    filled = F.transform(names, lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(F.trim(c)))
+
+    def numbered(all_: Column) -> Column:
+        nth = lambda c, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x == c))
+        return F.transform(all_, lambda c, i: F.when(nth(c, i) > 1, F.concat(c, F.lit(" ("), nth(c, i).cast("string"), F.lit(")"))).otherwise(c))
+
+    return F.element_at(F.transform(F.array(filled), numbered), 1)
+
+
 def first_title(text: Column, keyword: str, stem: Column, lines: int = 100, most: int = 120) -> Column:
     """The first of the first ``lines`` lines that holds the keyword and has at most ``most`` characters, without heading
     marks; else the file's stem with - and _ as spaces."""
@@ -273,6 +284,10 @@ QUERIES = {
         lambda s, d: numbered_titles(_lines(s, d).select(F.col("l_orderkey").alias("doc"), F.col("n").alias("pos"), F.col("l_returnflag").alias("title"))),
         f"SELECT l_orderkey AS doc, n AS pos, CASE WHEN count(*) OVER (PARTITION BY l_orderkey, l_returnflag) > 1 THEN l_returnflag || ' — Table ' || n ELSE l_returnflag END AS title FROM ({_LINES})",
     ),
+    "header_names": (
+        lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(unique_names(F.array("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderstatus")), F.lit("F"))), ",").alias("names")),
+        """SELECT o_orderkey, concat_ws(',', o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'Column 2' ELSE o_orderstatus || ' (2)' END, CASE WHEN o_orderstatus <> 'F' THEN 'F' WHEN o_orderkey % 3 = 0 THEN 'F (2)' ELSE 'F (3)' END) AS names FROM orders""",
+    ),
     "first_titles": (
         lambda s, d: table(s, d, "documents").select("doc_id", first_title(F.col("text"), "the", F.concat(F.col("source"), F.lit("_doc-"), F.col("doc_id").cast("string"))).alias("title")),
         "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:100], lambda x: trim(ltrim(trim(x), '#'))), lambda x: contains(lower(x), 'the') AND length(x) <= 120)[1], trim(translate(source || '_doc-' || doc_id, '-_', '  '))) AS title FROM documents",

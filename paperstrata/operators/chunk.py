@@ -185,8 +185,17 @@ QUERIES = {
     "chunk_markdown": (lambda s, d: table(s, d, "documents").select("doc_id", F.explode(markdown_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("c")).select("doc_id", "c.*"), None),
     "chunk_section": (lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(section_chunks("text")).alias("pos", "chunk")), None),
     "markdown_sections": (
-        lambda s, d: _markdown(s, d).select("conv_id", F.explode(markdown_sections("text")).alias("s")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("sections")),
-        "SELECT conv_id, count(*) AS sections FROM conversations GROUP BY conv_id",
+        lambda s, d: _markdown(s, d).select("conv_id", F.posexplode(markdown_sections("text")).alias("pos", "s")).select("conv_id", "pos", F.array_join("s.path", "/").alias("path"), F.md5("s.text").alias("text"), has_body(F.col("s.text")).alias("body")),
+        """SELECT conv_id, row_number() OVER w - 1 AS pos, role AS path, md5('# ' || role || chr(10) || chr(10) || text || chr(10) || CASE WHEN lead(turn) OVER w IS NULL THEN '' ELSE chr(10) END) AS text, trim(text) <> '' AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, '# ' || role || chr(10) || chr(10) || text || chr(10))""",
+    ),
+    "markdown_tables": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(markdown_tables(F.concat(F.lit("before\n\n| name | a\\|b |\n|---|:-:|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n| odd |\n| x | y |\n|--|--|\n\nafter")))).alias("t")).select("p_partkey", F.array_join(F.transform("t", lambda r: F.array_join(r, ";")), "/").alias("cells")),
+        "SELECT p_partkey, 'name;a|b/' || p_name || ';' || p_brand AS cells FROM part UNION ALL SELECT p_partkey, 'x;y' FROM part",
+    ),
+    "search_units": (
+        lambda s, d: units(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("title"), F.col("p_name").alias("body")), table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("id"), F.col("s_suppkey").alias("row_number"), "s_name"), ["s_name"]).select("unit_id", "node_id", "unit_type", "ordinal", "text", "start_line"),
+        """SELECT p_partkey || ':card:1' AS unit_id, CAST(p_partkey AS VARCHAR) AS node_id, 'card' AS unit_type, 1 AS ordinal, p_brand AS text, NULL AS start_line FROM part
+        UNION ALL SELECT p_partkey || ':content_text:1', CAST(p_partkey AS VARCHAR), 'content_text', 1, p_name, 1 FROM part UNION ALL SELECT 's' || s_nationkey || ':table_row:' || s_suppkey, 's' || s_nationkey, 'table_row', s_suppkey, 's_name: ' || s_name, NULL FROM supplier""",
     ),
     "row_units": (
         lambda s, d: table(s, d, "part").select("p_partkey", T.row_text(["p_name", "p_brand", "p_size"]).alias("text")),
@@ -202,3 +211,39 @@ QUERIES["token_counts"] = (
     lambda s, d: table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("n")),
     r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n FROM documents",
 )
+QUERIES |= {
+    "text_slugs": (
+        lambda s, d: table(s, d, "documents").select("doc_id", T.slug(T.excerpt(F.col("text"))).alias("slug")),
+        r"""SELECT doc_id, coalesce(nullif(rtrim(substring(trim(regexp_replace(lower(regexp_replace(strip_accents(replace(rtrim(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 180)), 'ß', 'ss')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'node') AS slug FROM documents""",
+    ),
+    "text_plain": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.plain(F.concat(F.lit("<b>*X*</b> &amp; &lt;"), "text"))).alias("plain")),
+        r"""SELECT doc_id, md5(lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<b>*X*</b> &amp; &lt;' || text, '<[^>]*>|[*_`]', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')))) AS plain FROM documents""",
+    ),
+    "sentence_counts": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"), F.size(T.clauses(F.col("text"))).alias("clauses")),
+        r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '[.!?]\s+')) + 1 - CASE WHEN regexp_matches(text, '[.!?]\s+$') THEN 1 ELSE 0 END END AS sentences,
+        CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '[,;:]\s+')) + 1 - CASE WHEN regexp_matches(text, '[,;:]\s+$') THEN 1 ELSE 0 END END AS clauses FROM documents""",
+    ),
+    "pipe_cells": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.split_pipe_row(F.concat(F.lit("|  "), "p_name", F.lit(" | a\\|b |"), "p_brand", F.lit(" |"))), "~").alias("cells")),
+        "SELECT p_partkey, p_name || '~a|b~' || p_brand AS cells FROM part",
+    ),
+    "headings": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.repeat(F.lit("#"), (F.col("p_partkey") % 9).cast("int")), F.when(F.col("p_partkey") % 4 > 0, " ").otherwise(""), "p_name", F.lit("  ")).alias("line")).select("p_partkey", T.heading(F.col("line"))[0].alias("level"), T.heading(F.col("line"))[1].alias("title")),
+        "SELECT p_partkey, CASE WHEN ok THEN p_partkey % 9 ELSE 0 END AS level, CASE WHEN ok THEN p_name ELSE '' END AS title FROM (SELECT *, p_partkey % 4 > 0 AND p_partkey % 9 BETWEEN 1 AND 6 AS ok FROM part)",
+    ),
+    "compatible_keys": (
+        lambda s, d: table(s, d, "part").select("p_partkey", T.compatible(F.concat("p_name", F.lit(" co-\nop ﬁ"), "p_brand")).alias("key")),
+        "SELECT p_partkey, replace(p_name, ' ', '') || 'coopfi' || p_brand AS key FROM part",
+    ),
+    "human_titles": (
+        lambda s, d: table(s, d, "part").select("p_partkey", T.humanise(F.concat(F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("--"), F.replace("p_name", F.lit(" "), F.lit("_")))).alias("title")),
+        "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM part",
+    ),
+    "byte_sizes": (
+        lambda s, d: table(s, d, "orders").select("o_orderkey", T.byte_size(F.col("o_orderkey") * F.col("o_orderkey") * (F.col("o_custkey") % 50)).alias("size")),
+        """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN format('{:.1f} MB', floor(n / 1048576 * 10 + 0.5) / 10) ELSE format('{:.1f} GB', floor(n / 1073741824 * 10 + 0.5) / 10) END AS size
+        FROM (SELECT o_orderkey, o_orderkey * o_orderkey * (o_custkey % 50) AS n FROM orders)""",
+    ),
+}

@@ -59,7 +59,13 @@ class Options:
 
 
 def encode_cursor(package: str, options: Options, offset: int) -> str:
-    return base64.urlsafe_b64encode(json.dumps({"v": 1, "package": package, "query": options.fingerprint(), "offset": offset}).encode()).decode().rstrip("=")
+    return base64.urlsafe_b64encode(json.dumps({"v": 1, "package": package, "query": options.fingerprint(), "offset": offset}, separators=(",", ":")).encode()).decode().rstrip("=")
+
+
+def cursor(package: Column, query: Column, offset: Column) -> Column:
+    """The cursors of many pages at once, as ``encode_cursor`` makes them."""
+    said = F.to_json(F.struct(F.lit(1).alias("v"), package.alias("package"), query.alias("query"), offset.alias("offset")))
+    return F.rtrim(F.translate(F.replace(F.base64(F.encode(said, "UTF-8")), F.lit("\r\n"), F.lit("")), "+/", "-_"), F.lit("="))
 
 
 def decode_cursor(package: str, options: Options) -> int:
@@ -290,6 +296,10 @@ _FIELDS = "SELECT doc_id, text, substring(text, 1, 60) AS title, substring(text,
 QUERIES = {
     "hybrid_search": (hybrid_search, f"SELECT rank, doc_id, source, lexical_rank, semantic_rank, score FROM ({_RANKED})"),
     "search_lexical_bm25": (search_lexical_bm25, _LEX_TOP),
+    "search_cursors": (
+        lambda spark, d: table(spark, d, "orders").select("o_orderkey", cursor(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey")).alias("cursor")),
+        """SELECT o_orderkey, rtrim(translate(to_base64(encode('{"v":1,"package":"' || o_orderpriority || '","query":"' || o_orderstatus || '","offset":' || o_orderkey || '}')), '+/', '-_'), '=') AS cursor FROM orders""",
+    ),
     "search_lexical_boosted": (
         search_lexical_boosted,
         f"""SELECT * FROM (SELECT a.doc_id, round(4.0::DOUBLE * ta + 2.0::DOUBLE * tb + tc, 6) AS score FROM ({_bm25_sql(_FIELDS, 'title', 'ta')}) a

@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -79,14 +79,20 @@ def validate(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder (spark.checkpoint.dir), which cuts its lineage. Where none is set, a temporary
-    folder takes its place on one machine, and on a cluster it is an error."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for staged tables (spark.checkpoint.dir). Where none is set, a temporary one takes its place on one machine, and
+    on a cluster it is an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paths-')}")
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, which cuts its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

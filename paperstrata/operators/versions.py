@@ -170,6 +170,12 @@ QUERIES = {
         lambda s, d: conflicts(_manifest(s, d), _manifest(s, d, 10), _manifest(s, d, 15, 8)),
         f"SELECT a.namespace, a.logical_path FROM ({_diff_sql(_sql(), _sql(10))}) a JOIN ({_diff_sql(_sql(), _sql(15, 8))}) b ON a.namespace = b.namespace AND a.logical_path = b.logical_path",
     ),
+    "three_way_apart": (
+        lambda s, d: conflicts(_manifest(s, d), _manifest(s, d, 10).filter("logical_path NOT LIKE '%5'"), _manifest(s, d).filter("logical_path NOT LIKE '%3'")).distinct(),
+        f"""WITH l AS ({_diff_sql(_sql(), f"SELECT * FROM ({_sql(10)}) WHERE logical_path NOT LIKE '%5'")}), r AS ({_diff_sql(_sql(), f"SELECT * FROM ({_sql()}) WHERE logical_path NOT LIKE '%3'")}),
+        c AS (SELECT namespace, logical_path FROM l INTERSECT SELECT namespace, logical_path FROM r)
+        SELECT namespace, logical_path FROM (SELECT namespace, logical_path FROM l UNION SELECT namespace, logical_path FROM r) WHERE (SELECT count(*) FROM c) = 0 AND (SELECT count(*) FROM l) > 0 AND (SELECT count(*) FROM r) > 0""",
+    ),
     "missing_blobs": (
         lambda s, d: missing_blobs(_manifest(s, d, 10), _manifest(s, d, None, 5)),
         f"SELECT DISTINCT sha256, byte_size FROM ({_sql(10)}) m WHERE NOT EXISTS (SELECT 1 FROM ({_sql(None, 5)}) s WHERE s.sha256 = m.sha256 AND s.byte_size = m.byte_size)",

@@ -160,3 +160,12 @@ QUERIES["tq_parameters"] = (
     f"WITH data AS ({DATA_SQL}) SELECT o_orderkey FROM data WHERE o_orderstatus = 'F' AND CAST(o_custkey AS BIGINT) < 100",
 )
 QUERIES["tq_approximate"] = (_approximate, None)
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows as a caller sees them, one row for two statements: how many, and whether there are more."""
+    shown = [(n, first_rows(table_query(spark, lambda own: table(own, sf_dir, "orders"), f"SELECT o_orderkey FROM data LIMIT {n}"), 100)) for n in (100, 101)]
+    return spark.createDataFrame([(n, len(x["rows"]), x["truncated"]) for n, x in shown], "asked int, shown int, truncated boolean")
+
+
+QUERIES["tq_first_rows"] = (_first, "SELECT 100 AS asked, 100 AS shown, false AS truncated UNION ALL SELECT 101, 100, true")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,17 @@ from ..operators.versions import latest
 
 def put_objects(spark: SparkSession, store: str, objects: DataFrame) -> DataFrame:
     """Adds objects (sha256, byte_size, content) that the store lacks; returns those that were new. The store is partitioned by
-    the hash's first two digits, so a look-up reads one of 256 folders."""
+    the hash's first two digits, so a look-up reads one of 256 folders. What is new is written beside the store first and
+    read from there, so it is worked out once, and a run that fails leaves the store as it was."""
     new = objects.dropDuplicates(["sha256"]).withColumn("shard", F.substring("sha256", 1, 2))
-    try:
-        have = spark.read.parquet(store)
-        new = new.join(have.select("sha256", "byte_size"), ["sha256", "byte_size"], "left_anti")
-    except Exception as e:  # no store yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new = new.select("sha256", "byte_size", "content", "shard").persist()
-    new.write.mode("append").partitionBy("shard").parquet(store)
-    return new
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        new = new.join(spark.read.parquet(store).select("sha256", "byte_size"), ["sha256", "byte_size"], "left_anti")
+    beside = f"{store.rstrip('/')}.new-{uuid.uuid4().hex}"
+    new.select("sha256", "byte_size", "content", "shard").write.parquet(beside)
+    added = spark.read.parquet(beside)
+    added.write.mode("append").partitionBy("shard").parquet(store)
+    return added
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
