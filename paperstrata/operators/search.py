@@ -7,6 +7,7 @@ aggregate, so nothing is exploded or shuffled per token. Ranks are taken only af
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
@@ -111,14 +112,16 @@ def occurrences(units: DataFrame, text: str, query: str) -> DataFrame:
 
 
 def bm25(units: DataFrame, query: str, fields: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
-    """A column ``score``: the sum over fields (with boosts) of Okapi BM25 with Lucene's idf, any term matching; above 0 only."""
+    """A column ``score``: the sum over fields (with boosts) of Okapi BM25 with Lucene's idf, any term matching; above 0 only.
+    Statistics need the tokens of all texts; the scores then those of texts that hold a term's letters at all."""
     terms = sorted(set(T.words(query)))
     own = units.withColumns({f"_t{i}": T.tokens(F.coalesce(F.col(f), F.lit(""))) for i, f in enumerate(fields)})
     stats = [F.count(F.lit(1)).cast("double").alias("_n")]
     for i in range(len(fields)):
         stats.append(F.avg(F.size(f"_t{i}")).alias(f"_avg{i}"))
         stats += [F.sum(F.array_contains(f"_t{i}", t).cast("long")).alias(f"_df{i}_{j}") for j, t in enumerate(terms)]
-    both = own.crossJoin(F.broadcast(own.agg(*stats)))  # one row of statistics
+    may_match = functools.reduce(Column.__or__, [F.lower(F.coalesce(F.col(f), F.lit(""))).contains(t) for f in fields for t in terms], F.lit(False))
+    both = own.filter(may_match).crossJoin(F.broadcast(own.agg(*stats)))  # one row of statistics
 
     def part(i: int, j: int, term: str) -> Column:
         tf = F.size(F.filter(f"_t{i}", lambda x: x == term)).cast("double")
