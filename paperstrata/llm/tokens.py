@@ -5,11 +5,12 @@ normalisation, special strings, pre-tokenisation and merges never reach across.
 the word, and a text a walk through a finite-state transducer.
 
 Compilation. States are prefixes of words; each byte is two transitions of four bits. The transition on a delimiter leads to
-the start state and is annotated with the number of tokens of the word read so far. The transducer is deterministic and
-compiled lazily, in each worker process: a word that it doesn't know ends in a dead or unannotated state, is counted by the
-library and, when it comes again, compiled. A full table starts anew, so memory is bounded whatever the vocabulary. The
-library's part is thus the annotation: normalisation, pre-tokenisation and merges of a word are run by it once or twice a
-process; they aren't compiled from the tokenizer's file into transitions of their own.
+the start state and is annotated with the number of tokens of the word read so far. That number comes from the tokenizer's
+merges, compiled into an automaton over the letters of a pre-token (``merges.Merges``). The transducer is deterministic and
+made lazily, in each worker process: a word that it doesn't know ends in a dead or unannotated state, is run through the
+merges' automaton and, when it comes again, compiled. A full table starts anew, so memory is bounded whatever the vocabulary.
+The library normalises letters beyond ASCII, and counts whole only words that mix those with other characters, or hold the
+marks of special strings.
 
 Counting. A buffer of texts is cut into lanes of LANE bytes that advance together, one byte of every lane a step. A lane that
 begins inside a word can't know its entry state; it skips to the first delimiter. What a lane does to the state is thus a map
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import merges
 
 LANE = 256
 LONGEST = 255
@@ -43,6 +45,10 @@ MAX_WORDS = 300_000
 DELIMITERS = b" \t\n\x0b\x0c\r"
 _TAIL = re.compile(rb"(.*?)([.,;:!?]+)", re.S)
 _NEXT = re.compile(rb"[\x20\x09-\x0d]")
+_PRINTABLE = re.compile(rb"[!-~]+")
+#: The pre-tokenizer's pattern, and what it means for printable ASCII in lower case.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -82,8 +88,25 @@ class Words(dict):
         normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         #: White space is dropped and nothing reaches across it.
         self.by_word = normal == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True and not spec.get("post_processor")
+        self.by_word &= (split.get("pattern") or {}).get("Regex") == SPLIT and spec["model"].get("end_of_word_suffix") == "</w>"
         self.by_word &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or not t["content"].startswith("<|") for t in spec["added_tokens"])
 
+        self.merges = merges.Merges(spec["model"]) if self.by_word else None
+
+    def count(self, word: bytes) -> int:
+        """Tokens of a word without white space, by the merges' automaton wherever its pre-tokens are plain."""
+        if b"<|" not in word:
+            if _PRINTABLE.fullmatch(word):
+                return sum(map(self.merges.count, _SPLIT_ASCII.findall(word.decode().lower())))
+            m = _TAIL.fullmatch(word)
+            head, tail = (m[1], m[2]) if m else (word, b"")
+            if (normal := self.normal(head.decode())).isalpha():
+                return self.merges.count(self.byte_form(normal)) + (self.merges.count(tail.decode()) if tail else 0)
+        return len(self.encode(word.decode())) // 4
+
+    def byte_form(self, normal: str) -> str:
+        return normal if normal.isascii() else normal.encode().decode("latin-1").translate(self.byte_letters)
+
     def encode(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -95,8 +118,7 @@ class Words(dict):
         if text.isalpha():
             normal = self.normal(text)
             if normal.isalpha():
-                as_bytes = normal if normal.isascii() else normal.encode().decode("latin-1").translate(self.byte_letters)
-                return array("I", [t.id for t in self.library.model.tokenize(as_bytes)]).tobytes()
+                return array("I", [t.id for t in self.library.model.tokenize(self.byte_form(normal))]).tobytes()
         return self.encode(text)
 
     def __missing__(self, word: bytes) -> bytes:
@@ -225,7 +247,7 @@ class Transducer:
 
     def learn(self, word: bytes) -> int:
         """The tokens of a word that isn't in the table. Seen for the second time, it is compiled into it."""
-        n = len(self.words[word]) // 4
+        n = self.words.count(word)
         if word in self.seen:
             if self.n + 2 * len(word) > self.max_states:
                 self.reset()

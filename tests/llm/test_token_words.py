@@ -54,3 +54,23 @@ def test_texts_over_a_segment(library):
     long = " ".join(rng.choice(some) + rng.choice(["", "a", "İ", "9"]) for _ in range(900_000))
     assert len(long.encode()) > tokens.SEGMENT
     same(library, [long, "a" * (tokens.LANE * 3) + " " + long[:100]])
+
+
+def test_merges(library):
+    """The automaton against plain merging and the library: pieces of the vocabulary glued together, periods, letters of all bytes."""
+    import json
+
+    from paperstrata.llm.merges import Merges
+
+    model = json.loads(library.to_str())["model"]
+    own, rng = Merges(model), random.Random(13)
+    pieces, letters = [t.removesuffix("</w>") for t in model["vocab"]], sorted({c for t in model["vocab"] for c in t.removesuffix("</w>")})
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(15_000)]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(5_000)]
+    words += ["".join(rng.choice(["aab", "in", "ing", "th", "a"]) for _ in range(rng.randint(1, 60))) for _ in range(3_000)]
+    for w in words:
+        assert own.count(w) == len(library.model.tokenize(w)), w
+        if len(w) < 12:
+            assert own.count(w) == len(own.merged([*[own.plain[c] for c in w[:-1]], own.final[w[-1]]]))
+    own.states.clear()
+    assert [own.count(w) for w in words[:200]] == [len(library.model.tokenize(w)) for w in words[:200]]
