@@ -35,6 +35,7 @@ class Merges:
         self.final = {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)}
         self.longest = max(map(len, [*self.plain, *self.final]), default=1)
         self.states: dict[str, tuple[int, int]] = {}
+        self.ends: dict[str, int] = {}
         self.whole: dict[int, bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
@@ -100,10 +101,16 @@ class Merges:
 
     def count(self, letters: str) -> int:
         """Tokens of a pre-token, given as the model's letters."""
+        known = self.ends.get(letters)
+        if known is not None:
+            return known
         if len(self.states) > MAX_STATES:
             self.states.clear()
+        if len(self.ends) > MAX_STATES:
+            self.ends.clear()
         for stop in range(1, len(letters)):
             prefix = letters[:stop]
             if prefix not in self.states:
                 self.states[prefix] = self._step(letters, stop, self.plain)
-        return self._step(letters, len(letters), self.final)[1]
+        out = self.ends[letters] = self._step(letters, len(letters), self.final)[1]
+        return out

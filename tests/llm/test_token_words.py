@@ -73,4 +73,5 @@ def test_merges(library):
         if len(w) < 12:
             assert own.count(w) == len(own.merged([*[own.plain[c] for c in w[:-1]], own.final[w[-1]]]))
     own.states.clear()
+    own.ends.clear()
     assert [own.count(w) for w in words[:200]] == [len(library.model.tokenize(w)) for w in words[:200]]
