@@ -6,12 +6,15 @@ boxes of a page; a pair that shares several cells is reported in one of them.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..session import table
+from .tree import staged
 
 CELL = 100.0
 
@@ -56,11 +59,40 @@ def union_box(boxes: DataFrame, *by: str) -> DataFrame:
     return boxes.groupBy(*by).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
 
 
-def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each box of a, the box of b on its page with the least L1 distance of corners (ties: smallest id)."""
-    joined = _named(a, "a").join(_named(b, "b"), F.col("a_page") == F.col("b_page"))
+def nearest(a: DataFrame, b: DataFrame, cell: float = CELL, few: int = 500) -> DataFrame:
+    """For each box of a, the box of b on its page with the least L1 distance of corners and sizes (ties: smallest id).
+
+    Where no page has more than ``few`` boxes of b, each box is compared with those of its page. Else boxes meet in grid cells of their corners, first with the eight cells around, and those that found nothing as near as the
+    cells reach in rings of twice the width, again and again, until the rings reach over the widest page.
+    """
     away = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("x", "y", "w", "h")), F.lit(0.0))
-    return joined.groupBy("a_id").agg(F.min(F.struct(F.round(away, 6).alias("d"), F.col("b_id").alias("id"))).alias("m")).select("a_id", F.col("m.id").alias("b_id"), F.col("m.d").alias("distance"))
+    closest = lambda met: met.groupBy("a_id").agg(F.min(F.struct(F.round(away, 6).alias("d"), F.col("b_id").alias("id"))).alias("m")).select("a_id", F.col("m.id").alias("b_id"), F.col("m.d").alias("distance"))
+    if (b.groupBy("page").count().agg(F.max("count")).first()[0] or 0) <= few:
+        return closest(_named(a, "a").join(_named(b, "b"), F.col("a_page") == F.col("b_page")))
+    at = lambda n, c: F.floor(F.col(f"{n}_{c}") / cell)
+    there = _named(b, "b").withColumns({"b_cx": at("b", "x"), "b_cy": at("b", "y")})
+    pending = _named(a, "a").withColumns({"a_cx": at("a", "x"), "a_cy": at("a", "y")})
+    ends = [f(at(n, c)) for n, c, f in (("b", "x", F.min), ("b", "x", F.max), ("b", "y", F.min), ("b", "y", F.max))]
+    mine = [f(at(n, c)) for n, c, f in (("a", "x", F.min), ("a", "x", F.max), ("a", "y", F.min), ("a", "y", F.max))]
+    bounds, own = there.agg(*ends).first(), pending.agg(*mine).first()
+    found, reach, most = [], 1, -1
+    if bounds[0] is not None and own[0] is not None:
+        most = max(bounds[1] - own[0], own[1] - bounds[0], bounds[3] - own[2], own[3] - bounds[2], 1)
+    while most > 0:
+        ring = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))  # noqa: E731, B023
+        spread = pending.select("a_id", "a_page", "a_x", "a_y", "a_w", "a_h", "a_cy", ring("a_cx").alias("cx")).withColumn("cy", ring("a_cy"))
+        met = spread.join(there, (F.col("a_page") == F.col("b_page")) & (F.col("cx") == F.col("b_cx")) & (F.col("cy") == F.col("b_cy")))
+        near = staged(closest(met).filter(F.lit(reach >= most) | (F.col("distance") <= reach * cell)))
+        found.append(near)
+        if reach >= most:
+            break
+        pending = staged(pending.join(near, "a_id", "left_anti"))
+        if pending.isEmpty():
+            break
+        reach *= 2
+    if not found:
+        return _named(a, "a").select("a_id").limit(0).withColumns({"b_id": F.lit(None).cast(b.schema["id"].dataType), "distance": F.lit(None).cast("double")})
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def coverage(targets: DataFrame, images: DataFrame) -> DataFrame:

@@ -131,3 +131,22 @@ def test_without_corpus_operators():
 
     code = "import sys; sys.modules['paperstrata.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; assert 'hybrid_search' in e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
+
+
+def test_nearest_over_far_and_empty_cells(spark):
+    """Against all pairs: boxes near, far over many cells, on pages without a partner, ties; an empty side."""
+    import random
+
+    rng, kind = random.Random(4), "id long, page long, x double, y double, w double, h double"
+    box = lambda i, far: (i, i % 4, rng.choice([0.0, 5.0, 3000.0 * far]) + rng.randint(0, 90), float(rng.randint(0, 4000 if far else 50)), 10.0, 5.0)
+    a, b = [box(i, i % 2) for i in range(60)], [box(100 + i, i % 3 == 0) for i in range(30)]
+    b = [x for x in b if x[1] != 3]
+    want = {}
+    for i, page, *own in a:
+        near = [(round(sum(abs(p - q) for p, q in zip(own, other, strict=True)), 6), j) for j, pb, *other in b if pb == page]
+        if near:
+            want[i] = min(near)
+    one, two = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    for few in (500, 0):
+        assert {r["a_id"]: (r["distance"], r["b_id"]) for r in layout.nearest(one, two, few=few).collect()} == want
+    assert layout.nearest(one, two.limit(0)).collect() == [] and layout.nearest(one.limit(0), two, few=0).columns == ["a_id", "b_id", "distance"]
