@@ -61,9 +61,12 @@ def chunk_lines(body: str, target: int = 600, overlap: int = 80) -> list[tuple[s
     return out
 
 
-@F.pandas_udf(CHUNK)
-def markdown_chunks(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: [{"text": t, "start_line": s, "end_line": e} for t, s, e in chunk_lines(b or "")])
+def markdown_chunks(body: Column | str, target: int = 600, overlap: int = 80) -> Column:
+    @F.pandas_udf(CHUNK)
+    def chunks(body: pd.Series) -> pd.Series:
+        return body.map(lambda b: [{"text": t, "start_line": s, "end_line": e} for t, s, e in chunk_lines(b or "", target, overlap)])
+
+    return chunks(body)
 
 
 def pieces_of(text: str, most: int, count: Callable[[str], int]) -> list[str]:
@@ -103,9 +106,18 @@ def split_section(text: str, most: int = 700, count: Callable[[str], int] = lamb
     return ["\n\n".join(parts) for parts in out if parts] or [text]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def section_chunks(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split_section(t or ""))
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def section_chunks(text: Column | str, most: int = 700, count: Callable[[str], int] = word_count) -> Column:
+    """``count`` gives the tokens of a text, by whatever tokenizer the units are made for."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def chunks(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: split_section(t or "", most, count))
+
+    return chunks(text)
 
 
 def sections_of(text: str) -> list[tuple[list[str], str]]:
@@ -184,6 +196,14 @@ QUERIES = {
     ),
     "chunk_markdown": (lambda s, d: table(s, d, "documents").select("doc_id", F.explode(markdown_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("c")).select("doc_id", "c.*"), None),
     "chunk_section": (lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(section_chunks("text")).alias("pos", "chunk")), None),
+    "chunk_overlap": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(markdown_chunks(F.array_join(F.array_repeat("p_name", 10), "\n\n"), 6, 2)).alias("c")).select("p_partkey", "c.*"),
+        "SELECT p_partkey, p_name || repeat(chr(10) || chr(10) || p_name, CAST(least(a + 2, 10) - a AS INTEGER)) AS text, 2 * a - 1 AS start_line, 2 * least(a + 2, 10) - 1 AS end_line FROM part, unnest([1, 3, 5, 7, 9]) AS u(a)",
+    ),
+    "chunk_bounded": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(section_chunks(F.concat(F.array_join(F.array_repeat("p_name", 10), "\n\n"), F.lit("\n\na b c d. e f g. h")), 6)).alias("pos", "text")),
+        """SELECT p_partkey, i - 1 AS pos, CASE WHEN i < 4 THEN p_name || repeat(chr(10) || chr(10) || p_name, 2) WHEN i = 4 THEN p_name || chr(10) || chr(10) || 'a b c d.' ELSE 'e f g. h' END AS text FROM part, unnest([1, 2, 3, 4, 5]) AS u(i)""",
+    ),
     "markdown_sections": (
         lambda s, d: _markdown(s, d).select("conv_id", F.posexplode(markdown_sections("text")).alias("pos", "s")).select("conv_id", "pos", F.array_join("s.path", "/").alias("path"), F.md5("s.text").alias("text"), has_body(F.col("s.text")).alias("body")),
         """SELECT conv_id, row_number() OVER w - 1 AS pos, role AS path, md5('# ' || role || chr(10) || chr(10) || text || chr(10) || CASE WHEN lead(turn) OVER w IS NULL THEN '' ELSE chr(10) END) AS text, trim(text) <> '' AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, '# ' || role || chr(10) || chr(10) || text || chr(10))""",

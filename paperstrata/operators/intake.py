@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..session import table
 from ..sources import files, sinks
+from ..streaming.ingest import ingest
 from . import checks, versions
 from .tree import checkpoint_folder, page_list
 
@@ -252,6 +253,35 @@ def _published_again(s, d):
     return s.read.parquet(at)
 
 
+def _transport_again(s, d):
+    at, files_ = _scratch(s), table(s, d, "supplier").select(F.lit("raw").alias("namespace"), F.col("s_name").alias("logical_path"), F.sha2("s_name", 256).alias("sha256"), F.col("s_suppkey").alias("byte_size"), F.lit("text/plain").alias("media_type"))
+    files_.agg(F.collect_list(F.struct(*files_.columns)).alias("files")).select(F.lit("v1").alias("spec"), F.lit("p").alias("package_root"), "files").write.json(at)
+    return read_transport(s, at)
+
+
+def _ingested_again(s, d):
+    source, target, done = _scratch(s), _scratch(s), _scratch(s)
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    for part in (orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1 AND o_orderstatus = 'F'")):  # the second batch replaces one partition
+        part.write.mode("append").parquet(source)
+        ingest(s, source, "o_orderkey long, o_orderstatus string", target, "o_orderstatus", done).awaitTermination()
+    return s.read.parquet(target).select("o_orderkey", "o_orderstatus")
+
+
+def _claims_again(s, d):
+    heads, history = _scratch(s), s.createDataFrame([], "id string, collection_id string, parent_id string, created_at int")
+    blobs, out = _push(s, d).limit(3), []
+    for n, (version, parent) in enumerate((("v1", None), ("v2", None), ("v2", "v1"), ("v2", "v1"))):
+        try:
+            after = commit(s, heads, history, {"id": version, "collection_id": "c", "parent_id": parent, "created_at": n}, blobs, blobs)
+            history, said = after, "published"
+        except versions.StaleBase as e:
+            said = f"stale: {e}"
+        out.append((n, version, said, history.count()))
+    out += [(len(out), "v3", str(claim_head(s, heads, "c", "v1", "v3")).lower(), history.count())]
+    return s.createDataFrame(out, "turn int, version string, said string, versions long")
+
+
 def _inputs(s, d):
     k = F.col("o_orderkey")
     top = F.when(k % 13 == 0, ".git").when(k % 11 == 0, ".hid").when(k % 7 == 0, "skip").otherwise("in")
@@ -374,4 +404,10 @@ QUERIES = {
         lambda s, d: sinks.upsert(table(s, d, "part").select("p_partkey", "p_name"), table(s, d, "part").filter("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("p_partkey"), F.concat("p_name", F.lit("!")).alias("p_name")), ["p_partkey"]),
         "SELECT coalesce(n.k, p.p_partkey) AS p_partkey, coalesce(n.name, p.p_name) AS p_name FROM part p FULL JOIN (SELECT p_partkey * 2 AS k, p_name || '!' AS name FROM part WHERE p_partkey % 3 = 0) n ON n.k = p.p_partkey",
     ),
+    "transport_round_trip": (_transport_again, "SELECT 'raw' AS namespace, s_name AS logical_path, sha256(s_name) AS sha256, s_suppkey AS byte_size, 'text/plain' AS media_type FROM supplier"),
+    "streaming_ingest": (_ingested_again, "SELECT o_orderkey, o_orderstatus FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2 = 1 ELSE o_orderkey % 2 = 0 END"),
+    "conditional_publication": (
+        _claims_again,
+        "SELECT * FROM (VALUES (0, 'v1', 'published', 1), (1, 'v2', 'stale: v1', 1), (2, 'v2', 'published', 2), (3, 'v2', 'published', 2), (4, 'v3', 'false', 2)) AS t(turn, version, said, versions)",
+    ),
 }

@@ -248,4 +248,16 @@ QUERIES = {
         lambda s, d: table(s, d, "documents").select("doc_id", readable(F.when(F.col("doc_id") % 5 == 0, " Contents ").otherwise(F.col("lang")), F.split("text", "\n")).alias("readable")),
         "SELECT doc_id, doc_id % 5 <> 0 AND regexp_matches(text, '[\\p{L}\\p{N}]') AS readable FROM documents",
     ),
+    "joined_words": (
+        lambda s, d: table(s, d, "part").select("p_partkey", joined_words(F.array(*[F.struct(F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(x + 1.0).alias("x1"), F.lit(y + 1.0).alias("y1"), t.alias("text")) for x, y, t in ((0, 0, F.col("p_brand")), (5, 0, F.lit("Netz-")), (0, 5, F.col("p_name")), (9, 5, F.lit("MS-")), (20, 5, F.lit("Kabel")), (30, 5, F.lit(" ")), (40, 5, F.lit("Foo-")), (50, 5, F.lit("bar")))])).alias("text")),
+        "SELECT p_partkey, p_brand || ' Netz' || p_name || ' MS-Kabel Foo- bar' AS text FROM part",
+    ),
+    "anchor_spans": (
+        lambda s, d: table(s, d, "part").withColumn("text", F.concat(F.lit("Intro words. "), F.upper("p_name"), F.lit(" stop: | cell | "), F.when(F.col("p_partkey") % 3 == 0, "twice twice ").otherwise("then "), F.lit("the end"))).select("p_partkey", anchors(F.col("text"), F.concat(F.lit("intro words "), "p_name", F.lit(" stop")), F.when(F.col("p_partkey") % 3 == 0, "twice").otherwise("then the")).alias("a")).select("p_partkey", "a.start", "a.end"),
+        """SELECT p_partkey, 13 + length(p_name) + 5 AS start, CASE WHEN p_partkey % 3 = 0 THEN 13 + length(p_name) + 5 + 11 + 12 + 7 ELSE 13 + length(p_name) + 5 + 11 END AS "end" FROM part""",
+    ),
+    "paragraph_groups": (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(paragraph_groups(F.array_repeat(F.repeat(F.lit("x"), (F.col("p_partkey") % 7 + 1).cast("int")), 20), 30)).alias("g")).select("p_partkey", F.size("g").alias("n")),
+        "SELECT p_partkey, least(m, 20 - (i - 1) * m) AS n FROM (SELECT p_partkey, 30 // (p_partkey % 7 + 1) AS m FROM part), unnest(range(1, 21)) AS u(i) WHERE (i - 1) * m < 20",
+    ),
 }
