@@ -169,7 +169,7 @@ class Transducer:
         self.next = array("i", [self.DEAD] * 16 + [self.SKIP] * 16 + [self.DEAD] * 16)
         self.emit = array("H", [0, 0, 0])  # a word of LONGEST bytes can have more than 255 tokens
         self.known = bytearray([1, 1, 0])
-        self.seen: set[bytes] = set()
+        self.seen: dict[bytes, int] = {}
 
     def add(self, word: bytes, tokens: int) -> None:
         nxt, s = self.next, 0
@@ -247,15 +247,16 @@ class Transducer:
 
     def learn(self, word: bytes) -> int:
         """The tokens of a word that isn't in the table. Seen for the second time, it is compiled into it."""
-        n = self.words.count(word)
-        if word in self.seen:
+        n = self.seen.pop(word, None)
+        if n is not None:
             if self.n + 2 * len(word) > self.max_states:
                 self.reset()
             self.add(word, n)
-        else:
-            if len(self.seen) >= MAX_WORDS:
-                self.seen.clear()
-            self.seen.add(word)
+            return n
+        n = self.words.count(word)
+        if len(self.seen) >= MAX_WORDS:
+            self.seen.clear()
+        self.seen[word] = n
         return n
 
 
