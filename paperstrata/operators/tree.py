@@ -6,7 +6,9 @@ prefix or depth-first query is a filter or sort on ``tree_path`` and ``order_pat
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +88,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paths-')}")
+        folder = tempfile.mkdtemp(prefix="paths-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(f"file://{folder}")
     return context.getCheckpointDir()
 
 
