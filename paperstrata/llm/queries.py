@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, tokens
+from . import byte_bpe, exact_dedup, fill_middle, filter_audit, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, tokens
 
 MODULES = {
     "op1_line_dedup": line_dedup,
@@ -19,6 +19,9 @@ MODULES = {
     "op8_quality_rules": quality,
     "op9_exact_dedup": exact_dedup,
     "op10_mix_sources": mixing,
+    "op11_filter_audit": filter_audit,
+    "op12_byte_bpe": byte_bpe,
+    "op13_fill_in_middle": fill_middle,
 }
 
 
