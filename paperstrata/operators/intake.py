@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import table
 from ..sources import files, sinks
+from ..sources.table_log import Conflict, TableLog, changes, put_if_absent
 from ..streaming.ingest import ingest
 from . import checks, versions
 from .tree import checkpoint_folder, page_list
@@ -180,20 +181,13 @@ def publish_folder(spark: SparkSession, df: DataFrame, target: str) -> None:
 
 def claim_head(spark: SparkSession, folder: str, collection: str, parent: str | None, version: str) -> bool:
     """The conditional write of a publication: whether ``version`` is now the one that follows ``parent``. The claim is a file
-    named by collection and parent that is created only if it isn't there, so of several writers one wins; the winner may
-    claim again. Needs a store with exclusive creation."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{collection}/after-{parent or 'none'}.json")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        out = fs.create(path, False)
-    except Py4JJavaError as e:
-        if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
-            raise
-        (said,) = spark.read.text(path.toString()).first()
-        return json.loads(said)["version"] == version
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    return True
+    named by collection and parent, complete before it is visible and created only if it isn't there, so of several writers one
+    wins; the winner may claim again. A writer that dies before its claim is visible has claimed nothing."""
+    path = f"{folder}/{collection}/after-{parent or 'none'}.json"
+    if put_if_absent(spark, path, json.dumps({"version": version})):
+        return True
+    said = spark.read.text(path).first()
+    return said is not None and json.loads(said[0])["version"] == version
 
 
 def commit(spark: SparkSession, heads: str, history: DataFrame, version: dict, manifest: DataFrame, stored: DataFrame) -> DataFrame:
@@ -270,7 +264,7 @@ def _ingested_again(s, d):
 
 def _claims_again(s, d):
     heads, history = _scratch(s), s.createDataFrame([], "id string, collection_id string, parent_id string, created_at int")
-    blobs, out = _push(s, d).limit(3), []
+    blobs, out = _push(s, d).cache(), []
     for n, (version, parent) in enumerate((("v1", None), ("v2", None), ("v2", "v1"), ("v2", "v1"))):
         try:
             after = commit(s, heads, history, {"id": version, "collection_id": "c", "parent_id": parent, "created_at": n}, blobs, blobs)
@@ -279,7 +273,31 @@ def _claims_again(s, d):
             said = f"stale: {e}"
         out.append((n, version, said, history.count()))
     out += [(len(out), "v3", str(claim_head(s, heads, "c", "v1", "v3")).lower(), history.count())]
-    return s.createDataFrame(out, "turn int, version string, said string, versions long")
+    turns = s.createDataFrame(out, "turn int, version string, said string, versions long")
+    sizes = blobs.agg(F.count(F.lit(1)).alias("blobs"), F.sum("byte_size").alias("bytes"))
+    return turns.join(F.broadcast(sizes))  # one row
+
+
+def _log_again(s, d):
+    """Documents by language: two appends, an overwrite from a stale version, a replacement that is sent twice."""
+    log, docs = TableLog(s, _scratch(s), ("lang",)), table(s, d, "documents").select("doc_id", "lang", F.lit(1).alias("turn"))
+    log.commit(docs.filter("lang <> 'fr'"))
+    log.commit(docs.filter("lang = 'fr'"))
+    with contextlib.suppress(Conflict):
+        log.commit(docs.withColumn("turn", F.lit(9)), "overwrite", expected=0)
+    for _ in range(2):
+        log.commit(docs.filter("lang = 'de'").withColumn("turn", F.lit(2)), "replace", txn="de again")
+    first = log.read(0).select("doc_id", F.col("turn").alias("was"))
+    return log.read().join(first, "doc_id", "left").select("doc_id", "turn", "was", F.lit(log.version()).alias("version"))
+
+
+def _log_changes(s, d):
+    """What a replacement changed, by key: orders of status F with another priority, and without those of 1-URGENT."""
+    log = TableLog(s, _scratch(s), ("o_orderstatus",))
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    log.commit(orders)
+    log.commit(orders.filter("o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'").withColumn("o_orderpriority", F.regexp_replace("o_orderpriority", "^5", "6")), "replace")
+    return changes(log, 0, ["o_orderkey"])
 
 
 def _inputs(s, d):
@@ -406,8 +424,16 @@ QUERIES = {
     ),
     "transport_round_trip": (_transport_again, "SELECT 'raw' AS namespace, s_name AS logical_path, sha256(s_name) AS sha256, s_suppkey AS byte_size, 'text/plain' AS media_type FROM supplier"),
     "streaming_ingest": (_ingested_again, "SELECT o_orderkey, o_orderstatus FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2 = 1 ELSE o_orderkey % 2 = 0 END"),
+    "log_published": (
+        _log_again,
+        "SELECT doc_id, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS turn, CASE WHEN lang <> 'fr' THEN 1 END AS was, 2 AS version FROM documents",
+    ),
+    "log_changes": (
+        _log_changes,
+        "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority = '1-URGENT' OR o_orderpriority LIKE '5%')",
+    ),
     "conditional_publication": (
         _claims_again,
-        "SELECT * FROM (VALUES (0, 'v1', 'published', 1), (1, 'v2', 'stale: v1', 1), (2, 'v2', 'published', 2), (3, 'v2', 'published', 2), (4, 'v3', 'false', 2)) AS t(turn, version, said, versions)",
+        "SELECT t.*, b.* FROM (VALUES (0, 'v1', 'published', 1), (1, 'v2', 'stale: v1', 1), (2, 'v2', 'published', 2), (3, 'v2', 'published', 2), (4, 'v3', 'false', 2)) AS t(turn, version, said, versions), (SELECT count(*) AS blobs, sum(byte_size)::BIGINT AS bytes FROM (SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS byte_size FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 <> 0))) b",
     ),
 }

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import catalog, checks, chunk, evaluate, intake, layout, pages, profile, render, search, tree, versions
+from .operators import catalog, checks, chunk, evaluate, intake, inverted, layout, pages, profile, render, search, tree, versions
 from .plans import table_query
 
 FLAGSHIP = "hybrid_search"
 
-MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake)
+MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake, inverted)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
