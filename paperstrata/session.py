@@ -1,9 +1,18 @@
-"""Sessions and tables."""
+"""Sessions and tables, and how this package reaches Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import importlib.metadata
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings that results rely on: UTC, adaptive execution."""
@@ -11,8 +20,25 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"}
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the session's Python workers, once a session, unless they have it: because it is installed, or because
+    its folder is on PYTHONPATH. Operators with Python steps need it there."""
+    here = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(here) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return spark
+    _shipped.add(app)
+    try:
+        importlib.metadata.distribution("paperstrata")
+    except importlib.metadata.PackageNotFoundError:
+        folder = tempfile.mkdtemp(prefix="package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/paperstrata", "zip", here, "paperstrata"))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
