@@ -108,9 +108,8 @@ def numbered(rows: DataFrame, file: str, order: str) -> DataFrame:
 
 
 def read_numbered_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A strict CSV table with row_number from 1 per file. A multi-line file is one partition, so ids rise along it."""
-    rows = files.read_csv(spark, path).select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_at", F.monotonically_increasing_id())
-    return numbered(rows, "_file", "_at").drop("_file", "_at")
+    """A strict CSV table with row_number from 1 per file, however many tasks read the file."""
+    return files.read_csv(spark, path, row_number="row_number")
 
 
 def sessions(uploads: DataFrame, now: Column, hours: int = 24) -> DataFrame:
@@ -211,6 +210,16 @@ def _csv_again(s, d):
     return files.read_csv(s, at)
 
 
+def _csv_numbers(s, d):
+    """Rows of one file per order status, numbered as they were written; every comment is quoted and holds line breaks."""
+    at = _scratch(s)
+    text = F.concat(F.lit("a\n\n"), "o_orderpriority", F.lit(' "x",\n'))
+    sinks.write_csv(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), text.alias("text")).repartition(2).sortWithinPartitions(F.col("key").cast("long")), at)
+    rows = files.read_csv(s, at, row_number="n", file_name="file")
+    place = F.row_number().over(W.partitionBy("file").orderBy(F.col("key").cast("long")))
+    return rows.withColumn("place", place).select(F.col("key").cast("long").alias("key"), "text", (F.col("n") == F.col("place")).alias("in_order"))
+
+
 def _jsonl_again(s, d):
     at = _scratch(s)
     table(s, d, "part").select("p_partkey", "p_name").write.json(at)
@@ -413,6 +422,7 @@ QUERIES = {
     "push_start": (_push, "SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS byte_size FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 <> 0)"),
     "version_rollback": (_rolled_back, "SELECT CAST(l_orderkey AS VARCHAR) AS version_id, l_partkey AS path FROM lineitem UNION ALL SELECT 'new', l_partkey FROM lineitem WHERE l_orderkey = 1"),
     "csv_round_trip": (_csv_again, """SELECT CAST(p_partkey AS VARCHAR) AS key, p_name || ', "' || p_brand || '"' || chr(10) || p_name AS text FROM part"""),
+    "csv_numbers": (_csv_numbers, """SELECT o_orderkey AS key, 'a' || chr(10) || chr(10) || o_orderpriority || ' "x",' || chr(10) AS text, true AS in_order FROM orders"""),
     "jsonl_round_trip": (_jsonl_again, "SELECT p_partkey, p_name FROM part"),
     "text_round_trip": (_texts_again, "SELECT r_name AS name FROM region"),
     "objects_put": (_put_again, "SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS byte_size FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)"),

@@ -51,11 +51,14 @@ class InvertedIndex:
         (said,) = spark.read.text(f"{self.path}/about").first()
         about = json.loads(said)
         self.id, self.fields, self.segments, self.range_docs = about["id"], about["fields"], about["segments"], about["range_docs"]
+        self.schema = (
+            f"segment int, range int, field int, term string, n int, levels array<struct<tf: int, len: int>>, postings array<struct<id: {about['id_type']}, tf: int, len: int>>, generation int, shard int"
+        )
 
     @classmethod
     def build(cls, units: DataFrame, id_col: str, fields: list[str], path: str, segment_docs: int = SEGMENT_DOCS, range_docs: int = RANGE_DOCS) -> InvertedIndex:
         spark, segments = units.sparkSession, max(1, math.ceil(units.count() / segment_docs))
-        about = {"id": id_col, "fields": fields, "segments": segments, "range_docs": range_docs}
+        about = {"id": id_col, "fields": fields, "id_type": dict(units.dtypes)[id_col], "segments": segments, "range_docs": range_docs}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/about")
         index = cls(spark, path)
         index._write(units, spark.range(segments).select(F.col("id").cast("int").alias("segment")), 0)
@@ -103,13 +106,13 @@ class InvertedIndex:
 
     def _blocks(self, terms: list[str]) -> DataFrame:
         shards = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._shard(F.col("term"))).distinct().collect()]
-        blocks = self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
+        blocks = self.spark.read.schema(self.schema).parquet(f"{self.path}/blocks").filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
         return blocks.join(self._live().select("segment", "generation"), ["segment", "generation"])
 
     def search(self, query: str, k: int, boosts: dict[str, float] | None = None) -> Hits:
         """The best ``k`` documents for the words of ``query``, ties by id. boosts: weight by field, 1 where not given."""
         terms = sorted(set(T.words(query)))
-        empty = self.spark.createDataFrame([], f"{self.id} string, score double")
+        empty = self.spark.createDataFrame([], self.schema).select(F.explode("postings").alias("p")).select(F.col("p.id").alias(self.id), F.lit(0.0).alias("score"))
         if not terms:
             return Hits(empty, 0, 0, 0.0)
         sums = self._live().agg(F.sum("n"), *(F.sum(f"sum{i}") for i in range(len(self.fields)))).first()
@@ -133,7 +136,8 @@ class InvertedIndex:
             scores = postings.select(F.col("p.id").alias(self.id), part(F.col("p.tf").cast("double"), F.col("p.len")).alias("part"))
             return scores.groupBy(self.id).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
 
-        first = scored(ranges.orderBy(F.desc("bound"), "segment", "range").limit(8 + k // 8))
+        # with one term each of these ranges has a document that reaches its bound, so the threshold is the best there is
+        first = scored(ranges.orderBy(F.desc("bound"), "segment", "range").limit(k + 8))
         best = [r.score for r in first.orderBy(F.desc("score")).limit(k).collect()]
         threshold = best[-1] if len(best) == k else 0.0
         left = ranges.filter(F.col("bound") >= threshold - 1e-6)

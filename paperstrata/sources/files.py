@@ -8,6 +8,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_split import read_csv  # noqa: F401
+
 CARD = "(?s)\\A---\\n(.*?)\\n---\\n?(.*)\\z"
 
 
@@ -21,17 +23,6 @@ def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> D
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A strict CSV table of strings: a header without blanks and repeats; a row of another width fails the read."""
-    header = spark.read.option("multiLine", True).csv(path).limit(1).collect()
-    names = [c or "" for c in header[0]] if header else []
-    names[:1] = [n.removeprefix("﻿") for n in names[:1]]
-    if not names or not all(n.strip() for n in names) or len(set(names)) < len(names):
-        raise ValueError("the header must be non-empty and unique")
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("mode", "FAILFAST").csv(path)
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """path and text of whole files, line ends as \\n."""
     raw = spark.read.option("wholetext", True).text(path)
