@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
+import tiktoken
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,33 @@ NEVER = (1 << BITS) - 1
 MARK = "\x01"
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space spelled out, for Java's regular expressions."""
-    return pattern.replace("[^\\s", f"[^{SPACE}").replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
+def java_pattern(pattern: str, letters: str = "", numbers: str = "") -> str:
+    """The pattern with white space spelled out, for Java's regular expressions. letters, numbers: more of both, as ranges."""
+    means = {"\\s": SPACE, "\\p{L}": f"\\p{{L}}{letters}", "\\p{N}": f"\\p{{N}}{numbers}"}
+    out, in_class = "", False
+    for part in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
+        in_class = part == "[" or (in_class and part != "]")
+        if part in means:
+            part = means[part] if in_class else f"[{means[part]}]"
+        out += f"[^{SPACE}]" if part == "\\S" else part
+    return out
+
+
+@lru_cache
+def unknown_to_java(category: str) -> str:
+    """Code points of a Unicode category that the library knows and this Java doesn't, as ranges of a character class. A library
+    with the category as its pattern passes over everything else, and Java tells which of the rest it hasn't."""
+    library = tiktoken.Encoding("points", pat_str=f"\\p{{{category}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    points = bytes(library.encode_ordinary("".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF))).decode()
+    spark = SparkSession.active()
+    (new,) = spark.createDataFrame([(points,)], "points string").select(F.regexp_extract_all("points", F.lit(f"\\P{{{category}}}"), F.lit(0))).first()
+    ranges: list[list[int]] = []
+    for c in map(ord, new):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
 @dataclass(frozen=True)
@@ -113,7 +139,10 @@ class Vocabulary:
         return C.bind(self._rank_map, lambda ranks: C.bind(self._pieces, lambda pieces: body(Tables(ranks, pieces))))
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(java_pattern(self.pattern)), F.lit(0))
+        """The pattern's matches. Texts with characters that Java's Unicode hasn't assigned yet need its longer form."""
+        cut = lambda *more: F.regexp_extract_all(text, F.lit(java_pattern(self.pattern, *more)), F.lit(0))
+        newer = (F.octet_length(text) > F.char_length(text)) & text.rlike("\\p{Cn}")
+        return F.when(newer, cut(unknown_to_java("L"), unknown_to_java("N"))).otherwise(cut())
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
