@@ -29,7 +29,9 @@ def groups(claims: DataFrame) -> DataFrame:
         by_page = rows.join(labels, "item").filter("page IS NOT NULL").groupBy("page").agg(F.min("group").alias("low"))
         near = rows.join(by_page, "page").groupBy("item").agg(F.min("low").alias("low"))
         step = staged(labels.join(near, "item", "left").select("item", "group", F.least("group", "low").alias("best")))
-        # the group of the group: long chains close in a few rounds
+        # the old group's own item takes the better group as well, and each item the group of its group: long chains close in a few rounds
+        hooked = step.groupBy(F.col("group").alias("item")).agg(F.min("best").alias("hook"))
+        step = staged(step.join(hooked, "item", "left").select("item", "group", F.least("best", "hook").alias("best")))
         up = step.select(F.col("item").alias("best"), F.col("best").alias("top"))
         after = staged(step.join(up, "best", "left").select("item", F.col("group").alias("was"), F.least("best", "top").alias("group")))
         labels = after.select("item", "group")
@@ -41,13 +43,11 @@ def blocked_pages(claims: DataFrame, valid: Column) -> DataFrame:
     """Pages (page) that no item may use: those of items that aren't ``valid`` (an expression over the rows, null is not valid),
     and, again and again, all pages of valid items that have a blocked one."""
     rows = staged(claims.select("item", "page", F.coalesce(valid, F.lit(False)).alias("ok")).filter("page IS NOT NULL").distinct())
-    good, reached = rows.filter("ok").select("item", "page"), staged(rows.filter("NOT ok").select("page").distinct())
-    new = reached
-    while not new.isEmpty():
-        touched = good.join(new, "page", "left_semi").select("item").distinct()
-        new = staged(good.join(touched, "item", "left_semi").select("page").distinct().join(reached, "page", "left_anti"))
-        reached = staged(reached.unionByName(new))
-    return reached
+    bad, good = rows.filter("NOT ok").select("page").distinct(), rows.filter("ok").select("item", "page")
+    # contagion passes through valid items, so it takes the pages of their groups whole
+    grouped = staged(good.join(groups(good), "item").select("page", "group").distinct())
+    hit = grouped.join(bad, "page", "left_semi").select("group").distinct()
+    return bad.unionByName(grouped.join(hit, "group", "left_semi").select("page")).distinct()
 
 
 def partitioned(claims: DataFrame, valid: Column) -> DataFrame:

@@ -10,6 +10,7 @@ import atexit
 import functools
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import Window as W
 
 from ..session import table
 
+#: Rounds of a fixpoint before it is worth making shortcuts along chains.
+PLAIN_ROUNDS = 6
+
 
 def build_paths(nodes: DataFrame) -> DataFrame:
     """``nodes`` reachable from a root (null parent) with tree_path, order_path and path. Cycles and orphans stay out. Each round
@@ -95,41 +99,100 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, which cuts its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the checkpoint folder and read from there, which cuts its lineage and works it out once."""
+    path = f"{checkpoint_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(path, component) for all ends of edges (path, target), whichever way they point; the component is its smallest path.
+    Each round takes the least label of all neighbours and then the label's label, so a chain halves."""
+    both = edges.unionByName(edges.select(F.col("target").alias("path"), F.col("path").alias("target"))).distinct()
+    both = staged(both)
+    labels, moved = staged(both.groupBy("path").agg(F.least("path", F.min("target")).alias("label"))), True
+    while moved:
+        near = both.join(labels.select(F.col("path").alias("target"), "label"), "target").groupBy("path").agg(F.min("label").alias("near"))
+        step = staged(labels.join(near, "path").select("path", "label", F.least("label", "near").alias("best")))
+        # the old label's own path takes the better label as well, and every path then its label's label, twice
+        hooked = step.groupBy(F.col("label").alias("path")).agg(F.min("best").alias("hook"))
+        step = staged(step.join(hooked, "path", "left").select("path", "label", F.least("best", "hook").alias("best")))
+        for _ in range(2):
+            up = step.select(F.col("path").alias("best"), F.col("best").alias("top"))
+            step = step.join(up, "best").select("path", "label", F.least("best", "top").alias("best"))
+        after = staged(step)
+        moved, labels = not after.filter("best <> label").isEmpty(), after.select("path", F.col("best").alias("label"))
+    return labels.withColumnRenamed("label", "component")
+
+
+def _shortcuts(edges: DataFrame) -> DataFrame:
+    """``edges`` and, from paths with one target each, edges to what lies 2, 4, 8 ... steps further along such paths, so that a
+    chain is passed in a number of rounds that grows with the logarithm of its length."""
+    counts = edges.groupBy("path").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"))
+    jump = staged(counts.filter("n = 1").select("path", "target"))
+    out, most = [edges, jump.limit(0)], jump.count()
+    for _ in range(most.bit_length()):
+        jump = staged(jump.join(jump.select(F.col("path").alias("target"), F.col("target").alias("far")), "target").select("path", F.col("far").alias("target")).filter("path <> target"))
+        if jump.isEmpty():
+            break
+        out.append(jump)
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return staged(whole.distinct())
 
 
 def closure(relations: DataFrame, seeds: DataFrame, both: bool = True) -> DataFrame:
     """Paths (path) that relations (path, target) select with the seeds, seeds included: where either end is selected, the
-    other is (``both``), or the target where the path is. A fixpoint of any depth: each round joins what is new only, and
-    drops what has been reached."""
+    other is (``both``), or the target where the path is. Both ways this is all of the components that hold a seed. One way,
+    rounds join what is new only; after PLAIN_ROUNDS of them the chains of the graph get shortcuts."""
     edges = relations.filter("path IS NOT NULL AND target IS NOT NULL").select("path", "target")
+    reached = new = staged(seeds.select("path").distinct())
     if both:
-        edges = edges.unionByName(edges.select(F.col("target").alias("path"), F.col("path").alias("target")))
+        whole = components(edges)
+        held = whole.join(reached, "path", "left_semi").select("component").distinct()
+        return reached.unionByName(whole.join(held, "component", "left_semi").select("path")).distinct()
     edges = staged(edges.distinct())
-    reached = new = staged(seeds.select("path").distinct())
     rounds = 0
     while not new.isEmpty():
         found = edges.join(new, "path", "left_semi").select(F.col("target").alias("path")).distinct()
         new = staged(found.join(reached, "path", "left_anti"))
         reached, rounds = reached.unionByName(new), rounds + 1
-        if rounds % 8 == 0:  # else the union of all rounds grows
-            reached = staged(reached.coalesce(max(1, edges.rdd.getNumPartitions())))
+        if rounds == PLAIN_ROUNDS:  # old paths begin again, since shortcuts leave from them too
+            edges = _shortcuts(edges)
+            reached = new = staged(reached)
+        elif rounds % PLAIN_ROUNDS == 0:  # else the union of all rounds grows
+            reached = staged(reached)
     return reached
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """Relations left when those from paths that are no target, or to targets that are no path, go until none goes any more."""
-    n, left = edges.count(), edges
+    """Relations left when those from paths that are no target, or to targets that are no path, go until none goes any more. After
+    PLAIN_ROUNDS, chains that end (or begin) go whole: with shortcuts, a path's way to the end of its chain is short."""
+    n, left, rounds = edges.count(), edges, 0
     while n:
         left = staged(left.join(left.select(F.col("target").alias("path")).distinct(), "path", "left_semi").join(left.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target"))
-        before, n = n, left.count()
+        before, n, rounds = n, left.count(), rounds + 1
         if n == before:
             break
+        if n and rounds % PLAIN_ROUNDS == 0:
+            left = _without_chains(_without_chains(left).select(F.col("target").alias("path"), F.col("path").alias("target"))).select(F.col("target").alias("path"), F.col("path").alias("target"))
+            n = left.count()
     return left
 
 
+def _without_chains(edges: DataFrame) -> DataFrame:
+    """``edges`` without the paths of one target each that lead to a path of none."""
+    ends = edges.select(F.col("target").alias("path")).distinct().join(edges.select("path").distinct(), "path", "left_anti")
+    counts = edges.groupBy("path").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"))
+    jump = staged(counts.filter("n = 1").select("path", "target"))
+    for _ in range(jump.count().bit_length()):
+        further = jump.select(F.col("path").alias("target"), F.col("target").alias("far"))
+        jump = staged(jump.join(further, "target", "left").select("path", F.coalesce("far", "target").alias("target")))
+    gone = jump.join(ends.select(F.col("path").alias("target")), "target", "left_semi").select("path").unionByName(ends)
+    return staged(edges.join(gone, "path", "left_anti").join(gone.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target"))
+
+
 def cycles(relations: DataFrame) -> DataFrame:
     """Paths that reach themselves, at any distance.
 
