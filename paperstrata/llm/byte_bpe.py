@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 SLOTS = 1 << 17
 KNOWN_BYTES = 48
 WINDOW = 256
@@ -86,6 +86,7 @@ class Tables:
 
     ranks: Column
     pieces: Column
+    pairs: Column
 
     def rank(self, piece: Column) -> Column:
         """The rank of a byte string, null if there is none."""
@@ -130,13 +131,20 @@ class Vocabulary:
         """Pieces, a character a byte, by id."""
         return F.from_json(F.lit(json.dumps([piece.decode("latin-1") for piece in self._by_id])), "array<string>")
 
+    @cached_property
+    def _pairs(self) -> Column:
+        """The fold's first entries: by a byte and the next one, or 256 for none, the byte's id and the pair's rank."""
+        ids = [self.ranks[bytes([i])] for i in range(256)]
+        entries = [(NEVER if b == 256 else self.ranks.get(bytes([a, b]), NEVER)) * (1 << BITS) + ids[a] for a in range(256) for b in range(257)]
+        return F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
+
     @cached_property
     def _hex_pieces(self) -> Column:
         return F.split(F.lit(",".join(piece.hex() for piece in self._by_id)), ",")
 
     def with_tables(self, body: Callable[[Tables], Column]) -> Column:
-        """``body`` of the two literal tables, each in the plan once however often the body uses it."""
-        return C.bind(self._rank_map, lambda ranks: C.bind(self._pieces, lambda pieces: body(Tables(ranks, pieces))))
+        """``body`` of the literal tables, each in the plan once however often the body uses it."""
+        return C.bind(self._rank_map, lambda ranks: C.bind(self._pieces, lambda pieces: C.bind(self._pairs, lambda pairs: body(Tables(ranks, pieces, pairs)))))
 
     def words(self, text: Column) -> Column:
         """The pattern's matches. Texts with characters that Java's Unicode hasn't assigned yet need its longer form."""
@@ -167,16 +175,14 @@ def merged(tables: Tables, data: Column) -> Column:
         """Entries ``at`` and the next become one, the piece ``id``; the entry before it gets a new rank."""
         now = F.when(at + 2 < F.size(entries), tables.entry(id, _id(F.get(entries, at + 2)))).otherwise(F.lit(NEVER << BITS) + id)
         rest = F.slice(entries, at + 3, F.size(entries))
-        before = C.bind(_id(F.get(entries, at - 1)), lambda e: tables.entry(e, id))
-        return F.when(at == 0, F.concat(F.array(now), rest)).otherwise(F.concat(F.slice(entries, 1, at - 1), F.array(before, now), rest))
-
-    def fold(ids: Column) -> Column:
-        last = F.array(F.lit(NEVER << BITS) + F.element_at(ids, -1))
-        pairs = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), tables.entry)
-        return F.aggregate(F.sequence(F.lit(2), F.size(ids)), F.concat(pairs, last), step, lambda es: F.transform(es, lambda e: _id(e).cast("int")))
-
-    single = F.transform(F.split(data, ""), tables.rank)
-    return F.when(F.length(data) < 2, F.transform(single, lambda i: i.cast("int"))).otherwise(C.bind(single, fold))
+        before = tables.entry(_id(F.get(entries, at - 1)), id)
+        # flatten copies its parts at once, where concat of arrays builds a lazy list of them
+        return F.when(at == 0, F.flatten(F.array(F.array(now), rest))).otherwise(F.flatten(F.array(F.slice(entries, 1, at - 1), F.array(before, now), rest)))
+
+    # a byte and the next one have their entry in a table of all pairs of bytes; 256 stands for the end
+    codes = F.transform(F.split(data, ""), lambda c: F.ascii(c))
+    after = lambda codes: F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(tables.pairs, a * 257 + F.coalesce(b, F.lit(256))))
+    return F.aggregate(F.slice(F.split(data, ""), 2, F.length(data)), C.bind(codes, after), step, lambda es: F.transform(es, lambda e: _id(e).cast("int")))
 
 
 def _windows(tables: Tables, data: Column) -> Column:
