@@ -69,34 +69,42 @@ def markdown_chunks(body: Column | str, target: int = 600, overlap: int = 80) ->
     return chunks(body)
 
 
-def pieces_of(text: str, most: int, count: Callable[[str], int]) -> list[str]:
-    """``text`` in pieces of at most ``most`` tokens: by sentences, else clauses, else 120 words, else bare words."""
+def by_words(text: str, most: int) -> list[str]:
+    """``text`` in runs of ``most`` words."""
+    words = text.split()
+    return [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+
+
+def pieces_of(text: str, most: int, count: Callable[[str], int], cut: Callable[[str, int], list[str]] = by_words) -> list[str]:
+    """``text`` in pieces of at most ``most`` tokens: sentences, or the clauses of a single one, as many together as fit. One that
+    is too long by itself is cut every 120 words, and by tokens (``cut``) where that doesn't help; its pieces stand before
+    the sentences that were being put together when it came, and those go on after it."""
     if count(text) <= most:
         return [text]
+    parts: list[str] = []
     for pattern in (r"(?<=[.!?])\s+", r"(?<=[,;:])\s+"):
-        parts = [p for p in re.split(pattern, text) if p.strip()]
-        if len(parts) > 1:
-            break
-    else:
-        words = text.split()
-        step = 120 if len(words) > 120 else max(1, len(words) // 2)
-        parts = [" ".join(words[i : i + step]) for i in range(0, len(words), step)] if len(words) > 1 else [text[: len(text) // 2], text[len(text) // 2 :]]
+        if len(parts) < 2:
+            parts = [p.strip() for p in re.split(pattern, text) if p.strip()]
     out: list[str] = []
-    for part in (q for p in parts for q in pieces_of(p.strip(), most, count)):
-        joined = f"{out[-1]} {part}" if out else part
-        if out and count(joined) <= most:
-            out[-1] = joined
+    together = ""
+    for part in parts:
+        if count(part) > most:
+            runs = by_words(part, 120) if len(part.split()) > 1 else [part]
+            out += [piece for run in runs for piece in ([run] if count(run) <= most else cut(run, most))]
+        elif together and count(f"{together} {part}") > most:
+            out.append(together)
+            together = part
         else:
-            out.append(part)
-    return out
+            together = f"{together} {part}".strip()
+    return [*out, together] if together else out
 
 
-def split_section(text: str, most: int = 700, count: Callable[[str], int] = lambda t: len(t.split())) -> list[str]:
-    """Chunks without overlap of at most ``most`` tokens, of blocks where they fit; ``count`` is the tokenizer's."""
+def split_section(text: str, most: int = 700, count: Callable[[str], int] = lambda t: len(t.split()), cut: Callable[[str, int], list[str]] = by_words) -> list[str]:
+    """Chunks without overlap of at most ``most`` tokens, of blocks where they fit; ``count`` and ``cut`` are the tokenizer's."""
     out: list[list[str]] = [[]]
     held = 0
     for block in (b.strip() for b in re.split(r"\n\s*\n", text) if b.strip()):
-        for piece in pieces_of(block, most, count):
+        for piece in pieces_of(block, most, count, cut):
             n = count(piece)
             if out[-1] and held + n > most:
                 out.append([])
@@ -110,12 +118,12 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
-def section_chunks(text: Column | str, most: int = 700, count: Callable[[str], int] = word_count) -> Column:
-    """``count`` gives the tokens of a text, by whatever tokenizer the units are made for."""
+def section_chunks(text: Column | str, most: int = 700, count: Callable[[str], int] = word_count, cut: Callable[[str, int], list[str]] = by_words) -> Column:
+    """``count`` gives the tokens of a text and ``cut`` cuts it by tokens, by whatever tokenizer the units are made for."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def chunks(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_section(t or "", most, count))
+        return text.map(lambda t: split_section(t or "", most, count, cut))
 
     return chunks(text)
 

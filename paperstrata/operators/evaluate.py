@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import table
+from .tree import staged
+
+#: Bins of a round of selection, how many values are sorted instead, and for how many groups ranges are broadcast.
+BINS, SORTED, FEW_GROUPS = 1024, 10_000, 100_000
 
 
 def metrics(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -25,12 +29,41 @@ def metrics(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Mean and nearest-rank percentiles per group."""
-    nth = F.row_number().over(W.partitionBy(by).orderBy(value))
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
-    out = rows.withColumn("_n", nth).withColumn("_c", n)
-    at = lambda q: F.max(F.when(F.col("_n") == F.greatest(F.ceil(F.col("_c") * q), F.lit(1)), F.col(value)))
-    return out.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"), *[at(q).alias(f"p{int(q * 100)}") for q in shares])
+    """Mean and exact nearest-rank percentiles per group; null and NaN values count as absent.
+
+    Selection by histograms: a group's range is cut into BINS, which are counted; the bin that holds the wanted rank is the next
+    range. Counts are partial aggregates, so a group of any size stays spread out. Ranges of at most SORTED values are sorted."""
+    own = rows.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v"), F.col(value).alias("value")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    sizes = staged(own.groupBy("by").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    nearest = F.greatest(F.ceil(F.col("n") * F.col("share")), F.lit(1))
+    shown = F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share")
+    targets = sizes.filter("n > 0").select("by", "n", "low", "high", shown).select("by", "share", "low", "high", "n", nearest.alias("rank"))
+    ready = []
+    targets = staged(targets)
+    while not targets.isEmpty():
+        done = (F.col("low") == F.col("high")) | (F.col("n") <= SORTED)
+        ready.append(targets.filter(done))
+        wide = targets.filter(~done)
+        part = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)))
+        counted = _within(own, wide).groupBy("by", "share", "rank", part.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(W.partitionBy("by", "share").orderBy("bin"))  # at most BINS rows
+        held = counted.withColumn("upto", upto).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        targets = staged(held.select("by", "share", "low", "high", "n", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")))
+    found = sizes.limit(0).select("by", F.lit(0.0).alias("share"), F.lit(0.0).alias("v"))
+    for part in ready:
+        flat = part.filter("low = high").select("by", "share", F.col("low").alias("v"))
+        nth = F.row_number().over(W.partitionBy("by", "share").orderBy("v"))
+        found = found.unionByName(flat).unionByName(_within(own, part.filter("low < high")).withColumn("nth", nth).filter("nth = rank").select("by", "share", "v"))
+    kind = dict(rows.dtypes)[value]
+    wide = found.groupBy(F.col("by").alias("w_by")).agg(*[F.max(F.when(F.col("share") == float(q), F.col("v"))).cast(kind).alias(f"p{int(q * 100)}") for q in shares])
+    return sizes.join(wide, F.col("by").eqNullSafe(F.col("w_by")), "left").select(F.col("by").alias(by), "mean", *wide.columns[1:])
+
+
+def _within(own: DataFrame, targets: DataFrame) -> DataFrame:
+    """Values in the ranges of their group's targets."""
+    t = targets.withColumnRenamed("by", "t_by")
+    t = F.broadcast(t) if t.count() <= FEW_GROUPS else t
+    return own.join(t, F.col("by").eqNullSafe(F.col("t_by")) & F.col("v").between(F.col("low"), F.col("high"))).select("by", "v", "share", "low", "high", "rank")
 
 
 QUERIES = {

@@ -105,10 +105,12 @@ def coverage(targets: DataFrame, images: DataFrame) -> DataFrame:
 
 def chrome(blocks: DataFrame, height: float, band: float = 0.13, grid: float = 6.0) -> DataFrame:
     """Blocks with ``repeated``: whether a block of that type and place (to the grid) is in the top or bottom band of two pages."""
+    at_edge = F.coalesce((F.col("y") + F.col("h") <= band * height) | (F.col("y") >= (1 - band) * height), F.lit(False))
     place = F.struct("kind", *[F.round(F.col(c) / grid).alias(c) for c in ("x", "y", "w", "h")])
-    at_edge = (F.col("y") + F.col("h") <= band * height) | (F.col("y") >= (1 - band) * height)
-    counts = F.count(F.when(at_edge, 1)).over(W.partitionBy(place, at_edge))
-    return blocks.withColumn("repeated", at_edge & (counts >= 2))
+    own = blocks.withColumns({"_edge": at_edge, "_place": place})
+    found = staged(own.filter("_edge").groupBy("_place").count().filter("count > 1").select("_place", F.lit(True).alias("_twice")))
+    found = F.broadcast(found) if found.count() <= 200_000 else found
+    return own.join(found, "_place", "left").withColumn("repeated", F.col("_edge") & F.coalesce("_twice", F.lit(False))).select(*blocks.columns, "repeated")
 
 
 def clusters(items: DataFrame, gap: float = 50.0) -> DataFrame:

@@ -67,7 +67,7 @@ def validate(nodes: DataFrame) -> DataFrame:
     orders below 1, orders of siblings that aren't 1 to n."""
     roots = nodes.filter(F.col("parent_id").isNull())
     fault = lambda df, name, col="id": df.select(F.lit(name).alias("fault"), F.col(col).alias("id"))
-    many = roots.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).filter("n > 1")
+    many = roots.join(F.broadcast(roots.agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))  # one row or none
     orphans = nodes.filter(F.col("parent_id").isNotNull()).alias("n").join(nodes.select(F.col("id").alias("pid")).distinct(), F.col("parent_id") == F.col("pid"), "left_anti")
     siblings = nodes.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.count_distinct("ordinal").alias("own"))
     parts = [
