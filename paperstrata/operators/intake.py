@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import table
-from ..sources import files, sinks
+from ..sources import archives, files, sinks
 from ..sources.table_log import Conflict, TableLog, changes, put_if_absent
 from ..streaming.ingest import ingest
 from . import checks, versions
@@ -220,6 +220,12 @@ def _csv_numbers(s, d):
     return rows.withColumn("place", place).select(F.col("key").cast("long").alias("key"), "text", (F.col("n") == F.col("place")).alias("in_order"))
 
 
+def _archives_again(s, d):
+    """Documents into archives of 64 files, and out again."""
+    docs = table(s, d, "documents").select(archives.archive_name(F.col("doc_id"), 64).alias("archive"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return archives.unpacked(archives.packed(docs)).select("archive", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("byte_size"))
+
+
 def _jsonl_again(s, d):
     at = _scratch(s)
     table(s, d, "part").select("p_partkey", "p_name").write.json(at)
@@ -422,6 +428,7 @@ QUERIES = {
     "push_start": (_push, "SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS byte_size FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 <> 0)"),
     "version_rollback": (_rolled_back, "SELECT CAST(l_orderkey AS VARCHAR) AS version_id, l_partkey AS path FROM lineitem UNION ALL SELECT 'new', l_partkey FROM lineitem WHERE l_orderkey = 1"),
     "csv_round_trip": (_csv_again, """SELECT CAST(p_partkey AS VARCHAR) AS key, p_name || ', "' || p_brand || '"' || chr(10) || p_name AS text FROM part"""),
+    "archive_round_trip": (_archives_again, "SELECT 'part-' || doc_id // 64 || '.zip' AS archive, lang || '/' || doc_id AS path, sha256(text) AS sha256, strlen(text) AS byte_size FROM documents"),
     "csv_numbers": (_csv_numbers, """SELECT o_orderkey AS key, 'a' || chr(10) || chr(10) || o_orderpriority || ' "x",' || chr(10) AS text, true AS in_order FROM orders"""),
     "jsonl_round_trip": (_jsonl_again, "SELECT p_partkey, p_name FROM part"),
     "text_round_trip": (_texts_again, "SELECT r_name AS name FROM region"),

@@ -37,5 +37,5 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in every file; quotes are doubled."""
-    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
+    """CSV with a header in every file; quotes are doubled and no space is trimmed."""
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
