@@ -142,6 +142,10 @@ class Vocabulary:
     def _hex_pieces(self) -> Column:
         return F.split(F.lit(",".join(piece.hex() for piece in self._by_id)), ",")
 
+    @cached_property
+    def _hex_ids(self) -> Column:
+        return F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(self._by_id)))), ",")
+
     def with_tables(self, body: Callable[[Tables], Column]) -> Column:
         """``body`` of the literal tables, each in the plan once however often the body uses it."""
         return C.bind(self._rank_map, lambda ranks: C.bind(self._pieces, lambda pieces: C.bind(self._pairs, lambda pairs: body(Tables(ranks, pieces, pairs)))))
@@ -255,14 +259,14 @@ def decoded(vocabulary: Vocabulary, ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary._hex_pieces, i)), ""))
 
 
-def ids_bytes(ids: Column) -> Column:
+def ids_bytes(vocabulary: Vocabulary, ids: Column) -> Column:
     """Ids as little-endian unsigned 32-bit integers."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*[F.substring(F.lpad(F.hex(i), 8, "0"), at, 2) for at in (7, 5, 3, 1)])), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary._hex_ids, i)), ""))
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_vocabulary()
     encoded = encode(C.documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_bytes(F.col("ids")), 256).alias("ids_sha256"), F.sha2(decoded(vocabulary, F.col("ids")), 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_bytes(vocabulary, F.col("ids")), 256).alias("ids_sha256"), F.sha2(decoded(vocabulary, F.col("ids")), 256).alias("decoded_sha256")
     )
