@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import table
 
@@ -54,9 +59,43 @@ def hash_conflicts(manifest: DataFrame) -> DataFrame:
 
 
 def manifest_hash(manifest: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """One SHA-256 per group over its entries as JSON, in order of their columns. A group is one package."""
-    entries = F.array_sort(F.collect_list(F.to_json(F.struct(*columns))))
-    return manifest.groupBy(*by).agg(F.sha2(F.array_join(entries, "\n"), 256).alias("package_hash"), F.count(F.lit(1)).alias("files"))
+    """One SHA-256 per group over its entries as JSON, in order of their text, a line each. A group is one package."""
+    entries = manifest.select(*by, F.to_json(F.struct(*columns)).alias("_entry"))
+    return streamed_hash(entries, by, "_entry", ["_entry"]).select(*by, F.col("sha256").alias("package_hash"), F.col("entries").alias("files"))
+
+
+def streamed_hash(rows: DataFrame, by: list[str], entry: str, order: list[str], head: str = "", between: str = "\n", tail: str = "") -> DataFrame:
+    """by, sha256 and entries (their number) per group: the digest of head, the entries (strings, not null) in ``order`` with
+    ``between`` between them, and tail, in UTF-8. A group is sorted, which spills, and fed to its digest batch by batch, so
+    memory doesn't grow with it. Null is a group key like others; no rows give no groups."""
+    keyed = rows.select(*by, F.to_json(F.struct(*by)).alias("_group"), F.col(entry).alias("_fed"), *(F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)))
+    ordered = keyed.repartition("_group").sortWithinPartitions("_group", *(f"_order_{i}" for i in range(len(order)))).select(*by, "_group", "_fed")
+    kind = StructType([*rows.select(*by).schema.fields, StructField("sha256", StringType()), StructField("entries", LongType())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = digest = first = None
+        n = 0
+
+        def done() -> pa.RecordBatch:
+            digest.update(tail.encode())
+            return pa.RecordBatch.from_arrays([*first.columns, pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=[*by, "sha256", "entries"])
+
+        for batch in batches:
+            groups, fed, at = batch.column("_group").to_pylist(), batch.column("_fed").to_pylist(), 0
+            for name, run in itertools.groupby(groups):
+                size = sum(1 for _ in run)
+                if name != group:
+                    if digest:
+                        yield done()
+                    group, digest, n, first = name, hashlib.sha256(head.encode()), 0, batch.select(by).slice(at, 1)
+                elif n:
+                    digest.update(between.encode())
+                digest.update(between.join(fed[at : at + size]).encode())
+                n, at = n + size, at + size
+        if digest:
+            yield done()
+
+    return ordered.mapInArrow(digests, kind)
 
 
 def history(versions: DataFrame, group: str, limit: int, offset: int = 0) -> DataFrame:
