@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import catalog, checks, chunk, evaluate, hashtree, intake, inverted, labels, layout, pages, profile, render, search, tree, vectors, versions
+from .operators import catalog, checks, chunk, evaluate, hashtree, intake, inverted, labels, layout, pages, profile, quadtree, render, search, tree, vectors, versions
 from .plans import table_query
 
 FLAGSHIP = "hybrid_search"
 
-MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake, inverted, vectors, hashtree, labels)
+MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake, inverted, vectors, hashtree, labels, quadtree)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
