@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import catalog, checks, chunk, evaluate, hashtree, intake, inverted, labels, layout, pages, profile, quadtree, render, search, tree, vectors, versions
 from .plans import table_query
+from .streaming import stateful
 
 FLAGSHIP = "hybrid_search"
 
-MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake, inverted, vectors, hashtree, labels, quadtree)
+MODULES = (search, tree, versions, profile, layout, evaluate, chunk, table_query, pages, checks, catalog, render, intake, inverted, vectors, hashtree, labels, quadtree, stateful)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
