@@ -19,7 +19,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.tree import checkpoint_folder
 from ..session import ship, table
 
-STATES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: no space is set aside on disk for each, and a batch saves its changes instead of whole stores.
+STATES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 SESSION_OUT = "id long, collection string, state string"
 REPAIR_OUT = "item long, nth int, state string, next int"
 
@@ -93,8 +98,8 @@ class Repairs(StatefulProcessor):
 
 def session_states(events: DataFrame, hours: float = 24, lateness: str = "0 seconds") -> DataFrame:
     """A stream of events (id, collection, at, kind: start, close or tick) to the changes of its sessions: id, collection, state. Ticks
-    only move the time; events without id or time are left out, as are late ones, which a watermark has
-    reached."""
+    only move the time; events without id or time are left out, as are late ones, which the
+    watermark has reached."""
     sound = events.filter("id IS NOT NULL AND at IS NOT NULL").select("id", "collection", "at", "kind").withWatermark("at", lateness)
     return sound.groupBy("id").transformWithStateInPandas(statefulProcessor=Sessions(hours), outputStructType=SESSION_OUT, outputMode="Append", timeMode="EventTime")
 
@@ -111,7 +116,8 @@ def stream_session(spark: SparkSession) -> SparkSession:
     own = ship(spark).newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATES)
+    for key, value in STATES.items():
+        own.conf.set(key, value)
     return own
 
 
