@@ -77,16 +77,16 @@ def overlap_join(a: DataFrame, b: DataFrame, limit: int = LIMIT, one_in: int = O
 
 
 def _sheet(s, d, kind):
-    """All order lines as small boxes on one sheet, those of a flag densely: more orders are more boxes on the same page."""
+    """All order lines as small boxes on one sheet, those of a flag densely: more orders are more boxes, and a longer sheet."""
     dense = F.when(F.col("l_returnflag") == "R", 64.0).otherwise(16.0)
-    y = (F.col("l_partkey") * 53 + F.col("l_suppkey") * 7919) % 100_000 / dense
+    y = (F.col("l_partkey") * 53 + F.col("l_suppkey") * 7919) % 100_000 / dense + F.expr("l_orderkey DIV 10000") * 6250
     rows = _lines(s, d).filter(F.col("l_returnflag").isin("R", kind))
-    boxes = rows.select("id", F.lit("sheet").alias("page"), (F.col("l_extendedprice").cast("double") / 8).alias("x"), y.alias("y"), (F.col("l_quantity").cast("double") / 16).alias("w"), (F.col("l_linenumber") / 4.0).alias("h"), F.col("l_linestatus").alias("status"))
+    boxes = rows.select("id", F.lit("sheet").alias("page"), (F.col("l_extendedprice").cast("double") / 8).alias("x"), y.alias("y"), F.col("l_quantity").cast("double").alias("w"), (F.col("l_linenumber") * 2.0).alias("h"), F.col("l_linestatus").alias("status"))
     return boxes
 
 
-_SHEET = f"""SELECT id, l_returnflag AS flag, l_linestatus AS status, CAST(l_extendedprice AS DOUBLE) / 8 AS x, (l_partkey * 53 + l_suppkey * 7919) % 100000 / CASE l_returnflag WHEN 'R' THEN 64.0::DOUBLE ELSE 16.0::DOUBLE END AS y,
-  CAST(l_quantity AS DOUBLE) / 16 AS w, l_linenumber / 4.0::DOUBLE AS h FROM ({_LINES}) WHERE l_returnflag IN ('R', 'A')"""
+_SHEET = f"""SELECT id, l_returnflag AS flag, l_linestatus AS status, CAST(l_extendedprice AS DOUBLE) / 8 AS x, (l_partkey * 53 + l_suppkey * 7919) % 100000 / CASE l_returnflag WHEN 'R' THEN 64.0::DOUBLE ELSE 16.0::DOUBLE END + l_orderkey // 10000 * 6250 AS y,
+  CAST(l_quantity AS DOUBLE) AS w, l_linenumber * 2.0::DOUBLE AS h FROM ({_LINES}) WHERE l_returnflag IN ('R', 'A')"""
 _NEAR = "JOIN b ON a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
 _AB = f"WITH s AS ({_SHEET}), a AS (SELECT * FROM s WHERE status = 'F'), b AS (SELECT * FROM s WHERE id % 2 = 0)"
 
