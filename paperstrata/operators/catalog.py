@@ -45,9 +45,10 @@ def grouping_items(items: DataFrame) -> DataFrame:
 
 
 def name_conflicts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """Wanted names (id, name) that another id has."""
-    taken = existing.select("name", F.col("id").alias("_owner"))
-    return wanted.join(taken, "name").filter(F.col("_owner") != F.col("id")).select("id", "name").distinct()
+    """Wanted names (id, name) that another id has. A name of many owners is one row: some owner differs from an id if the least
+    or the greatest does."""
+    taken = existing.groupBy("name").agg(F.min("id").alias("_least"), F.max("id").alias("_greatest"))
+    return wanted.join(taken, "name").filter((F.col("_least") != F.col("id")) | (F.col("_greatest") != F.col("id"))).select("id", "name").distinct()
 
 
 def resolved(wanted: DataFrame, *places: tuple[str, DataFrame]) -> DataFrame:
