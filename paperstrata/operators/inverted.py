@@ -28,9 +28,11 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..session import table
 from . import search as S
-from .tree import checkpoint_folder
+from .tree import checkpoint_folder, staged
 
 SEGMENT_DOCS, RANGE_DOCS, SHARDS = 1 << 16, 128, 32
+#: About how many words, and documents, one task of a write takes.
+TASK_WORDS, TASK_DOCS = 4_000_000, 50_000
 
 
 @dataclass
@@ -43,6 +45,19 @@ class Hits:
     threshold: float
 
 
+def counts_of(words: Column) -> Column:
+    """term, tf and len (the number of all words) of each distinct word: words are sorted, and where a run of equal ones begins
+    and the next one does, its length follows."""
+
+    def runs(ordered: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        each = F.element_at(F.transform(F.array(begins), lambda b: F.transform(b, lambda at, i: F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(b, i + 1), F.size(ordered)) - at).alias("tf"), F.size(ordered).alias("len")))), 1)
+        return F.when(F.size(ordered) > 0, each)
+
+    # transform over one value, so that it is worked out once a row
+    return F.element_at(F.transform(F.array(F.sort_array(words)), runs), 1)
+
+
 class InvertedIndex:
     """An index at ``path``. Ids shall be unique and not null; null texts have no words."""
 
@@ -61,32 +76,38 @@ class InvertedIndex:
         about = {"id": id_col, "fields": fields, "id_type": dict(units.dtypes)[id_col], "segments": segments, "range_docs": range_docs}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/about")
         index = cls(spark, path)
-        index._write(units, spark.range(segments).select(F.col("id").cast("int").alias("segment")), 0)
+        index._write(units, None, 0)
         return index
 
     def _segment(self, id: Column) -> Column:
         return F.pmod(F.xxhash64(id.cast("string")), F.lit(self.segments)).cast("int")
 
-    def _write(self, units: DataFrame, which: DataFrame, generation: int) -> None:
-        """Writes the segments ``which`` from ``units``, which has all their documents."""
-        tokens = F.array(*(T.tokens(F.coalesce(F.col(f), F.lit(""))) for f in self.fields))
-        own = units.select(F.col(self.id).alias("id"), self._segment(F.col(self.id)).alias("segment"), tokens.alias("tokens")).join(which, "segment")
-        own = own.withColumn("lens", F.transform("tokens", lambda t: F.size(t)))
+    def _write(self, units: DataFrame, which: DataFrame | None, generation: int) -> None:
+        """Writes the segments ``which`` (none: all) from ``units``, which has all their documents. Texts are shuffled to their range,
+        where words are counted in place, so a row per document and distinct word is the most that is sorted."""
+        own = units.select(F.col(self.id).alias("id"), self._segment(F.col(self.id)).alias("segment"), F.array(*(F.coalesce(F.col(f), F.lit("")) for f in self.fields)).alias("texts"))
+        own = own if which is None else own.join(which, "segment", "left_semi")
+        lens = staged(own.select("segment", "id", F.transform("texts", lambda t: F.size(T.tokens(t))).alias("lens")))
         length = F.aggregate("lens", F.lit(0), lambda n, x: n + x)
-        # a window per segment, which is bounded; everything up to the blocks stays in its partitions
-        placed = own.withColumn("range", ((F.row_number().over(W.partitionBy("segment").orderBy(length, "id")) - 1) / self.range_docs).cast("int"))
-        fields = placed.select("segment", "range", "id", "lens", F.posexplode("tokens").alias("field", "words"))
-        words = fields.select("segment", "range", "id", "field", F.get("lens", F.col("field")).alias("len"), F.explode("words").alias("term"))
-        counts = words.groupBy("segment", "range", "field", "term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        blocks = counts.groupBy("segment", "range", "field", "term").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))  # at most range_docs
+        # a window per segment, which is bounded, over ids and lengths alone
+        places = lens.select("id", ((F.row_number().over(W.partitionBy("segment").orderBy(length, "id")) - 1) / self.range_docs).cast("int").alias("range"))
+        sizes = staged(lens.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("lens", F.lit(i))).alias(f"sum{i}") for i in range(len(self.fields)))))
+        n, words = sizes.agg(F.sum("n"), F.sum(sum(F.col(f"sum{i}") for i in range(len(self.fields))))).first()
+        parts = math.ceil(max((words or 0) / TASK_WORDS, (n or 0) / TASK_DOCS)) + 1
+        fields = own.join(places, "id").repartition(parts, "segment", "range").select("segment", "range", "id", F.posexplode("texts").alias("field", "text"))
+        counted = fields.select("segment", "range", "id", "field", F.explode(counts_of(T.tokens(F.col("text")))).alias("c")).select("segment", "range", "id", "field", "c.*")
+        # a range lies in one partition: its terms are grouped where they are
+        blocks = counted.groupBy("segment", "range", "field", "term").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))  # at most range_docs
         tfs = F.array_distinct(F.col("postings.tf"))
         levels = F.transform(tfs, lambda t: F.struct(t.alias("tf"), F.array_min(F.filter("postings", lambda p: p["tf"] == t)["len"]).alias("len")))
         out = blocks.select("segment", "range", "field", "term", F.size("postings").alias("n"), levels.alias("levels"), "postings", self._shard(F.col("term")).alias("shard"), F.lit(generation).alias("generation"))
-        by = ["shard", "field", "term", "segment", "range"]
-        out.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("append").partitionBy("generation", "shard").parquet(f"{self.path}/blocks")
-        sizes = own.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("lens", F.lit(i))).alias(f"sum{i}") for i in range(len(self.fields))))
+        # a shard is dealt by term and segment to as many tasks as it needs, so neither a shard nor a frequent term is one task
+        deal = max(1, math.ceil((words or 0) / TASK_WORDS / SHARDS))
+        dealt = out.repartition(SHARDS * deal, "shard", F.pmod(F.xxhash64("term", "segment"), F.lit(deal)))
+        dealt.sortWithinPartitions("shard", "field", "term", "segment", "range").write.mode("append").partitionBy("generation", "shard").parquet(f"{self.path}/blocks")
+        which = self.spark.range(self.segments).select(F.col("id").cast("int").alias("segment")) if which is None else which
         rows = which.join(sizes, "segment", "left").select("segment", F.lit(generation).alias("generation"), *(F.coalesce(c, F.lit(0)).alias(c) for c in sizes.columns[1:]))
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
+        rows.write.mode("append").parquet(f"{self.path}/segments")
 
     def _shard(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
@@ -99,7 +120,7 @@ class InvertedIndex:
     def update(self, units: DataFrame, changed: DataFrame) -> int:
         """Brings the index to ``units``, which differ from the indexed ones in the ids ``changed`` only (new, altered or gone).
         Returns how many segments were written."""
-        which = changed.select(self._segment(F.col(self.id)).alias("segment")).distinct()
+        which = staged(changed.select(self._segment(F.col(self.id)).alias("segment")).distinct())
         newest = self._live().agg(F.max("generation")).first()[0]
         self._write(units, which, newest + 1)
         return which.count()

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperstrata.operators import catalog
+from paperstrata.operators.inverted import InvertedIndex, counts_of
 
 
 def test_conflicts_of_one_name(spark, monkeypatch):
@@ -14,3 +15,21 @@ def test_conflicts_of_one_name(spark, monkeypatch):
     got = sorted(tuple(r) for r in catalog.name_conflicts(wanted, existing).collect())
     assert got == sorted([*((i, "same") for i in range(400)), (900, "two")])
     assert ahead == [401]
+
+
+def test_index_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Neither the rows of segments nor words are pulled into one task, and no order is sampled by counting all words twice."""
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("a a"), F.concat(F.lit("w"), F.col("id") % 7), F.lit("")).alias("text"))
+    called = []
+    index = InvertedIndex.build(docs, "id", ["text"], f"file://{tmp_path}/i", segment_docs=20, range_docs=8)
+    for name in ("coalesce", "repartitionByRange"):
+        monkeypatch.setattr(type(docs), name, lambda self, *a, name=name, f=getattr(type(docs), name): called.append(name) or f(self, *a))
+    assert index.update(docs, docs.filter("id < 200")) > 1
+    assert called == []
+    assert [r.id for r in index.search("w3", 5).hits.collect()] == [3, 10, 17, 24, 31]
+
+
+def test_counts_of_words(spark):
+    rows = spark.createDataFrame([(0, ["b", "a", "b", "é", "b"]), (1, []), (2, ["x"])], "id int, words array<string>")
+    got = [(r.id, sorted(map(tuple, r.c or []))) for r in rows.select("id", counts_of(F.col("words")).alias("c")).orderBy("id").collect()]
+    assert got == [(0, [("a", 1, 5), ("b", 3, 5), ("é", 1, 5)]), (1, []), (2, [("x", 1, 1)])]
