@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..session import table
 from .layout import islands
-from .tree import staged
+from .tree import components, staged
 
 
 def page_range(first: Column, last: Column) -> Column:
@@ -22,21 +22,13 @@ def page_range(first: Column, last: Column) -> Column:
 
 def groups(claims: DataFrame) -> DataFrame:
     """(item, group) for all items of (item, page): items are in one group if they share pages, directly or through others.
-    The group is its smallest item. Null pages join nothing; repeated rows change nothing."""
+    The group is its smallest item. Null pages join nothing; repeated rows change nothing. Each item of a page is linked with
+    the page's smallest, and only these links, an item at most once to another, go through the rounds."""
     rows = staged(claims.select("item", "page").distinct())
-    labels = staged(rows.groupBy("item").agg(F.col("item").alias("group")))
-    while True:
-        by_page = rows.join(labels, "item").filter("page IS NOT NULL").groupBy("page").agg(F.min("group").alias("low"))
-        near = rows.join(by_page, "page").groupBy("item").agg(F.min("low").alias("low"))
-        step = staged(labels.join(near, "item", "left").select("item", "group", F.least("group", "low").alias("best")))
-        # the old group's own item takes the better group as well, and each item the group of its group: long chains close in a few rounds
-        hooked = step.groupBy(F.col("group").alias("item")).agg(F.min("best").alias("hook"))
-        step = staged(step.join(hooked, "item", "left").select("item", "group", F.least("best", "hook").alias("best")))
-        up = step.select(F.col("item").alias("best"), F.col("best").alias("top"))
-        after = staged(step.join(up, "best", "left").select("item", F.col("group").alias("was"), F.least("best", "top").alias("group")))
-        labels = after.select("item", "group")
-        if after.filter("group <> was").isEmpty():
-            return labels
+    low = rows.filter("page IS NOT NULL").groupBy("page").agg(F.min("item").alias("target"), F.max("item").alias("high")).filter("target <> high")
+    links = rows.join(low, "page").filter("item <> target").select(F.col("item").alias("path"), "target").distinct()
+    linked = components(links).select(F.col("path").alias("item"), F.col("component").alias("group"))
+    return rows.select("item").distinct().join(linked, "item", "left").select("item", F.coalesce("group", "item").alias("group"))
 
 
 def blocked_pages(claims: DataFrame, valid: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperstrata.operators import catalog
+from paperstrata.operators import catalog, pages, tree
 from paperstrata.operators.inverted import InvertedIndex, counts_of
 
 
@@ -33,3 +33,13 @@ def test_counts_of_words(spark):
     rows = spark.createDataFrame([(0, ["b", "a", "b", "é", "b"]), (1, []), (2, ["x"])], "id int, words array<string>")
     got = [(r.id, sorted(map(tuple, r.c or []))) for r in rows.select("id", counts_of(F.col("words")).alias("c")).orderBy("id").collect()]
     assert got == [(0, [("a", 1, 5), ("b", 3, 5), ("é", 1, 5)]), (1, []), (2, [("x", 1, 1)])]
+
+
+def test_items_go_through_rounds_once_a_shared_item(spark, monkeypatch):
+    """Pages of one item, and further pages that two items share, add nothing to the rounds."""
+    rounds, plain = [], pages.components
+    monkeypatch.setattr(pages, "components", lambda links: rounds.append(links.count()) or plain(links))
+    rows = [(1, p) for p in range(60)] + [(2, p) for p in range(10, 50)] + [(3, 1000 + p) for p in range(80)] + [(4, None), (5, 1000), (5, None), (7, 2000), (7, 2000)]
+    claims = spark.createDataFrame(rows, "item long, page long")
+    assert sorted(tuple(r) for r in pages.groups(claims).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 3), (7, 7)]
+    assert rounds == [2]
