@@ -43,3 +43,13 @@ def test_items_go_through_rounds_once_a_shared_item(spark, monkeypatch):
     claims = spark.createDataFrame(rows, "item long, page long")
     assert sorted(tuple(r) for r in pages.groups(claims).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 3), (7, 7)]
     assert rounds == [2]
+
+
+def test_rings_do_not_prolong_trimming(spark, monkeypatch):
+    """Chains that end are found in rounds by their own length, whatever rings there are."""
+    count, plain = [], tree.staged
+    monkeypatch.setattr(tree, "staged", lambda df: count.append(1) or plain(df))
+    ring = [(i, (i + 1) % 3000) for i in range(3000)]
+    left = tree._without_chains(spark.createDataFrame([*ring, (5000, 5001), (5001, 5002), (6000, 7), (6000, 8)], "path long, target long"))
+    assert sorted(map(tuple, left.collect())) == sorted([*ring, (6000, 7), (6000, 8)])
+    assert len(count) < 9
