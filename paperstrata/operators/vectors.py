@@ -31,6 +31,8 @@ from .tree import checkpoint_folder
 
 SAMPLE_ROWS, CHUNK_ROWS, QUERY_ROWS, RESCORE = 16_384, 65_536, 2_048, 4
 BOOKS, CODES, ROUNDS = 16, 256, 12
+#: Scores that an exact search holds at once, of 8 bytes, besides its vectors.
+SCORES = 1 << 20
 
 
 def unit(rows: list, dimension: int) -> np.ndarray:
@@ -232,10 +234,13 @@ def _compare(ids: list, rows: list, k: int, threshold: float | None):
             if not fit:
                 continue
             held = np.asarray([told[i] for i in fit], np.float64)
-            scores = np.round(asked @ (held / np.linalg.norm(held, axis=1, keepdims=True)).T, 5)
-            least = np.partition(scores, len(fit) - k, axis=1)[:, len(fit) - k] if len(fit) > k else np.full(len(ids), -np.inf)
-            q, at = np.nonzero(scores >= np.maximum(least, -np.inf if threshold is None else threshold)[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("id").take(pa.array(np.asarray(fit)[at])), pa.array(scores[q, at])], ["qid", "id", "score"])
+            held = (held / np.linalg.norm(held, axis=1, keepdims=True)).T
+            for at in range(0, len(ids), step := max(1, SCORES // len(fit))):
+                some = asked[at : at + step]
+                scores = np.round(some @ held, 5)
+                least = np.partition(scores, len(fit) - k, axis=1)[:, len(fit) - k] if len(fit) > k else np.full(len(some), -np.inf)
+                q, best = np.nonzero(scores >= np.maximum(least, -np.inf if threshold is None else threshold)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in q]), batch.column("id").take(pa.array(np.asarray(fit)[best])), pa.array(scores[q, best])], ["qid", "id", "score"])
 
     return batches
 

@@ -1,8 +1,12 @@
 """Work that grows with the input and no faster: counts of rows and staged tables on inputs of two sizes or with hot keys."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from paperstrata.operators import catalog, pages, tree
+from paperstrata.operators import catalog, pages, tree, vectors
 from paperstrata.operators.inverted import InvertedIndex, counts_of
 
 
@@ -53,3 +57,22 @@ def test_rings_do_not_prolong_trimming(spark, monkeypatch):
     left = tree._without_chains(spark.createDataFrame([*ring, (5000, 5001), (5001, 5002), (6000, 7), (6000, 8)], "path long, target long"))
     assert sorted(map(tuple, left.collect())) == sorted([*ring, (6000, 7), (6000, 8)])
     assert len(count) < 9
+
+
+def test_exact_search_holds_few_scores():
+    """Queries are scored in parts, so a batch of vectors takes no matrix of all of them."""
+    rng = np.random.default_rng(1)
+    held, asked = rng.normal(size=(10_000, 8)), rng.normal(size=(1500, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([list(v) for v in held])], ["id", "embedding"])
+    compare = vectors._compare(list(range(1500)), [list(v) for v in asked], 10, None)
+    tracemalloc.start()
+    got, best = 0, {}
+    for out in compare(iter([batch])):
+        got += out.num_rows
+        for q, i in zip(out.column("qid").to_pylist(), out.column("id").to_pylist(), strict=True):
+            best.setdefault(q, set()).add(i)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6 and got >= 15_000 and len(best) == 1500
+    scores = (asked[777] / np.linalg.norm(asked[777])) @ (held / np.linalg.norm(held, axis=1, keepdims=True)).T
+    assert set(np.argsort(-scores)[:10]) <= best[777]
