@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import table
+from ..session import dealt, table
 
 
 def with_active_version(collections: DataFrame, versions: DataFrame) -> DataFrame:
@@ -202,7 +202,8 @@ _LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, r
 
 def _lines(s, d):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.row_number().over(w).alias("n"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return dealt(rows, "l_orderkey").withColumn("n", F.row_number().over(w))
 
 
 def _grid(s, d):
