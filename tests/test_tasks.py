@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from paperstrata.operators import catalog
+from paperstrata.operators import catalog, layout
 from paperstrata.session import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -19,9 +19,9 @@ def test_dealt(spark):
 
 
 @tables
-@pytest.mark.parametrize("module, name", [(catalog, "numbered_titles"), (catalog, "child_order")])
+@pytest.mark.parametrize("module, name", [(catalog, "numbered_titles"), (catalog, "child_order"), (layout, "nearest_box"), (layout, "located_tables")])
 def test_order_lines(spark, monkeypatch, module, name):
-    """Windows, groups and joins by order stay in the tasks to which the rows were dealt."""
+    """Windows, groups and joins by order or page stay in the tasks to which the rows were dealt."""
     monkeypatch.setattr(module, "dealt", functools.partial(dealt, rows=200))
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert module.QUERIES[name][0](spark, SF).rdd.getNumPartitions() == math.ceil(n / 200)
