@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -217,12 +218,18 @@ def _csv_again(s, d):
     return files.read_csv(s, at)
 
 
+#: Rows of a CSV file that one task sorts and writes.
+FILE_ROWS = 100_000
+
+
 def _csv_numbers(s, d):
-    """Rows of one file per order status, numbered as they were written; every comment is quoted and holds line breaks."""
+    """Rows in files of about FILE_ROWS, numbered as they were written; every comment is quoted and holds line breaks."""
     at = _scratch(s)
     text = F.concat(F.lit("a\n\n"), "o_orderpriority", F.lit(' "x",\n'))
-    sinks.write_csv(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), text.alias("text")).repartition(2).sortWithinPartitions(F.col("key").cast("long")), at)
-    rows = files.read_csv(s, at, row_number="n", file_name="file")
+    rows = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), text.alias("text"))
+    n = max(2, math.ceil(rows.count() / FILE_ROWS))
+    sinks.write_csv(rows.repartition(n, "key").sortWithinPartitions(F.col("key").cast("long")), at)
+    rows = files.read_csv(s, at, row_number="n", file_name="file").repartition(n, "file")
     place = F.row_number().over(W.partitionBy("file").orderBy(F.col("key").cast("long")))
     return rows.withColumn("place", place).select(F.col("key").cast("long").alias("key"), "text", (F.col("n") == F.col("place")).alias("in_order"))
 

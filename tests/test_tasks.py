@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from paperstrata.operators import catalog, layout
+from paperstrata.operators import catalog, intake, layout
 from paperstrata.session import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,13 @@ def test_order_lines(spark, monkeypatch, module, name):
     monkeypatch.setattr(module, "dealt", functools.partial(dealt, rows=200))
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert module.QUERIES[name][0](spark, SF).rdd.getNumPartitions() == math.ceil(n / 200)
+
+
+@tables
+def test_files_of_bounded_rows(spark, monkeypatch):
+    """A table is written to as many CSV files as its rows ask for, and each file's rows meet in a task of their own."""
+    monkeypatch.setattr(intake, "FILE_ROWS", 100)
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    told = intake.QUERIES["csv_numbers"][0](spark, SF)
+    assert told.rdd.getNumPartitions() == math.ceil(n / 100)
+    assert [tuple(r) for r in told.groupBy("in_order").count().collect()] == [(True, n)]
