@@ -10,18 +10,35 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..session import table
+from ..session import dealt, table
 
-CHUNK = ArrayType(StructType([StructField("text", StringType()), StructField("start_line", IntegerType()), StructField("end_line", IntegerType())]))
+CHUNK = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
+CHUNK_SQL = "array<struct<text: string, start_line: int, end_line: int>>"
+#: Texts that a worker holds as Python objects at once, and rows of a table that one task turns to and fro in Python.
+PART_ROWS, PYTHON_ROWS = 64, 20_000
 SECTION = ArrayType(StructType([StructField("path", ArrayType(StringType())), StructField("text", StringType())]))
+RULE = re.compile(r":?-+:?")
 HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
 
 
+def in_parts(work: Callable[[str], list], kind: pa.DataType, sql: str) -> Callable[[Column | str], Column]:
+    """A function of a text column, null as empty. Beside its Arrow columns a worker holds the objects of PART_ROWS texts, not of
+    a whole batch."""
+
+    @F.arrow_udf(sql)
+    def over(text: pa.Array) -> pa.Array:
+        parts = [pa.array([work(t or "") for t in text.slice(i, PART_ROWS).to_pylist()], kind) for i in range(0, len(text), PART_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return over
+
+
 def block_spans(lines: list[str]) -> list[tuple[int, int]]:
     """Half-open line ranges between blank lines. A blank line ends a block only if the block has lines; else it opens one."""
     spans, begin = [], 0
@@ -62,11 +79,7 @@ def chunk_lines(body: str, target: int = 600, overlap: int = 80) -> list[tuple[s
 
 
 def markdown_chunks(body: Column | str, target: int = 600, overlap: int = 80) -> Column:
-    @F.pandas_udf(CHUNK)
-    def chunks(body: pd.Series) -> pd.Series:
-        return body.map(lambda b: [{"text": t, "start_line": s, "end_line": e} for t, s, e in chunk_lines(b or "", target, overlap)])
-
-    return chunks(body)
+    return in_parts(lambda b: [{"text": t, "start_line": s, "end_line": e} for t, s, e in chunk_lines(b, target, overlap)], CHUNK, CHUNK_SQL)(body)
 
 
 def by_words(text: str, most: int) -> list[str]:
@@ -120,12 +133,7 @@ def word_count(text: str) -> int:
 
 def section_chunks(text: Column | str, most: int = 700, count: Callable[[str], int] = word_count, cut: Callable[[str, int], list[str]] = by_words) -> Column:
     """``count`` gives the tokens of a text and ``cut`` cuts it by tokens, by whatever tokenizer the units are made for."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def chunks(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_section(t or "", most, count, cut))
-
-    return chunks(text)
+    return in_parts(lambda t: split_section(t, most, count, cut), pa.list_(pa.string()), "array<string>")(text)
 
 
 def sections_of(text: str) -> list[tuple[list[str], str]]:
@@ -153,11 +161,13 @@ def tables_of(text: str) -> list[list[list[str]]]:
     cells = lambda line: [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", re.sub(r"(?<!\\)\|$", "", line.strip()).removeprefix("|"))]
     lines, out, i = text.splitlines(), [], 0
     while i + 1 < len(lines):
-        head, rule = cells(lines[i]), cells(lines[i + 1])
-        if "|" in lines[i] and len(head) == len(rule) and all(re.fullmatch(r":?-+:?", c) for c in rule):
+        # few lines are rules, and a rule has a dash
+        rule = cells(lines[i + 1]) if "|" in lines[i] and "-" in lines[i + 1] else []
+        head = cells(lines[i]) if rule and all(RULE.fullmatch(c) for c in rule) else []
+        if head and len(head) == len(rule):
             grid, i = [head], i + 2
-            while i < len(lines) and "|" in lines[i] and len(cells(lines[i])) == len(head):
-                grid.append(cells(lines[i]))
+            while i < len(lines) and "|" in lines[i] and len(row := cells(lines[i])) == len(head):
+                grid.append(row)
                 i += 1
             out.append(grid)
         else:
@@ -165,9 +175,8 @@ def tables_of(text: str) -> list[list[list[str]]]:
     return out
 
 
-@F.pandas_udf(ArrayType(ArrayType(ArrayType(StringType()))))
-def markdown_tables(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: tables_of(t or ""))
+def markdown_tables(text: Column | str) -> Column:
+    return in_parts(tables_of, pa.list_(pa.list_(pa.list_(pa.string()))), "array<array<array<string>>>")(text)
 
 
 def header_names(names: list[str]) -> list[str]:
@@ -190,6 +199,11 @@ def units(nodes: DataFrame, rows: DataFrame, row_columns: list[str]) -> DataFram
     return card.unionByName(content, allowMissingColumns=True).unionByName(table_rows, allowMissingColumns=True)
 
 
+def _parts(s, d):
+    """Parts, dealt to many tasks: their table is one small file, which one task reads, but Python turns over every row."""
+    return dealt(table(s, d, "part").select("p_partkey", "p_name", "p_brand"), rows=PYTHON_ROWS)
+
+
 def _markdown(s, d):
     """Conversations as Markdown, a heading per turn."""
     turn = F.concat(F.lit("# "), "role", F.lit("\n\n"), "text", F.lit("\n"))
@@ -205,11 +219,11 @@ QUERIES = {
     "chunk_markdown": (lambda s, d: table(s, d, "documents").select("doc_id", F.explode(markdown_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("c")).select("doc_id", "c.*"), None),
     "chunk_section": (lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(section_chunks("text")).alias("pos", "chunk")), None),
     "chunk_overlap": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(markdown_chunks(F.array_join(F.array_repeat("p_name", 10), "\n\n"), 6, 2)).alias("c")).select("p_partkey", "c.*"),
+        lambda s, d: _parts(s, d).select("p_partkey", F.explode(markdown_chunks(F.array_join(F.array_repeat("p_name", 10), "\n\n"), 6, 2)).alias("c")).select("p_partkey", "c.*"),
         "SELECT p_partkey, p_name || repeat(chr(10) || chr(10) || p_name, CAST(least(a + 2, 10) - a AS INTEGER)) AS text, 2 * a - 1 AS start_line, 2 * least(a + 2, 10) - 1 AS end_line FROM part, unnest([1, 3, 5, 7, 9]) AS u(a)",
     ),
     "chunk_bounded": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(section_chunks(F.concat(F.array_join(F.array_repeat("p_name", 10), "\n\n"), F.lit("\n\na b c d. e f g. h")), 6)).alias("pos", "text")),
+        lambda s, d: _parts(s, d).select("p_partkey", F.posexplode(section_chunks(F.concat(F.array_join(F.array_repeat("p_name", 10), "\n\n"), F.lit("\n\na b c d. e f g. h")), 6)).alias("pos", "text")),
         """SELECT p_partkey, i - 1 AS pos, CASE WHEN i < 4 THEN p_name || repeat(chr(10) || chr(10) || p_name, 2) WHEN i = 4 THEN p_name || chr(10) || chr(10) || 'a b c d.' ELSE 'e f g. h' END AS text FROM part, unnest([1, 2, 3, 4, 5]) AS u(i)""",
     ),
     "markdown_sections": (
@@ -217,11 +231,11 @@ QUERIES = {
         """SELECT conv_id, row_number() OVER w - 1 AS pos, role AS path, md5('# ' || role || chr(10) || chr(10) || text || chr(10) || CASE WHEN lead(turn) OVER w IS NULL THEN '' ELSE chr(10) END) AS text, trim(text) <> '' AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, '# ' || role || chr(10) || chr(10) || text || chr(10))""",
     ),
     "markdown_tables": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.explode(markdown_tables(F.concat(F.lit("before\n\n| name | a\\|b |\n|---|:-:|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n| odd |\n| x | y |\n|--|--|\n\nafter")))).alias("t")).select("p_partkey", F.array_join(F.transform("t", lambda r: F.array_join(r, ";")), "/").alias("cells")),
+        lambda s, d: _parts(s, d).select("p_partkey", F.explode(markdown_tables(F.concat(F.lit("before\n\n| name | a\\|b |\n|---|:-:|\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n| odd |\n| x | y |\n|--|--|\n\nafter")))).alias("t")).select("p_partkey", F.array_join(F.transform("t", lambda r: F.array_join(r, ";")), "/").alias("cells")),
         "SELECT p_partkey, 'name;a|b/' || p_name || ';' || p_brand AS cells FROM part UNION ALL SELECT p_partkey, 'x;y' FROM part",
     ),
     "search_units": (
-        lambda s, d: units(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("title"), F.col("p_name").alias("body")), table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("id"), F.col("s_suppkey").alias("row_number"), "s_name"), ["s_name"]).select("unit_id", "node_id", "unit_type", "ordinal", "text", "start_line"),
+        lambda s, d: units(_parts(s, d).select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("title"), F.col("p_name").alias("body")), table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("id"), F.col("s_suppkey").alias("row_number"), "s_name"), ["s_name"]).select("unit_id", "node_id", "unit_type", "ordinal", "text", "start_line"),
         """SELECT p_partkey || ':card:1' AS unit_id, CAST(p_partkey AS VARCHAR) AS node_id, 'card' AS unit_type, 1 AS ordinal, p_brand AS text, NULL AS start_line FROM part
         UNION ALL SELECT p_partkey || ':content_text:1', CAST(p_partkey AS VARCHAR), 'content_text', 1, p_name, 1 FROM part UNION ALL SELECT 's' || s_nationkey || ':table_row:' || s_suppkey, 's' || s_nationkey, 'table_row', s_suppkey, 's_name: ' || s_name, NULL FROM supplier""",
     ),

@@ -2,11 +2,13 @@
 
 import functools
 import math
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
-from paperstrata.operators import catalog, intake, layout
+from paperstrata.operators import catalog, chunk, intake, layout
 from paperstrata.session import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,28 @@ def test_files_of_bounded_rows(spark, monkeypatch):
     told = intake.QUERIES["csv_numbers"][0](spark, SF)
     assert told.rdd.getNumPartitions() == math.ceil(n / 100)
     assert [tuple(r) for r in told.groupBy("in_order").count().collect()] == [(True, n)]
+
+
+@tables
+@pytest.mark.parametrize("name", ["markdown_tables", "chunk_overlap", "chunk_bounded"])
+def test_small_file_is_the_work_of_many_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr(chunk, "PYTHON_ROWS", 10)
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert chunk.QUERIES[name][0](spark, SF).rdd.getNumPartitions() == math.ceil(n / 10)
+
+
+def test_texts_are_objects_a_few_at_a_time(spark):
+    """A batch of many texts is never held as Python objects at once: neither as it comes nor as it goes."""
+    text = "word " * 2000
+    batch = pa.array([text] * 2000)
+    for function, kind in ((chunk.split_section, pa.list_(pa.string())), (lambda t: [{"text": x, "start_line": a, "end_line": b} for x, a, b in chunk.chunk_lines(t)], chunk.CHUNK)):
+        sql = "array<string>" if kind != chunk.CHUNK else chunk.CHUNK_SQL
+        udf = chunk.in_parts(function, kind, sql)
+        tracemalloc.start()
+        try:
+            out = udf.func(batch)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert out.to_pylist() == [function(text)] * 2000
+        assert peak < 4 * 64 * len(text)
