@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import table
+from ..session import TASK_ROWS, table
 from . import search as S
 from .tree import checkpoint_folder
 
 SAMPLE_ROWS, CHUNK_ROWS, QUERY_ROWS, RESCORE = 16_384, 65_536, 2_048, 4
 BOOKS, CODES, ROUNDS = 16, 256, 12
+#: Rows with vectors that a task sorts at once, about 1 KB each.
+VECTOR_ROWS = 50_000
 #: Scores that an exact search holds at once, of 8 bytes, besides its vectors.
 SCORES = 1 << 20
 
@@ -190,16 +192,25 @@ class VectorIndex:
         probes, most = probes or self.model.probes, RESCORE * k
         qid, id_type = dict(queries.dtypes)["qid"], dict(self.rows.dtypes)["id"]
         asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"))
-        blocks = max(1, math.ceil(asked.count() * probes / len(self.model.cells) / QUERY_ROWS))
+        n_asked, stored = asked.count(), self.cells.agg(F.sum("n")).first()[0]
+        # tasks for so many rows, and no fewer than the session asks for
+        tasks = lambda rows, each: max(math.ceil(rows / each), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = max(1, math.ceil(n_asked * probes / len(self.model.cells) / QUERY_ROWS))
         chunks = self.cells.select("cell", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("chunks"))
         looks = asked.mapInArrow(_probe(self.model, probes), f"qid {qid}, q array<float>, cell int").join(F.broadcast(chunks), "cell")  # a row per cell, whose number the fit bounds
         looks = looks.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "block": F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")})
         held = self.rows.select("id", "cell", "code").join(F.broadcast(chunks), "cell").withColumns({"chunk": F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
         keys = ["cell", "chunk", "block"]
-        near = looks.select("qid", "q", *keys).groupBy(*keys).cogroup(held.select("id", "code", *keys).groupBy(*keys)).applyInArrow(_score(self.model, most), f"qid {qid}, id {id_type}, cell int, near float")
+        groups = tasks(n_asked * probes + stored * blocks, VECTOR_ROWS)
+        asking, held = looks.select("qid", "q", *keys).repartition(groups, *keys), held.select("id", "code", *keys).repartition(groups, *keys)
+        near = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_score(self.model, most), f"qid {qid}, id {id_type}, cell int, near float")
         nth = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("near"), "id"))  # at most ``most`` rows a probed chunk
-        best = near.withColumn("_nth", nth).filter(F.col("_nth") <= most).select("qid", "id", "cell")
-        pairs = best.join(self.rows.select("id", "cell", "embedding"), ["cell", "id"]).join(asked.withColumnRenamed("embedding", "q"), "qid")
+        # a query gets at most ``most`` rows from a chunk, and no more than its cells hold
+        found = n_asked * min(stored, probes * min(most, math.ceil(stored / len(self.model.cells))))
+        best = near.repartition(tasks(found, TASK_ROWS), "qid").withColumn("_nth", nth).filter(F.col("_nth") <= most).select("qid", "id", "cell")
+        scored = tasks(n_asked * most, VECTOR_ROWS)
+        pairs = best.repartition(scored, "cell", "id").join(self.rows.select("id", "cell", "embedding"), ["cell", "id"])
+        pairs = pairs.repartition(scored, "qid").join(asked.withColumnRenamed("embedding", "q"), "qid")
         return _ranked(pairs.select("qid", "id", F.round(S.cosine(F.col("embedding"), F.col("q")), 5).alias("score")), k, threshold)
 
 

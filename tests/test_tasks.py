@@ -7,8 +7,9 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from paperstrata.operators import catalog, chunk, intake, layout
+from paperstrata.operators import catalog, chunk, intake, layout, vectors
 from paperstrata.session import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,15 @@ def test_texts_are_objects_a_few_at_a_time(spark):
             tracemalloc.stop()
         assert out.to_pylist() == [function(text)] * 2000
         assert peak < 4 * 64 * len(text)
+
+
+def test_candidates_of_many_queries_are_dealt(spark, tmp_path, monkeypatch):
+    """More queries are more tasks, and the hits are those of an exact search where all cells are looked into."""
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 10)
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), float(i % 13) + 1]) for i in range(200)], "id long, embedding array<float>")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    index = vectors.VectorIndex.build(rows, "id", "embedding", f"file://{tmp_path}/v", k=5)
+    hits = index.search(asked, 5, probes=len(index.model.cells))
+    assert hits.rdd.getNumPartitions() == 4 * vectors.RESCORE * 5 // 10
+    told = lambda found: sorted((r.qid, r["rank"], r.score) for r in found.collect())
+    assert told(hits) == told(vectors.exact(rows, asked, 5))
