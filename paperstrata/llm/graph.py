@@ -15,9 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     aggregate, so a node with very many neighbours costs a row per task. Rounds grow with the logarithm of path lengths.
     """
     both = C.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = C.Stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    labels = C.Stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("next")))
     while True:
-        now = labels.df
+        now = labels.df.select("node", F.col("next").alias("root"))
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = now.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", "near").alias("best"))
         step = C.Stage(step)
@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         changed = nxt.df.filter("root <> next").limit(1).count()
         labels.drop()
         step.drop()
-        labels = C.Stage(nxt.df.select("node", F.col("next").alias("root")))
-        nxt.drop()
+        labels = nxt
         if not changed:
-            return labels.df
+            return labels.df.select("node", F.col("next").alias("root"))

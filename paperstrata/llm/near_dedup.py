@@ -34,8 +34,8 @@ LIST = 48
 ROUNDS = 4
 MOST_ROUNDS = 6
 WIDE = 512
-#: Ids, of 8 bytes where they are numbers.
-BROADCAST_IDS = 500_000
+#: A filter of ids has at most 2^(ROW_BITS + 15) bits: 512 rows of 4 KB, however many ids there are.
+ROW_BITS = 9
 
 
 def shared_values(k: int, percent: int) -> int:
@@ -67,10 +67,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
     return C.stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), both.alias("s")).select("rid", "id", "s.*"))
 
 
+def likely_among(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """``rows`` whose id is in ``ids``, and a few others: ids are hashed to the bits of a table that is broadcast, which is of one size
+    for any number of them."""
+    place = F.xxhash64(id_col)
+    row, bit = place.bitwiseAND((1 << ROW_BITS) - 1), F.shiftrightunsigned(place, 64 - 15)
+    bits = C.stage(ids.select(row.alias("_row"), bit.alias("_bit")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(_byte, _nth)").bitwiseAND(1) == 1
+    joined = rows.withColumn("_row", row).join(F.broadcast(bits), "_row").withColumns({"_byte": byte, "_nth": (bit % 8).cast("int")})
+    return joined.filter(held).select(*rows.columns)
+
+
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, reps: DataFrame) -> DataFrame:
     """rid, set of the representatives ``reps`` (rid, id, ka, kb), from their texts; staged. Only their rows are hashed again."""
-    ids = C.maybe_broadcast(C.stage(reps.select("id").distinct()).withColumnRenamed("id", "want"), BROADCAST_IDS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
+    rows = likely_among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), reps)
     sets = rows.select("id", shingle_set(F.col("text"), width).alias("set")).withColumns({"ka": F.xxhash64(F.lit(1), "set"), "kb": F.xxhash64(F.lit(2), "set")})
     keyed = reps.select("rid", F.col("id").alias("rep_id"), "ka", "kb")
     joined = sets.join(keyed, (sets["ka"] == keyed["ka"]) & (sets["kb"] == keyed["kb"]) & F.col("id").eqNullSafe(F.col("rep_id")))
