@@ -129,11 +129,11 @@ def _unlike(spread: DataFrame, sets: DataFrame, percent: int, k: int = WIDE) ->
     their lists, so the join itself compares them, each pair in its first common list, and gives out likely pairs only."""
     place = F.xxhash64("level", "value")
     lists = spread.groupBy("rid").agg(F.collect_set(place).alias("lists"))
-    own = C.stage(spread.select("level", "value", "rid", "root", place.alias("place")).join(lists, "rid").join(sets.select("rid", F.size("set").alias("n"), F.slice("set", 1, k).alias("sketch")), "rid"))
+    own = C.stage(spread.select("level", "value", "rid", "root", place.alias("place")).join(lists.hint("shuffle_merge"), "rid").join(sets.select("rid", F.size("set").alias("n"), F.slice("set", 1, k).alias("sketch")).hint("shuffle_merge"), "rid"))
     a, b = (own.select("level", "value", *[F.col(c).alias(f"{c}_{x}") for c in ("rid", "root", "place", "lists", "n", "sketch")]) for x in "ab")
     first = F.when((F.col("rid_a") < F.col("rid_b")) & (F.col("root_a") != F.col("root_b")), F.array_min(F.array_intersect("lists_a", "lists_b")) == F.col("place_a")).otherwise(F.lit(False))
     compared = F.when(first, _likely("sketch_a", "sketch_b", "n_a", "n_b", percent, k)).otherwise(F.lit(False))
-    pairs = a.join(b, (a["level"] == b["level"]) & (a["value"] == b["value"]) & compared)
+    pairs = a.join(b.hint("shuffle_merge"), (a["level"] == b["level"]) & (a["value"] == b["value"]) & compared)
     return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
 
 

@@ -27,3 +27,12 @@ def test_filter_keeps_all_ids(spark):
     assert kept.filter("id % 2 = 0").count() == 100_000
     assert kept.filter("id % 2 <> 0").count() < 2 * expected + 20
     assert near_dedup.likely_among(rows, rows.limit(0)).count() == 0
+
+
+def test_unlike_members_are_not_broadcast(spark, monkeypatch):
+    spread = spark.createDataFrame([(1, 7, 1, 1), (1, 7, 2, 2), (1, 8, 1, 1), (1, 8, 3, 3)], "level int, value long, rid long, root long")
+    sets = spark.createDataFrame([(1, list(range(20))), (2, list(range(19))), (3, list(range(90, 110)))], "rid long, set array<long>")
+    monkeypatch.setattr(near_dedup.C, "stage", lambda df: df)
+    pairs = near_dedup._unlike(spread, sets, 80)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
