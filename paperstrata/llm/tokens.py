@@ -45,6 +45,7 @@ MAX_WORDS = 300_000
 DELIMITERS = b" \t\n\x0b\x0c\r"
 _TAIL = re.compile(rb"(.*?)([.,;:!?]+)", re.S)
 _NEXT = re.compile(rb"[\x20\x09-\x0d]")
+_MARKS = b".,;:!?"
 _PRINTABLE = re.compile(rb"[!-~]+")
 #: The pre-tokenizer's pattern, and what it means for printable ASCII in lower case.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -111,7 +112,9 @@ class Words(dict):
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def normal(self, text: str) -> str:
-        return text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        if text.isascii() or (text.isalpha() and max(text) <= "\xff"):
+            return text.lower()  # letters of Latin-1 are composed, and each has its lower case in Latin-1
+        return self.library.normalizer.normalize_str(text)
 
     def letters(self, text: str) -> bytes:
         """As ``encode``. A word of letters alone is a single pre-token and goes straight to the merges."""
@@ -121,15 +124,21 @@ class Words(dict):
                 return array("I", [t.id for t in self.library.model.tokenize(self.byte_form(normal))]).tobytes()
         return self.encode(text)
 
+    def found(self, word: bytes) -> bytes:
+        """The ids of a word that isn't kept, by those of others where it has the same."""
+        if b"<|" in word:
+            return self.letters(word.decode())
+        head = word.rstrip(_MARKS)
+        if head and len(head) < len(word) and (head.isalpha() or self.normal(head.decode()).isalpha()):
+            return self[head] + self[word[len(head) :]]  # letters and other characters are apart; marks, as lower-casing may add, are not
+        if word.isascii() and (low := word.lower()) != word:
+            return self[low]  # the normaliser lower-cases; ASCII alone composes with nothing
+        return self.letters(word.decode())
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
-        if ids is None and b"<|" not in word:
-            if word.isascii() and (low := word.lower()) != word:
-                ids = self[low]  # the normaliser lower-cases; ASCII alone composes with nothing
-            elif (m := _TAIL.fullmatch(word)) and m[1] and self.normal(m[1].decode()).isalpha():
-                ids = self[m[1]] + self[m[2]]  # letters and other characters are apart; marks, as lower-casing may add, are not
         if ids is None:
-            ids = self.letters(word.decode())
+            ids = self.found(word)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -140,7 +149,7 @@ class Words(dict):
         """The ids of a whole text."""
         if not self.by_word:
             return self.encode(text)
-        return b"".join([x for part in segments(text.encode()) for x in map(self.__getitem__, part.split())])
+        return b"".join([b"".join(map(self.__getitem__, part.split())) for part in segments(text.encode())])
 
 
 _held: dict[tuple[str, int], Words] = {}

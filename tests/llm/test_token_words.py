@@ -75,3 +75,17 @@ def test_merges(library):
     own.states.clear()
     own.ends.clear()
     assert [own.count(w) for w in words[:200]] == [len(library.model.tokenize(w)) for w in words[:200]]
+
+
+def test_letters_of_latin_1_are_normalised_without_the_library(library):
+    """Every letter of Latin-1, alone and with marks, has its ids, and the library's normaliser is asked for none of them."""
+    letters = [chr(c) for c in range(65, 256) if chr(c).isalpha()]
+    words = tokens.Words(tokens.tokenizer_path())
+    assert [words.normal(f"{c}a{c}") for c in letters] == [library.normalizer.normalize_str(f"{c}a{c}") for c in letters]
+
+    class Library:
+        model = words.library.model
+
+    words.library = Library  # has no normaliser
+    assert [words.normal(f"Ñ{c}") for c in letters] == [f"Ñ{c}".lower() for c in letters]
+    same(library, [f"{c}{c}a{tail} {c}" for c in letters for tail in ("", ".", "?!", "-x.", ".x")])
