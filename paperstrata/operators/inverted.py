@@ -1,17 +1,20 @@
 """A stored inverted index with block bounds: BM25 search that reads the posting blocks that can matter and no other.
 
-Layout. Documents belong to segments by the hash of their id, SEGMENT_DOCS each; in a segment they are numbered by length, so
-that short ones, which score high, stand together. Every RANGE_DOCS numbers are a range, and a posting block holds the postings
-of one term in one range: ids, term counts, lengths, and for each term count the least length, from which the block's highest
-possible score follows exactly, whatever the average length has become. Ranges are the same for all terms, so bounds of terms
-add up by an aggregation. Blocks are stored by shard of their term's hash, in order of term, segment and range.
+Layout. Documents belong to segments by the hash of their id, SEGMENT_DOCS each; large segments are dealt to parts by another
+hash, so that each is the work of many tasks. In a part documents are numbered by length, so that short ones, which score high,
+stand together. Every RANGE_DOCS numbers are a range, and a posting block holds the postings of one term in one range: each
+document's place in the range, term counts, and for each term count the least length, from which the block's highest possible
+score follows exactly, whatever the average length has become. Ids and lengths are kept once a range, in the block of the empty
+term. Ranges are the same for all terms, so bounds of terms add up by an aggregation. A task of a write has whole parts and writes
+their blocks to a file of its own, in order of term, so that a search reads a term's pages of each file, and blocks are never shuffled.
 
 Search. (1) Bounds of the terms' blocks are read without postings and added up per range. (2) The ranges of the highest bounds
 are scored; the k-th best score so far is a threshold that no hit of the final list can miss. (3) Ranges whose bound reaches it
 are scored, all others are never read. Hits and scores equal those of ``search.bm25``.
 
 Versions. ``update`` writes the segments that hold changed documents anew, as a generation of blocks, and then one row a segment
-that says which generation counts; a run that dies before that leaves the old state. Blocks of older generations are passed over.
+that says which generation counts; a run that dies before that leaves the old state, and the next one writes over its blocks. Blocks
+of older generations are passed over.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from ..session import table
 from . import search as S
 from .tree import checkpoint_folder, staged
 
-SEGMENT_DOCS, RANGE_DOCS, SHARDS = 1 << 16, 128, 32
-#: About how many words, and documents, one task of a write takes.
-TASK_WORDS, TASK_DOCS = 4_000_000, 50_000
+SEGMENT_DOCS, RANGE_DOCS = 1 << 16, 128
+#: About how many characters, and documents, one task of a write takes, and into how many parts as much of one segment is dealt.
+TASK_CHARS, TASK_DOCS, TASK_PARTS = 24_000_000, 50_000, 4
+#: Of the block with a range's documents; no word is empty.
+DOCUMENTS = ""
 
 
 @dataclass
@@ -67,7 +72,7 @@ class InvertedIndex:
         about = json.loads(said)
         self.id, self.fields, self.segments, self.range_docs = about["id"], about["fields"], about["segments"], about["range_docs"]
         self.schema = (
-            f"segment int, range int, field int, term string, n int, levels array<struct<tf: int, len: int>>, postings array<struct<id: {about['id_type']}, tf: int, len: int>>, generation int, shard int"
+            f"segment int, range int, field int, term string, n int, levels array<struct<tf: int, len: int>>, postings array<struct<at: int, tf: int>>, docs array<struct<id: {about['id_type']}, len: int>>, generation int"
         )
 
     @classmethod
@@ -83,34 +88,48 @@ class InvertedIndex:
         return F.pmod(F.xxhash64(id.cast("string")), F.lit(self.segments)).cast("int")
 
     def _write(self, units: DataFrame, which: DataFrame | None, generation: int) -> None:
-        """Writes the segments ``which`` (none: all) from ``units``, which has all their documents. Texts are shuffled to their range,
-        where words are counted in place, so a row per document and distinct word is the most that is sorted."""
+        """Writes the segments ``which`` (none: all) from ``units``, which has all their documents. The only rows that are shuffled
+        are a document's words, sorted, where repeated ones compress to little; they are counted where they arrive."""
         own = units.select(F.col(self.id).alias("id"), self._segment(F.col(self.id)).alias("segment"), F.array(*(F.coalesce(F.col(f), F.lit("")) for f in self.fields)).alias("texts"))
-        own = own if which is None else own.join(which, "segment", "left_semi")
-        lens = staged(own.select("segment", "id", F.transform("texts", lambda t: F.size(T.tokens(t))).alias("lens")))
-        length = F.aggregate("lens", F.lit(0), lambda n, x: n + x)
-        # a window per segment, which is bounded, over ids and lengths alone
-        places = lens.select("id", ((F.row_number().over(W.partitionBy("segment").orderBy(length, "id")) - 1) / self.range_docs).cast("int").alias("range"))
-        sizes = staged(lens.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("lens", F.lit(i))).alias(f"sum{i}") for i in range(len(self.fields)))))
-        n, words = sizes.agg(F.sum("n"), F.sum(sum(F.col(f"sum{i}") for i in range(len(self.fields))))).first()
-        parts = math.ceil(max((words or 0) / TASK_WORDS, (n or 0) / TASK_DOCS)) + 1
-        fields = own.join(places, "id").repartition(parts, "segment", "range").select("segment", "range", "id", F.posexplode("texts").alias("field", "text"))
-        counted = fields.select("segment", "range", "id", "field", F.explode(counts_of(T.tokens(F.col("text")))).alias("c")).select("segment", "range", "id", "field", "c.*")
-        # a range lies in one partition: its terms are grouped where they are
-        blocks = counted.groupBy("segment", "range", "field", "term").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("postings"))  # at most range_docs
-        tfs = F.array_distinct(F.col("postings.tf"))
-        levels = F.transform(tfs, lambda t: F.struct(t.alias("tf"), F.array_min(F.filter("postings", lambda p: p["tf"] == t)["len"]).alias("len")))
-        out = blocks.select("segment", "range", "field", "term", F.size("postings").alias("n"), levels.alias("levels"), "postings", self._shard(F.col("term")).alias("shard"), F.lit(generation).alias("generation"))
-        # a shard is dealt by term and segment to as many tasks as it needs, so neither a shard nor a frequent term is one task
-        deal = max(1, math.ceil((words or 0) / TASK_WORDS / SHARDS))
-        dealt = out.repartition(SHARDS * deal, "shard", F.pmod(F.xxhash64("term", "segment"), F.lit(deal)))
-        dealt.sortWithinPartitions("shard", "field", "term", "segment", "range").write.mode("append").partitionBy("generation", "shard").parquet(f"{self.path}/blocks")
+        own = own if which is None else self._among(own, which)
+        n, chars = own.agg(F.count(F.lit(1)), F.sum(F.aggregate("texts", F.lit(0), lambda k, t: k + F.length(t)))).first()
+        tasks, segments = max((chars or 0) / TASK_CHARS, n / TASK_DOCS), self.segments if which is None else which.count()
+        parts = max(1, math.ceil(TASK_PARTS * tasks / max(segments, 1)))
+        # transform over one value, so that it is worked out once a row
+        sort = lambda t: F.element_at(F.transform(F.array(T.tokens(t)), lambda w: F.struct(F.size(w).alias("len"), F.array_join(F.sort_array(w), " ").alias("words"))), 1)
+        part = F.pmod(F.xxhash64(F.lit("part"), F.col("id").cast("string")), F.lit(parts)).cast("int").alias("part")
+        dealt = own.select("segment", part, "id", F.transform("texts", sort).alias("texts")).repartition(math.ceil(tasks) + 1, "segment", "part")
+        # a window per part, which is bounded
+        length = F.aggregate("texts", F.lit(0), lambda k, t: k + t["len"])
+        rank = F.row_number().over(W.partitionBy("segment", "part").orderBy(length, "id")) - 1
+        placed = dealt.withColumn("rank", rank).select(
+            "segment", "part", ((F.col("rank") / self.range_docs).cast("int") * parts + F.col("part")).alias("range"), (F.col("rank") % self.range_docs).alias("at"), "id", F.posexplode("texts").alias("field", "text")
+        )
+        counts = F.when(F.col("text.len") > 0, counts_of(F.split("text.words", " ")))
+        document = F.array(F.struct(F.lit(DOCUMENTS).alias("term"), F.lit(0).alias("tf"), F.col("text.len").alias("len")))
+        counted = placed.select("segment", "part", "range", "at", "id", "field", F.explode(F.concat(document, F.coalesce(counts, F.slice(document, 2, 1)))).alias("c")).select("segment", "part", "range", "at", F.when(F.col("c.term") == DOCUMENTS, F.col("id")).alias("id"), "field", "c.*")
+        # a part lies in one partition: its terms are grouped where they are
+        blocks = counted.groupBy("term", "field", "segment", "part", "range").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "len", "id"))).alias("found"))  # at most range_docs
+        tfs, words = F.array_distinct(F.col("found.tf")), F.col("term") != DOCUMENTS
+        levels = F.transform(tfs, lambda t: F.struct(t.alias("tf"), F.array_min(F.filter("found", lambda p: p["tf"] == t)["len"]).alias("len")))
+        postings = F.transform("found", lambda p: F.struct(p["at"].alias("at"), p["tf"].alias("tf")))
+        docs = F.transform("found", lambda p: F.struct(p["id"].alias("id"), p["len"].alias("len")))
+        out = blocks.select("segment", "range", "field", "term", F.size("found").alias("n"), F.when(words, levels).alias("levels"), F.when(words, postings).alias("postings"), F.when(~words, docs).alias("docs"))
+        at = f"{self.path}/blocks/generation={generation}"
+        out.sortWithinPartitions("term", "field", "segment", "range").write.mode("overwrite").option("compression", "zstd").parquet(at)
+        lens = self.spark.read.schema(out.schema).parquet(at).filter(F.col("term") == DOCUMENTS).select("segment", "field", "n", F.aggregate("docs", F.lit(0).cast("long"), lambda k, x: k + x["len"]).alias("words"))
+        of = lambda i, what: F.sum(F.when(F.col("field") == i, F.col(what)).otherwise(0))
+        sizes = lens.groupBy("segment").agg(of(0, "n").alias("n"), *(of(i, "words").alias(f"sum{i}") for i in range(len(self.fields))))
         which = self.spark.range(self.segments).select(F.col("id").cast("int").alias("segment")) if which is None else which
         rows = which.join(sizes, "segment", "left").select("segment", F.lit(generation).alias("generation"), *(F.coalesce(c, F.lit(0)).alias(c) for c in sizes.columns[1:]))
         rows.write.mode("append").parquet(f"{self.path}/segments")
 
-    def _shard(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+    @staticmethod
+    def _among(own: DataFrame, which: DataFrame) -> DataFrame:
+        """Rows of the segments ``which``, found by a bit a segment, so that texts aren't shuffled for it."""
+        word, bit = F.floor(F.col("segment") / 64).alias("word"), F.pmod(F.col("segment"), F.lit(64))
+        bits = which.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+        return own.join(F.broadcast(bits), F.floor(own["segment"] / 64) == bits["word"]).filter(F.getbit("bits", bit) == 1).select(own.columns)
 
     def _live(self) -> DataFrame:
         """The newest row of each segment."""
@@ -126,14 +145,13 @@ class InvertedIndex:
         return which.count()
 
     def _blocks(self, terms: list[str]) -> DataFrame:
-        shards = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._shard(F.col("term"))).distinct().collect()]
-        blocks = self.spark.read.schema(self.schema).parquet(f"{self.path}/blocks").filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
+        blocks = self.spark.read.schema(self.schema).parquet(f"{self.path}/blocks").filter(F.col("term").isin(terms))
         return blocks.join(self._live().select("segment", "generation"), ["segment", "generation"])
 
     def search(self, query: str, k: int, boosts: dict[str, float] | None = None) -> Hits:
         """The best ``k`` documents for the words of ``query``, ties by id. boosts: weight by field, 1 where not given."""
         terms = sorted(set(T.words(query)))
-        empty = self.spark.createDataFrame([], self.schema).select(F.explode("postings").alias("p")).select(F.col("p.id").alias(self.id), F.lit(0.0).alias("score"))
+        empty = self.spark.createDataFrame([], self.schema).select(F.explode("docs").alias("d")).select(F.col("d.id").alias(self.id), F.lit(0.0).alias("score"))
         if not terms:
             return Hits(empty, 0, 0, 0.0)
         sums = self._live().agg(F.sum("n"), *(F.sum(f"sum{i}") for i in range(len(self.fields)))).first()
@@ -152,9 +170,12 @@ class InvertedIndex:
         bound = F.array_max(F.transform("levels", lambda x: part(x["tf"].cast("double"), x["len"])))
         ranges = blocks.groupBy("segment", "range").agg(F.sum(bound).alias("bound"), F.count(F.lit(1)).alias("blocks"))
 
+        documents = self._blocks([DOCUMENTS]).select("segment", "range", "field", "docs")
+
         def scored(where: DataFrame) -> DataFrame:
-            postings = blocks.join(where.select("segment", "range"), ["segment", "range"], "left_semi").select("field", "term", F.explode("postings").alias("p"))
-            scores = postings.select(F.col("p.id").alias(self.id), part(F.col("p.tf").cast("double"), F.col("p.len")).alias("part"))
+            postings = blocks.join(where.select("segment", "range"), ["segment", "range"], "left_semi").select("segment", "range", "field", "term", "postings")
+            found = postings.join(documents, ["segment", "range", "field"]).select("field", "term", F.explode(F.transform("postings", lambda p: F.struct(p["tf"].alias("tf"), F.get("docs", p["at"]).alias("doc")))).alias("p"))
+            scores = found.select(F.col("p.doc.id").alias(self.id), part(F.col("p.tf").cast("double"), F.col("p.doc.len")).alias("part"))
             return scores.groupBy(self.id).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
 
         # with one term each of these ranges has a document that reaches its bound, so the threshold is the best there is

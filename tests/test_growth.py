@@ -33,6 +33,24 @@ def test_index_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert [r.id for r in index.search("w3", 5).hits.collect()] == [3, 10, 17, 24, 31]
 
 
+def test_index_shuffles_words_and_no_postings(spark, tmp_path):
+    """What a build and an update of all segments shuffle is under a byte for each of the texts; posting blocks are not dealt again."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    word = lambda i: F.conv((F.abs(F.xxhash64("id", i)) % F.lit(7919) * F.lit(104729)).cast("string"), 10, 36)
+    docs = spark.range(3000).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), word)).alias("text")).cache()
+    texts, before = docs.agg(F.sum(F.length("text"))).first()[0], shuffled()
+    index = InvertedIndex.build(docs, "id", ["text"], f"file://{tmp_path}/i", segment_docs=64)
+    assert index.update(docs, docs.filter("id % 2 = 0")) == index.segments
+    after = shuffled()
+    assert 0 < sum(n for key, n in after.items() if key not in before) < 2 * texts, texts
+
+
 def test_counts_of_words(spark):
     rows = spark.createDataFrame([(0, ["b", "a", "b", "é", "b"]), (1, []), (2, ["x"])], "id int, words array<string>")
     got = [(r.id, sorted(map(tuple, r.c or []))) for r in rows.select("id", counts_of(F.col("words")).alias("c")).orderBy("id").collect()]
