@@ -22,22 +22,28 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..session import table
+from ..session import ship, table
 from . import search as S
 from .tree import checkpoint_folder, staged
 
 SEGMENT_DOCS, RANGE_DOCS = 1 << 16, 128
 #: About how many characters, and documents, one task of a write takes, and into how many parts as much of one segment is dealt.
-TASK_CHARS, TASK_DOCS, TASK_PARTS = 24_000_000, 50_000, 4
+TASK_CHARS, TASK_DOCS, TASK_PARTS = 12_000_000, 50_000, 4
 #: Of the block with a range's documents; no word is empty.
 DOCUMENTS = ""
+#: Blocks that go from Python to Spark at once.
+BATCH = 20_000
 
 
 @dataclass
@@ -63,17 +69,82 @@ def counts_of(words: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sort_array(words)), runs), 1)
 
 
+def _first(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all of these begins."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return np.flatnonzero(new)
+
+
+def _structs(begins: np.ndarray, total: int, **fields) -> pa.Array:
+    """Lists of structs, each from one of ``begins`` to the next."""
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, total).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], names=list(fields)))
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's documents (segment, range, at, id, field, len and the sorted words of each), in order of term, field,
+    segment and range. Words are held as codes, those of one batch excepted."""
+    rows, codes, of, tfs, known, size, count = [], [], [], [], [], 0, 0
+    for batch in batches:
+        lists = pc.split_pattern(batch.column("words"), " ")
+        coded = lists.flatten().dictionary_encode()
+        code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        begins = _first(code, row)
+        tf = np.diff(np.append(begins, len(code))).astype(np.int32)
+        worded = batch.column("len").to_numpy()[row[begins]] > 0  # splitting nothing gives an empty word
+        codes.append(code[begins][worded] + size)
+        of.append(row[begins][worded] + count)
+        tfs.append(tf[worded])
+        known.append(coded.dictionary)
+        rows.append(batch.select(["segment", "range", "at", "id", "field", "len"]))
+        size, count = size + len(coded.dictionary), count + len(lists)
+    if not count:
+        return
+    documents = pa.Table.from_batches(rows).combine_chunks()
+    segment, range_, at, field, length = (documents[x].to_numpy() for x in ("segment", "range", "at", "field", "len"))
+    by = np.lexsort((at, range_, segment, field))
+    begins = _first(field[by], segment[by], range_[by])
+    heads, group = by[begins], np.empty(count, np.int64)
+    group[by] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, count)))
+
+    def given(terms, heads, n, **lists) -> Iterator[pa.RecordBatch]:
+        own = {"segment": segment[heads], "range": range_[heads], "field": field[heads], "term": terms, "n": n.astype(np.int32)}
+        kinds = {"levels": ("tf", "len"), "postings": ("at", "tf")}
+        null = {k: pa.nulls(len(heads), pa.list_(pa.struct([(x, pa.int32()) for x in names]))) for k, names in kinds.items()} | {"docs": pa.nulls(len(heads), pa.list_(pa.struct([("id", documents["id"].type), ("len", pa.int32())])))}
+        yield from pa.table(own | null | lists).to_batches(max_chunksize=BATCH)
+
+    ids = documents["id"].combine_chunks().take(pa.array(by))
+    yield from given(pa.array([DOCUMENTS] * len(heads)), heads, np.diff(np.append(begins, count)), docs=_structs(begins, count, id=ids, len=length[by]))
+    every = pa.concat_arrays(known).dictionary_encode()
+    order = pc.sort_indices(every.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    term, of, tf = place[every.indices.to_numpy()][np.concatenate(codes)], np.concatenate(of), np.concatenate(tfs)
+    if not len(of):
+        return
+    key = term * len(heads) + group[of]
+    by = np.lexsort((at[of], key))
+    key, of, tf = key[by], of[by], tf[by]
+    begins = _first(key)
+    n = np.diff(np.append(begins, len(key)))
+    block, long = np.repeat(np.arange(len(begins), dtype=np.int32), n), length[of]
+    by = np.lexsort((long, tf, block))
+    least = by[_first(block[by], tf[by])]  # of each block and term count the shortest
+    levels = _structs(_first(block[least]), len(least), tf=tf[least], len=long[least])
+    terms = every.dictionary.take(order).take(pa.array(key[begins] // len(heads)))
+    yield from given(terms, heads[key[begins] % len(heads)], n, levels=levels, postings=_structs(begins, len(key), at=at[of], tf=tf))
+
+
 class InvertedIndex:
     """An index at ``path``. Ids shall be unique and not null; null texts have no words."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = ship(spark), path.rstrip("/")
         (said,) = spark.read.text(f"{self.path}/about").first()
         about = json.loads(said)
         self.id, self.fields, self.segments, self.range_docs = about["id"], about["fields"], about["segments"], about["range_docs"]
-        self.schema = (
-            f"segment int, range int, field int, term string, n int, levels array<struct<tf: int, len: int>>, postings array<struct<at: int, tf: int>>, docs array<struct<id: {about['id_type']}, len: int>>, generation int"
-        )
+        self.written = f"segment int, range int, field int, term string, n int, levels array<struct<tf: int, len: int>>, postings array<struct<at: int, tf: int>>, docs array<struct<id: {about['id_type']}, len: int>>"
+        self.schema = f"{self.written}, generation int"
 
     @classmethod
     def build(cls, units: DataFrame, id_col: str, fields: list[str], path: str, segment_docs: int = SEGMENT_DOCS, range_docs: int = RANGE_DOCS) -> InvertedIndex:
@@ -102,22 +173,12 @@ class InvertedIndex:
         # a window per part, which is bounded
         length = F.aggregate("texts", F.lit(0), lambda k, t: k + t["len"])
         rank = F.row_number().over(W.partitionBy("segment", "part").orderBy(length, "id")) - 1
-        placed = dealt.withColumn("rank", rank).select(
-            "segment", "part", ((F.col("rank") / self.range_docs).cast("int") * parts + F.col("part")).alias("range"), (F.col("rank") % self.range_docs).alias("at"), "id", F.posexplode("texts").alias("field", "text")
-        )
-        counts = F.when(F.col("text.len") > 0, counts_of(F.split("text.words", " ")))
-        document = F.array(F.struct(F.lit(DOCUMENTS).alias("term"), F.lit(0).alias("tf"), F.col("text.len").alias("len")))
-        counted = placed.select("segment", "part", "range", "at", "id", "field", F.explode(F.concat(document, F.coalesce(counts, F.slice(document, 2, 1)))).alias("c")).select("segment", "part", "range", "at", F.when(F.col("c.term") == DOCUMENTS, F.col("id")).alias("id"), "field", "c.*")
+        ranges = ((F.col("rank") / self.range_docs).cast("int") * parts + F.col("part")).alias("range")
+        placed = dealt.withColumn("rank", rank).select("segment", ranges, (F.col("rank") % self.range_docs).alias("at"), "id", F.posexplode("texts").alias("field", "text")).select("segment", "range", "at", "id", "field", "text.*")
         # a part lies in one partition: its terms are grouped where they are
-        blocks = counted.groupBy("term", "field", "segment", "part", "range").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "len", "id"))).alias("found"))  # at most range_docs
-        tfs, words = F.array_distinct(F.col("found.tf")), F.col("term") != DOCUMENTS
-        levels = F.transform(tfs, lambda t: F.struct(t.alias("tf"), F.array_min(F.filter("found", lambda p: p["tf"] == t)["len"]).alias("len")))
-        postings = F.transform("found", lambda p: F.struct(p["at"].alias("at"), p["tf"].alias("tf")))
-        docs = F.transform("found", lambda p: F.struct(p["id"].alias("id"), p["len"].alias("len")))
-        out = blocks.select("segment", "range", "field", "term", F.size("found").alias("n"), F.when(words, levels).alias("levels"), F.when(words, postings).alias("postings"), F.when(~words, docs).alias("docs"))
         at = f"{self.path}/blocks/generation={generation}"
-        out.sortWithinPartitions("term", "field", "segment", "range").write.mode("overwrite").option("compression", "zstd").parquet(at)
-        lens = self.spark.read.schema(out.schema).parquet(at).filter(F.col("term") == DOCUMENTS).select("segment", "field", "n", F.aggregate("docs", F.lit(0).cast("long"), lambda k, x: k + x["len"]).alias("words"))
+        placed.mapInArrow(_blocks_of, self.written).write.mode("overwrite").option("compression", "zstd").parquet(at)
+        lens = self.spark.read.schema(self.written).parquet(at).filter(F.col("term") == DOCUMENTS).select("segment", "field", "n", F.aggregate("docs", F.lit(0).cast("long"), lambda k, x: k + x["len"]).alias("words"))
         of = lambda i, what: F.sum(F.when(F.col("field") == i, F.col(what)).otherwise(0))
         sizes = lens.groupBy("segment").agg(of(0, "n").alias("n"), *(of(i, "words").alias(f"sum{i}") for i in range(len(self.fields))))
         which = self.spark.range(self.segments).select(F.col("id").cast("int").alias("segment")) if which is None else which
