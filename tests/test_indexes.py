@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperstrata.operators import search, vectors
+from paperstrata.operators import inverted, search, vectors
 from paperstrata.operators.inverted import InvertedIndex
 
 
@@ -58,6 +58,21 @@ def test_updates(spark, units, tmp_path):
     assert hits(index, "r1", 5) == []
 
 
+def test_parts_of_a_segment_and_a_died_update(spark, units, tmp_path, monkeypatch):
+    """Segments larger than a task are dealt to parts, ids are of any type, and what a died update left is written over."""
+    monkeypatch.setattr(inverted, "TASK_CHARS", 20_000)
+    named = units.select(F.concat(F.lit("n"), F.col("id")).alias("id"), "title", "text")
+    index = InvertedIndex.build(named, "id", ["title", "text"], f"file://{tmp_path}/i", segment_docs=2000, range_docs=16)
+    blocks = spark.read.schema(index.schema).parquet(f"{index.path}/blocks")
+    assert index.segments == 2 and blocks.rdd.getNumPartitions() > 1
+    assert blocks.filter("term = ''").agg(F.sum(F.size("docs"))).first()[0] == 2 * named.count()
+    blocks.drop("generation").write.parquet(f"{index.path}/blocks/generation=1")  # without its rows of segments
+    now = named.withColumn("text", F.when(F.col("id") == "n7", "r1 alone").otherwise(F.col("text")))
+    index.update(now, named.filter("id = 'n7'"))
+    for query in ("r1 alone", "w0 r3"):
+        assert hits(index, query, 20, {"title": 2.0}) == scan(now, query, 20, {"title": 2.0, "text": 1.0})
+
+
 def test_empty_index(spark, units, tmp_path):
     index = InvertedIndex.build(units.limit(0), "id", ["text"], f"file://{tmp_path}/i")
     assert hits(index, "w0", 5) == []
